@@ -22,7 +22,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds
 
 
-def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, name: str, most: int = 1 << 20):
     """Parts of a batch with about `most` bytes of text each, so that working memory doesn't follow the batch."""
     raw, bounds = text_buffers(batch.column(name))
     at, n = 0, batch.num_rows

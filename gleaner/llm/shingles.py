@@ -37,7 +37,7 @@ _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = max(1 << 16, n + n // 4)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.multiply.accumulate(steps)
