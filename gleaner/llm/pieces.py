@@ -1,26 +1,28 @@
-"""Byte-level BPE by pre-token: each distinct pre-token is encoded once per worker and looked up from then on.
+"""Byte-level BPE by pre-token: a distinct pre-token is encoded once per worker and looked up from then on.
 
 A byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in order, and its length is
-the sum of theirs.  The split below is the tokenizer's own pattern; texts with characters on which regular-expression
-engines may disagree (outside the blocks listed in PLAIN) are given to the library whole.
+the sum of theirs.  The split is the tokenizer's own pattern, written for Python's `re` over the characters of PLAIN;
+texts with other characters, on which regular-expression engines may disagree, are given to the library whole.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections import Counter
-
-import regex
-
-#: The fixed split pattern of this tokenizer family.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters for which the split is the same in any engine: Latin, Greek and Cyrillic letters, common marks.
-PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ſΑ-ΡΣ-ωА-я‐-‧‰-⁞€]*+"
-KEEP = 400_000  #: pre-tokens a worker remembers
+from operator import mul
+
+#: Within PLAIN, [^\W\d_] is \p{L}, \d is \p{N} and \s is white space, as in the tokenizer's pattern
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: ASCII, Latin, Greek and Cyrillic letters and common marks; no fractions, superscripts or rare spaces.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-±´-¸º»¿-ſΑ-ΡΣ-ωА-я‐-‧‰-⁞€]*")
+KEEP = 1_000_000  #: pre-tokens that a worker remembers, about 200 bytes each
 KEEP_CHARS = 40  #: longest pre-token remembered
 
 
 class Pieces:
-    """ids: whether to remember the ids (as little-endian 32-bit bytes) or only their number."""
+    """ids: whether to look up ids (as 32-bit numbers in the machine's order, little-endian here) or only how many."""
 
     def __init__(self, path: str, ids: bool):
         from tokenizers import Tokenizer
@@ -29,77 +31,57 @@ class Pieces:
         self.library.no_padding()
         self.library.no_truncation()
         self.specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
-        self.split = regex.compile(PATTERN).findall
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.ids = ids
+        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
+        self.value = (lambda x: array("I", x).tobytes()) if ids else len
         self.cache: dict[str, object] = {}
 
-    def _value(self, ids):
-        return len(ids) if not self.ids else b"".join(i.to_bytes(4, "little") for i in ids)
+    def _whole(self, text: str):
+        return self.value(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, fresh: list[str]) -> dict[str, object]:
-        """Values of pre-tokens not in the cache; remembered as far as there is room."""
-        got = {t: self._value(e.ids) for t, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False))}
-        if len(self.cache) + len(got) > KEEP:
+    def _learn(self, pre_tokens: set[str]) -> list[str]:
+        """Make sure that all of these are in the table; returns those that should not stay in it."""
+        if len(self.cache) > KEEP:
             self.cache.clear()
-        self.cache.update((t, v) for t, v in got.items() if len(t) <= KEEP_CHARS)
-        return got
-
-    def _parts(self, text: str) -> tuple[list[str], list[str]]:
-        """The text around special strings, and these strings."""
-        if self.special is None or not any(s in text for s in self.specials):
-            return [text], []
-        return self.special.split(text), self.special.findall(text)
+        fresh = list(pre_tokens - self.cache.keys())
+        value = self.value
+        self.cache.update(zip(fresh, [value(e.ids) for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]))
+        return [t for t in fresh if len(t) > KEEP_CHARS]
+
+    def _split(self, texts: list[str]) -> list[list]:
+        """Each text as runs: a list of pre-tokens, or a value that is already known."""
+        out, find = [], SPLIT.findall
+        for text in texts:
+            if self.special is not None and any(s in text for s in self.specials):
+                parts, marks = self.special.split(text), self.special.findall(text)
+            else:
+                parts, marks = [text], []
+            runs: list = []
+            for i, part in enumerate(parts):
+                if part:
+                    runs.append(find(part) if PLAIN.fullmatch(part) else self._whole(part))
+                if i < len(marks):
+                    runs.append(self.value([self.specials[marks[i]]]))
+            out.append(runs)
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text: pre-token frequencies times the pieces of each pre-token."""
-        tables, extra = [], []
-        for text in texts:
-            parts, specials = self._parts(text)
-            table, more = Counter(), len(specials)
-            for part in parts:
-                if self.plain(part):
-                    table.update(self.split(part))
-                elif part:
-                    more += len(self.library.encode(part, add_special_tokens=False).ids)
-            tables.append(table)
-            extra.append(more)
-        have = self.cache
-        got = self._learn(list({t for table in tables for t in table if t not in have}))
-        return [more + sum(n * (got[t] if t in got else self.cache[t]) for t, n in table.items()) for table, more in self._known(tables, extra, got)]
-
-    def _known(self, tables, extra, got):
-        """Tables whose pre-tokens are all at hand; those lost when the cache was emptied are learnt again."""
-        for table, more in zip(tables, extra):
-            lost = [t for t in table if t not in got and t not in self.cache]
-            if lost:
-                got.update(self._learn(lost))
-            yield table, more
+        """Tokens of each text: the frequency of each pre-token times its pieces, summed."""
+        splits = [[Counter(run) if type(run) is list else run for run in runs] for runs in self._split(texts)]
+        passing = self._learn(set().union(*(run for runs in splits for run in runs if type(run) is Counter)))
+        get = self.cache.__getitem__
+        out = [sum(sum(map(mul, run.values(), map(get, run))) if type(run) is Counter else run for run in runs) for runs in splits]
+        for t in passing:
+            del self.cache[t]
+        return out
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four bytes each."""
-        splits = []
-        for text in texts:
-            parts, specials = self._parts(text)
-            runs = []
-            for i, part in enumerate(parts):
-                if self.plain(part):
-                    runs.append(self.split(part))
-                elif part:
-                    runs.append(self._value(self.library.encode(part, add_special_tokens=False).ids))
-                if i < len(specials):
-                    runs.append(self._value([self.specials[specials[i]]]))
-            splits.append(runs)
-        have = self.cache
-        got = self._learn(list({t for runs in splits for run in runs if type(run) is list for t in run if t not in have}))
-        out = []
-        for runs in splits:
-            lost = {t for run in runs if type(run) is list for t in run if t not in got and t not in self.cache}
-            if lost:
-                got.update(self._learn(list(lost)))
-            cache = self.cache
-            out.append(b"".join(run if type(run) is bytes else b"".join([got[t] if t in got else cache[t] for t in run]) for run in runs))
+        splits = self._split(texts)
+        passing = self._learn(set().union(*(run for runs in splits for run in runs if type(run) is list)))
+        get = self.cache.__getitem__
+        out = [b"".join(b"".join(map(get, run)) if type(run) is list else run for run in runs) for runs in splits]
+        for t in passing:
+            del self.cache[t]
         return out
 
 
