@@ -1,8 +1,8 @@
-"""Removing rows by key without moving the rows that stay."""
+"""Filtering by key without moving the rows that the filter leaves alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import saved
@@ -10,16 +10,35 @@ from .store import saved
 BITS = 22  #: the bitmap has 2^BITS bits: 65536 rows of 16 bytes at most, whatever the number of keys
 
 
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << BITS))
+
+
+def _word(key: Column) -> Column:
+    return F.floor(_bit(key) / 64).cast("int")
+
+
+def _mask(key: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (_bit(key) % 64).cast("int"))
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, name: str = "_maybe") -> DataFrame:
+    """df with a boolean that is true for every row whose key is in `keys` (a saved table with that column).
+
+    It comes from a bitmap of hashed keys, of fixed size, that is broadcast; false answers are exact, true ones are
+    to be checked by a join.  With far more keys than bits all rows are true.
+    """
+    bitmap = saved(keys.select(_word(F.col(key)).alias("_word"), _mask(F.col(key)).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bitmap")
+    marked = df.withColumn("_word", _word(F.col(key))).join(F.broadcast(bitmap), "_word", "left")
+    return marked.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(_mask(F.col(key))) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def without_keys(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """df without the rows whose key is in `dropped` (a saved table with the column `key`); null keys stay.
 
-    A bitmap of hashed keys, of fixed size, clears most rows at once; only rows whose bit is set are shuffled to the
-    exact anti-join.  With far more keys than bits this falls back to the anti-join of all rows.
+    Only rows whose bit is set are shuffled, to an exact anti-join that merges at any size.
     """
-    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << BITS))
-    word, one = F.floor(bit / 64).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(`{key}`), {1 << BITS}), 64) AS int))")
-    bitmap = saved(dropped.select(word.alias("_word"), one.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bitmap")
-    marked = df.withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left").withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False)))
+    marked = maybe_in(df, key, dropped)
     sure = marked.where("NOT _maybe").select(*df.columns)
-    maybe = marked.where("_maybe").select(*df.columns).join(dropped.select(key), key, "left_anti").select(*df.columns)
-    return sure.unionByName(maybe)
+    checked = marked.where("_maybe").select(*df.columns).join(dropped.select(key).hint("merge"), key, "left_anti").select(*df.columns)
+    return sure.unionByName(checked)

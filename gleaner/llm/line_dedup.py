@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import maybe_in
 from .store import saved
 
 DEPTH = 3
@@ -56,7 +57,7 @@ def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, sim
     """
     slim = hashes.select("leaf", "class").distinct()
     leaves = saved(slim.groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "leaves")
-    reached = lines.join(leaves, "leaf")
+    reached = maybe_in(lines, "leaf", leaves).where("_maybe").drop("_maybe").join(leaves.hint("merge"), "leaf")
     distinct = saved(reached.groupBy("leaf", "hash").agg(F.min("line").alias("line"), F.count("*").alias("many")), "lines")
     # The leaf's template line: most frequent, then smallest.
     top = distinct.groupBy("leaf").agg(F.max("many").alias("many"))
@@ -84,7 +85,10 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs
         hit = hit.where("class <> first")
     # Equal texts have equal lines at equal places, so drops are gathered per class, once for all its copies.
     drops = saved(hit.select("class", "pos").distinct().groupBy("class").agg(F.collect_list("pos").alias("_drops")).withColumnRenamed("class", "_class"), "drops")
-    out = marked.join(drops, "_class", "left")
+    # Texts without drops don't move; the others merge with their drops, whatever the number of these.
+    told = maybe_in(marked, "_class", drops, "_hit")
+    still = told.where("NOT _hit").withColumn("_drops", F.lit(None).cast("array<int>"))
+    out = still.unionByName(told.where("_hit").join(drops.hint("merge"), "_class", "left"))
     left = F.expr(f"array_join(transform(filter(transform(split({taken}, '\n'), (x, i) -> struct(x AS x, i AS i)), s -> NOT array_contains(_drops, s.i)), s -> s.x), '\n')")
     out = out.withColumn(text, F.when(F.col("_drops").isNull(), F.col(taken)).otherwise(left)).withColumn("lines_dropped", F.coalesce(F.size("_drops"), F.lit(0)))
     return out.select(*[F.col(c) for c in df.columns], F.when(F.col("lines_dropped") < 0, 0).otherwise(F.col("lines_dropped")).cast("int").alias("lines_dropped"))
