@@ -1,4 +1,23 @@
 """All queries of the engine by name, with DuckDB SQL where SQL expresses them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register the function under its own name."""
+
+    def put(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+from .plans import acquisition, assembly, color, evaluation, measures, selection, similarity, spec, splits, streams, text  # noqa: E402, F401
