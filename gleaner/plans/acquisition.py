@@ -110,7 +110,7 @@ def new_content_only(spark, sf_dir):
 
 @query("SELECT o_orderpriority AS source, count(*) AS attempted, count(*) FILTER (o_orderstatus = 'O') AS acquired, CASE WHEN count(*) FILTER (o_orderstatus = 'O') = 0 THEN 'failed' WHEN count(*) FILTER (o_orderstatus = 'O') = count(*) THEN 'ok' ELSE 'partial' END AS status FROM orders GROUP BY 1")
 def stage_report(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("source")).agg(F.count("*").alias("attempted"), F.count_if("o_orderstatus = 'O'").alias("acquired"))
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("source")).agg(F.count("*").alias("attempted"), F.count_if(F.expr("o_orderstatus = 'O'")).alias("acquired"))
     return rows.withColumn("status", F.expr("CASE WHEN acquired = 0 THEN 'failed' WHEN acquired = attempted THEN 'ok' ELSE 'partial' END"))
 
 

@@ -78,7 +78,7 @@ def generation_states(spark, sf_dir):
 def upsample(spark, sf_dir):
     """Rows of the rarer route, repeated."""
     rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
-    return rows.select("doc_id", F.explode(F.sequence(F.lit(1), F.when(F.col("toxic") == 1, 3).otherwise(1))).cast("long").alias("copy"))
+    return rows.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("toxic") == 1, 3).otherwise(1).cast("long"))).alias("copy"))
 
 
 @query("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE n_chars < 200) AND page_id NOT IN (SELECT item_id FROM benchmark)")

