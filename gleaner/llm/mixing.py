@@ -15,7 +15,7 @@ their cell's probability (1 if the whole cell weighs nothing); a null key is dra
 fall alike; extra columns are carried through.
 
 DataFrame functions only.  The cells are as many as there are combinations of values, not documents; they stay a
-table, and every sweep is written to the shared folder.
+table, and every step's factors are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .store import discard, saved
 
 MARGINS = ("source", "lang", "topic")
-SWEEPS = 8
+SWEEPS = 6
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 WORD = r"[^ \t\n\x0B\f\r]+"
 
@@ -44,18 +44,26 @@ def targets(cells: DataFrame, margin: str, temper: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, goals: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """cells (margins, tokens) -> the same with `weight`: shares whose margins are the goals."""
-    total = cells.agg(F.sum("tokens").alias("total"))
-    now = saved(cells.where("tokens > 0").join(F.broadcast(total), how="cross").select(*goals, "tokens", (F.col("tokens") / F.col("total")).alias("weight")), "cells")
+    """cells (margins, tokens) -> (margins, factor): one factor per cell, the product of its margins' factors.
+
+    A fitted weight is always the cell's tokens times one factor for each of its values, so a step keeps only such
+    factors (a row per value): a margin's new factors are its targets over its sums under the other margins' factors.
+    """
+    factors = {m: goal.select(m, F.lit(1.0).alias(f"f_{m}")) for m, goal in goals.items()}
     for _ in range(sweeps):
-        nxt = now
         for margin, goal in goals.items():
-            sums = nxt.groupBy(margin).agg(F.sum("weight").alias("have")).join(goal, margin).select(margin, (F.col("target") / F.col("have")).alias("by"))
-            nxt = nxt.join(sums, margin).select(*goals, "tokens", (F.col("weight") * F.col("by")).alias("weight"))
-        nxt = saved(nxt, "cells")
-        discard(now)
-        now = nxt
-    return now
+            others = [m for m in goals if m != margin]
+            scaled = cells
+            for m in others:
+                scaled = scaled.join(factors[m], m)
+            sums = scaled.groupBy(margin).agg(F.sum(F.col("tokens") * F.col(f"f_{others[0]}") * F.col(f"f_{others[1]}")).alias("have"))
+            step = saved(sums.join(goal, margin).select(margin, (F.col("target") / F.col("have")).alias(f"f_{margin}")), "factors")
+            discard(factors[margin])
+            factors[margin] = step
+    out = cells
+    for m, f in factors.items():
+        out = out.join(f, m)
+    return out.select(*goals, (F.col("f_source") * F.col("f_lang") * F.col("f_topic")).alias("factor"))
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, temper: dict[str, float] = TEMPER, seed: int = 17) -> DataFrame:
@@ -63,10 +71,9 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", sweeps: int = SW
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = df.withColumn("_tokens", F.regexp_count(body, F.lit(WORD)).cast("long"))
     named = named.withColumns({"_topic": topic_of(body, F.col("_tokens")), "_source": F.coalesce(F.col("source").cast("string"), F.lit("(none)")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("(none)"))})
-    cells = saved(named.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")), "cells")
+    cells = saved(named.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0"), "cells")
     goals = {m: saved(targets(cells, m, temper[m]), "goal") for m in MARGINS}
-    fitted = rake(cells, goals, sweeps)
-    factor = fitted.withColumn("factor", F.col("weight") / F.col("tokens"))
+    factor = saved(rake(cells, goals, sweeps), "fitted")
     most = factor.agg(F.max("factor").alias("most"))
     odds = saved(factor.join(F.broadcast(most), how="cross").select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), (F.col("factor") / F.col("most")).alias("_odds")), "odds")
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)

@@ -17,7 +17,7 @@ from operator import mul
 SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: ASCII, Latin, Greek and Cyrillic letters and common marks; no fractions, superscripts or rare spaces.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-±´-¸º»¿-ſΑ-ΡΣ-ωА-я‐-‧‰-⁞€]*")
-KEEP = 1_000_000  #: pre-tokens that a worker remembers, about 200 bytes each
+KEEP = 400_000  #: pre-tokens that a worker remembers, about 200 bytes each
 KEEP_CHARS = 40  #: longest pre-token remembered
 
 
