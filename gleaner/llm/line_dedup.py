@@ -92,3 +92,28 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs
     left = F.expr(f"array_join(transform(filter(transform(split({taken}, '\n'), (x, i) -> struct(x AS x, i AS i)), s -> NOT array_contains(_drops, s.i)), s -> s.x), '\n')")
     out = out.withColumn(text, F.when(F.col("_drops").isNull(), F.col(taken)).otherwise(left)).withColumn("lines_dropped", F.coalesce(F.size("_drops"), F.lit(0)))
     return out.select(*[F.col(c) for c in df.columns], F.when(F.col("lines_dropped") < 0, 0).otherwise(F.col("lines_dropped")).cast("int").alias("lines_dropped"))
+
+
+def sql(crc: str, crc_table: str, min_docs: int = MIN_DOCS, similar: float = SIMILAR, depth: int = DEPTH) -> str:
+    field, space = _FIELD, _SPACE
+    return rf"""
+WITH {crc_table},
+d AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
+r AS (SELECT id, text, generate_subscripts(s, 1) AS pos, unnest(s) AS raw FROM (SELECT id, text, string_split(text, chr(10)) AS s FROM d)),
+m AS (SELECT id, pos, regexp_replace(trim(regexp_replace(raw, '{space}', ' ', 'g')), '{field}', '<*>', 'g') AS line FROM r WHERE regexp_matches(raw, '[^ 	
+
+]')),
+t AS (SELECT id, pos, line, string_split(line, ' ') AS tok FROM m),
+l AS (SELECT *, len(tok) || ' ' || array_to_string(tok[1:{depth}], ' ') AS leaf FROM t),
+k AS (SELECT leaf FROM l GROUP BY leaf HAVING count(DISTINCT id) >= {min_docs}),
+c AS (SELECT l.*, n.copies FROM l JOIN k USING (leaf) JOIN (SELECT d.id, count(*) AS copies FROM documents x JOIN d ON x.text = d.text GROUP BY d.id) n ON n.id = l.id),
+g AS (SELECT leaf, line, tok, sum(copies) AS many FROM c GROUP BY ALL),
+top AS (SELECT leaf, arg_max(tok, (many, 0)) AS unused, max(many) AS many FROM g GROUP BY leaf),
+main AS (SELECT leaf, min(line) AS main FROM g JOIN top USING (leaf, many) GROUP BY leaf),
+p AS (SELECT leaf, line, CASE WHEN len(list_filter(range(1, len(tok) + 1), lambda i: tok[i] = string_split(main, ' ')[i])) / len(tok)::DOUBLE >= {similar} THEN main ELSE line END AS template FROM g JOIN main USING (leaf)),
+a AS (SELECT leaf, template, count(DISTINCT id) AS docs, min(id) AS first FROM c JOIN p USING (leaf, line) GROUP BY ALL HAVING count(DISTINCT id) >= {min_docs}),
+h AS (SELECT DISTINCT c.id, c.pos FROM c JOIN p USING (leaf, line) JOIN a USING (leaf, template) WHERE c.id <> a.first),
+o AS (SELECT r.id, count(h.pos)::INTEGER AS dropped, coalesce(string_agg(r.raw, chr(10) ORDER BY r.pos) FILTER (h.pos IS NULL), '') AS text FROM r LEFT JOIN h USING (id, pos) GROUP BY r.id),
+f AS (SELECT x.doc_id, coalesce(o.dropped, 0) AS lines_dropped, CASE WHEN o.dropped > 0 THEN o.text ELSE x.text END AS text FROM documents x LEFT JOIN d ON x.text = d.text LEFT JOIN o ON o.id = d.id)
+SELECT doc_id, lines_dropped::INTEGER AS lines_dropped, strlen(text)::BIGINT AS n_bytes, {crc} AS text_crc32 FROM f CROSS JOIN crc_table
+"""

@@ -310,3 +310,17 @@ def ngram_jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", w
     linked = found.join(named, "label").select(F.col("node").alias("fp"), "component")
     classes = firsts.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
     return sizes.join(classes, "fp", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("key")).otherwise(F.col("component")).alias("component_id"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) END AS grams FROM w),
+e AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * k >= 80 * (len(x.grams) + len(y.grams) - k)),
+pairs AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other)
+SELECT s.doc_id, len(s.grams) AS n_shingles, r.component_id FROM s JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) r ON r.id = s.doc_id
+"""

@@ -70,4 +70,11 @@ QUERIES = {
     for f in (op1_ngram_join, op2_url_filters, op3_sharding, op4_topk_search, op5_token_counts, op6_mixing, op7_line_dedup, op8_quality_rules, op9_language_id, op10_packing)
 }
 
-SQL = {"op2_url_filters": url_filters.SQL, "op4_topk_search": topk_search.SQL, "op6_mixing": mixing.sql()}
+SQL = {
+    "op1_ngram_join": ngram_join.SQL,
+    "op2_url_filters": url_filters.SQL,
+    "op3_sharding": sharding.sql(SHARDS),
+    "op4_topk_search": topk_search.SQL,
+    "op6_mixing": mixing.sql(),
+    "op7_line_dedup": line_dedup.sql(sharding.crc_sql("text"), sharding.CRC_TABLE_SQL),
+}

@@ -57,9 +57,20 @@ def shard(df: DataFrame, weights: Sequence[float], grown: Sequence[float], key:
     )
 
 
-def sql(n: int) -> str:
-    """DuckDB has no CRC-32; its table-driven form folds over the bytes of the text."""
-    def best(k: int) -> str:
-        return "(SELECT s FROM (" + " UNION ALL ".join(f"SELECT {s} AS s, 1.0 / -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{s}'), 1, 12))::BIGINT::DOUBLE + 0.5) / {float(1 << 48)}) AS score" for s in range(k)) + ") ORDER BY score DESC, s LIMIT 1)"
+#: DuckDB has no CRC-32; this folds the usual table (made by its rule) over the bytes of a text's hexadecimal form.
+CRC_TABLE_SQL = "crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c FROM range(256) r(i)))"
 
-    return best(n)
+
+def crc_sql(text: str) -> str:
+    data = f"hex(encode({text}))"
+    bytes_ = f"list_transform(string_split_regex(regexp_replace({data}, '(..)', '\\1 ', 'g'), ' '), lambda h: ('0x' || nullif(h, ''))::BIGINT)"
+    return f"xor(list_reduce(list_filter({bytes_}, lambda b: b IS NOT NULL), lambda a, b: xor(a >> 8, crc_table.t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def sql(shards: int) -> str:
+    score = "1.0 / -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || s), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)"
+    return f"""WITH {CRC_TABLE_SQL},
+    x AS (SELECT doc_id, s, {score} AS score FROM documents, range({shards + 1}) r(s)),
+    p AS (SELECT doc_id, arg_max(s, score) FILTER (s < {shards}) AS shard, arg_max(s, score) AS grown FROM x GROUP BY doc_id),
+    d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {crc_sql("coalesce(text, '')")} AS crc, shard, grown FROM documents JOIN p USING (doc_id) CROSS JOIN crc_table)
+    SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, crc, size) - 1 AS slot, grown::INTEGER AS grown_shard FROM d"""
