@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carry import carried, restored
 from .store import saved
 
 BITS = 22  #: the bitmap has 2^BITS bits: 65536 rows of 16 bytes at most, whatever the number of keys
@@ -22,7 +23,7 @@ def _mask(key: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), (_bit(key) % 64).cast("int"))
 
 
-def maybe_in(df: DataFrame, key: str, keys: DataFrame, name: str = "_maybe") -> DataFrame:
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, name: str = "_maybe") -> DataFrame:  # df: an operator's own columns
     """df with a boolean that is true for every row whose key is in `keys` (a saved table with that column).
 
     It comes from a bitmap of hashed keys, of fixed size, that is broadcast; false answers are exact, true ones are
@@ -38,7 +39,7 @@ def without_keys(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
 
     Only rows whose bit is set are shuffled, to an exact anti-join that merges at any size.
     """
-    marked = maybe_in(df, key, dropped)
-    sure = marked.where("NOT _maybe").select(*df.columns)
-    checked = marked.where("_maybe").select(*df.columns).join(dropped.select(key).hint("merge"), key, "left_anti").select(*df.columns)
-    return sure.unionByName(checked)
+    gone = dropped.select(F.col(key).alias("_key"))
+    marked = maybe_in(carried(df, _key=key), "_key", gone)
+    checked = marked.where("_maybe").join(gone.hint("merge"), "_key", "left_anti")
+    return marked.where("NOT _maybe").unionByName(checked).select(*restored(df))

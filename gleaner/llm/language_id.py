@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
+from .carry import pick
 
 BUCKETS = 1 << 15
 TRAIN_ROWS = 3000
@@ -117,7 +118,7 @@ def held_out(key: str):
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAIN_ROWS) -> DataFrame:
     """(key, held_out, lang_pred, score) for every row; a null key is never held out."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(held_out(key), F.lit(False)).alias("held_out"), F.col(lang).cast("string").alias("lang"))
+    rows = pick(df, key=key, text=text, lang=lang).select("key", F.col("text").cast("string").alias("text"), F.coalesce(held_out("key"), F.lit(False)).alias("held_out"), F.col("lang").cast("string").alias("lang"))
     model = train(rows.where("NOT held_out").select("key", "text", "lang"), bound)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["key"].dataType.simpleString()

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carry import carried, restored
 from .keys import maybe_in
 from .store import saved
 
@@ -72,26 +73,22 @@ def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, sim
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
-    """df with the text column's recurring lines dropped, plus lines_dropped (int)."""
-    taken = "_text"
-    base = df.withColumnRenamed(text, taken)
-    marked = base.withColumn("_class", F.xxhash64(F.col(taken).cast("string")))
-    slim = marked.select(F.col(key).alias("id"), F.col("_class").alias("class"), F.col(taken).cast("string").alias("text")).where("text IS NOT NULL")
-    lines = lines_of(slim)
+    """df with the text column's recurring lines dropped, plus lines_dropped (int, replacing a column of that name)."""
+    marked = carried(df, apart=text, id=key, text=text).withColumn("text", F.col("text").cast("string")).withColumn("class", F.xxhash64("text"))
+    lines = lines_of(marked.select("id", "class", "text").where("text IS NOT NULL"))
     hashes = saved(lines.drop("line"), "hashes")
     again = saved(recurring(lines, hashes, min_docs), "recurring")
     hit = hashes.join(again, ["leaf", "hash"])
     if keep_first:
         hit = hit.where("class <> first")
     # Equal texts have equal lines at equal places, so drops are gathered per class, once for all its copies.
-    drops = saved(hit.select("class", "pos").distinct().groupBy("class").agg(F.collect_list("pos").alias("_drops")).withColumnRenamed("class", "_class"), "drops")
+    drops = saved(hit.select("class", "pos").distinct().groupBy("class").agg(F.collect_list("pos").alias("drops")), "drops")
     # Texts without drops don't move; the others merge with their drops, whatever the number of these.
-    told = maybe_in(marked, "_class", drops, "_hit")
-    still = told.where("NOT _hit").withColumn("_drops", F.lit(None).cast("array<int>"))
-    out = still.unionByName(told.where("_hit").join(drops.hint("merge"), "_class", "left"))
-    left = F.expr(f"array_join(transform(filter(transform(split({taken}, '\n'), (x, i) -> struct(x AS x, i AS i)), s -> NOT array_contains(_drops, s.i)), s -> s.x), '\n')")
-    out = out.withColumn(text, F.when(F.col("_drops").isNull(), F.col(taken)).otherwise(left)).withColumn("lines_dropped", F.coalesce(F.size("_drops"), F.lit(0)))
-    return out.select(*[F.col(c) for c in df.columns], F.when(F.col("lines_dropped") < 0, 0).otherwise(F.col("lines_dropped")).cast("int").alias("lines_dropped"))
+    told = maybe_in(marked, "class", drops, "_hit")
+    still = told.where("NOT _hit").withColumn("drops", F.lit(None).cast("array<int>"))
+    out = still.unionByName(told.where("_hit").join(drops.hint("merge"), "class", "left"))
+    left = F.expr("array_join(transform(filter(transform(split(text, '\n'), (x, i) -> struct(x AS x, i AS i)), s -> NOT array_contains(drops, s.i)), s -> s.x), '\n')")
+    return out.select(*restored(df, {text: F.when(F.col("drops").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left), "lines_dropped": F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops"))}))
 
 
 def sql(crc: str, crc_table: str, min_docs: int = MIN_DOCS, similar: float = SIMILAR, depth: int = DEPTH) -> str:

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carry import carried, restored
 from .store import discard, saved
 
 MARGINS = ("source", "lang", "topic")
@@ -67,18 +68,19 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], sweeps: int = SWEEPS) ->
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, temper: dict[str, float] = TEMPER, seed: int = 17) -> DataFrame:
-    """df with _source, _lang, _topic, tokens, probability and kept."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    named = df.withColumn("_tokens", F.regexp_count(body, F.lit(WORD)).cast("long"))
-    named = named.withColumns({"_topic": topic_of(body, F.col("_tokens")), "_source": F.coalesce(F.col("source").cast("string"), F.lit("(none)")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("(none)"))})
-    cells = saved(named.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0"), "cells")
+    """df with _source, _lang, _topic, _tokens, probability and kept (which replace columns of these names)."""
+    named = carried(df, key=key, text=text, source="source", lang="lang")
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
+    named = named.withColumn("tokens", F.regexp_count(body, F.lit(WORD)).cast("long")).withColumns({"topic": topic_of(body, F.col("tokens")), "source": none("source"), "lang": none("lang")}).drop("text")
+    cells = saved(named.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
     goals = {m: saved(targets(cells, m, temper[m]), "goal") for m in MARGINS}
     factor = saved(rake(cells, goals, sweeps), "fitted")
     most = factor.agg(F.max("factor").alias("most"))
-    odds = saved(factor.join(F.broadcast(most), how="cross").select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), (F.col("factor") / F.col("most")).alias("_odds")), "odds")
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    out = named.join(odds, ["_source", "_lang", "_topic"], "left").withColumn("probability", F.coalesce("_odds", F.lit(1.0)))
-    return out.select(*[F.col(c) for c in df.columns], "_source", "_lang", "_topic", "_tokens", "probability", (draw < F.col("probability")).alias("kept"))
+    odds = saved(factor.join(F.broadcast(most), how="cross").select(*MARGINS, (F.col("factor") / F.col("most")).alias("odds")), "odds")
+    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    out = named.join(odds, list(MARGINS), "left").withColumn("probability", F.coalesce("odds", F.lit(1.0)))
+    return out.select(*restored(df, {"_source": F.col("source"), "_lang": F.col("lang"), "_topic": F.col("topic"), "_tokens": F.col("tokens"), "probability": F.col("probability"), "kept": draw < F.col("probability")}))
 
 
 def sql(sweeps: int = SWEEPS, temper: dict[str, float] = TEMPER, seed: int = 17) -> str:

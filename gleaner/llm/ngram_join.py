@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
+from .carry import pick
 from .graph import components
 from .shingles import WORDS, distinct, hashes, mix
 from .store import saved
@@ -292,7 +293,7 @@ def ngram_jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", w
     entries (12 bytes each) well within a task's memory.
     """
     spark = df.sparkSession
-    texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    texts = pick(df, key=key, text=text).select(F.col("key").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = saved(texts.mapInArrow(_sizes(words), "key long, n long, fp long"), "sizes")
     sets = saved(survivors(texts, words, blocks), "sets")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import slices
+from .carry import pick
 from .pieces import pieces, texts_of
 from .store import saved
 
@@ -121,7 +122,7 @@ def places(bins: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
 def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece."""
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = pick(df, key=key, text=text).withColumn("text", F.col("text").cast("string"))
     kind = rows.schema["key"].dataType.simpleString()
     cut = rows.mapInArrow(_cut(tokenizer, size, end), f"key {kind}, piece int, start long, length long, crc long")
     cut = saved(cut.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.shiftright("row", 33)), "pieces")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .arrow import slices
+from .carry import carried, pick, restored
 
 FIT_ROWS = 20_000
 MIN_COVER = 10
@@ -116,11 +117,12 @@ def _counts(raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 
 
 def text_stats(df: DataFrame, text: str) -> DataFrame:
-    """(row, COUNTS) for every row; row: the struct of all columns of df, so that their names may clash with COUNTS."""
-    columns = [F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in df.columns]
-    rows = df.select(F.struct(*columns).alias("row"))
+    """(row, COUNTS) for every row; row: the struct of all columns of df by place."""
+    rows = carried(df).withColumnRenamed("_row", "row")
+    at = df.columns.index(text)
+    rows = rows.withColumn("row", F.col("row").withField(f"c{at}", F.col(f"row.c{at}").cast("string")))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_stats(df.columns.index(text)), f"row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(_stats(at), f"row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 #: ratios that rules may test, as (name, numerator, denominator)
@@ -254,10 +256,10 @@ def base_failed() -> Column:
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = FIT_ROWS) -> list[Rule]:
     """Rules from labelled rows that pass the base rules; label 0 is what rules should reject."""
-    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(f"{key} IS NOT NULL AND {label} IN (0, 1)")
+    marked = pick(labels, key=key, label=label).withColumn("label", F.col("label").cast("int")).where("key IS NOT NULL AND label IN (0, 1)")
     marked = marked.withColumn("h", F.xxhash64(F.col("key").cast("string"))).orderBy("h", "key", "label").limit(bound)  # bounded, so it may be sent to every task
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(marked.select("key").distinct()), "key", "left_semi")
-    stats = text_stats(rows, "text").withColumn("key", F.col("row.key")).join(F.broadcast(marked), "key").where(~base_failed())
+    rows = pick(df, key=key, text=text).join(F.broadcast(marked.select("key").distinct()), "key", "left_semi")
+    stats = text_stats(rows, "text").withColumn("key", F.col("row.c0")).join(F.broadcast(marked), "key").where(~base_failed())
     table = stats.select("h", "label", *[c.alias(f) for f, c in features().items()]).orderBy("h", *FEATURES).limit(2 * bound).toPandas()
     if table.empty:
         return []
@@ -267,10 +269,10 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 
 def judge(df: DataFrame, rules: list[Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, COUNTS, base_failed, kept) for every row."""
-    out = text_stats(df.select(F.col(key), F.col(text)), text).withColumn("base_failed", base_failed())
-    return out.select(F.col(f"row.{key}").alias(key), *COUNTS, "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))
+    out = text_stats(pick(df, key=key, text=text), "text").withColumn("base_failed", base_failed())
+    return out.select(F.col("row.c0").alias(key), *COUNTS, "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))
 
 
 def with_verdict(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """The columns of df and `kept`."""
-    return text_stats(df, text).select("row.*", (~base_failed() & verdict(rules)).alias("kept"))
+    """The columns of df and `kept` (which replaces a column of that name)."""
+    return text_stats(df, text).withColumnRenamed("row", "_row").select(*restored(df, {"kept": ~base_failed() & verdict(rules)}))

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import pick
 from .store import saved
 
 
@@ -34,13 +35,13 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 def shard(df: DataFrame, weights: Sequence[float], grown: Sequence[float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) for every row; grown: the weights with one more shard."""
-    data = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = df.select(
-        F.col(key).alias("id"),
+    data = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = pick(df, id=key, text=text).select(
+        "id",
         (F.octet_length(data) + F.lit(1)).cast("long").alias("size"),
         F.crc32(data.cast("binary")).alias("crc"),
-        rendezvous(F.col(key), weights).alias("shard"),
-        rendezvous(F.col(key), grown).alias("grown"),
+        rendezvous(F.col("id"), weights).alias("shard"),
+        rendezvous(F.col("id"), grown).alias("grown"),
         F.monotonically_increasing_id().alias("tie"),
     )
     rows = saved(rows, "records")

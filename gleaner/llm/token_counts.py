@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
+from .carry import pick
 from .pieces import pieces, texts_of
 
 
@@ -31,6 +32,6 @@ def _count(path: str, limit: int):
 
 def token_counts(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) for every row; tokenizer: path of a byte-level BPE file on every executor."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = pick(df, key=key, text=text).withColumn("text", F.col("text").cast("string"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(_count(tokenizer, limit), f"key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("key", key)

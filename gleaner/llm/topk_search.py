@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import pick
 from .store import saved
 
 SCALE = 64
@@ -185,7 +186,7 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vect
     """(query_id, rank, key, score): for each id divisible by `every`, its k best among all other ids."""
     spark = df.sparkSession
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long").withColumnRenamed("vec_id", key)
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("x")).where(
+    rows = pick(df, id=key, x=vector).select(F.col("id").cast("long").alias("id"), "x").where(
         "id IS NOT NULL AND x IS NOT NULL AND size(x) > 0 AND forall(x, e -> e IS NOT NULL AND NOT isnan(e) AND abs(double(e)) < double('Infinity'))"
     )
     rows = rows.groupBy("id").agg(F.min("x").alias("x")).select("id", (F.col("id") % every == 0).alias("query"), F.expr(f"transform(x, e -> floor({SCALE}D * double(e)))").alias("v"))

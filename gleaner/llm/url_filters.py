@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import pick
 from .store import saved
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -55,7 +56,7 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
 
 def filter_urls(df: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(key, host, path, rule, verdict) for every row of df; rules: (verdict, host, path), path with its slash."""
-    urls = df.select(F.col(key).alias("id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumn("at", canonical(F.col("host")))
+    urls = pick(df, id=key, url=url).select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("at", canonical(F.col("host")))
     swept = saved(urls.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("at", "id", "tie").withColumn("part", F.spark_partition_id()), "urls")
     # One row per partition: as many as the shuffle has partitions, whatever the number of urls.
     parts = swept.groupBy("part").agg(F.min("at").alias("least"), F.max("at").alias("most"))
