@@ -1,10 +1,43 @@
-"""Raw buffers of Arrow columns, without copies into Python strings."""
+"""Raw buffers of Arrow columns, without copies into Python strings, and workers that give memory back."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark) -> None:
+    """Let batches of long texts end by their bytes; a session that sets this itself keeps its own bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64m"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def tidy(run):
+    """Wraps a function over batches: a worker lives on after its task, so what the task has freed goes back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays of 1 MB and more return when freed
+        try:
+            yield from run(batches)
+        finally:
+            from . import pieces
+
+            pieces.forget()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and bounds of each row's text; a null row is an empty range."""

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import bounded_batches
+
 
 def _plain(df: DataFrame) -> DataFrame:
+    bounded_batches(df.sparkSession)
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import slices, tidy
 from .carry import pick
 
 BUCKETS = 1 << 15
@@ -76,7 +76,7 @@ def train(rows: DataFrame, bound: int = TRAIN_ROWS) -> tuple[list[str], np.ndarr
     picked = rows.where("lang IS NOT NULL").withColumn("h", F.xxhash64(F.col("key").cast("string")))
     edge = picked.select("h").orderBy("h").limit(bound).agg(F.max("h").alias("edge"))
     sample = picked.join(F.broadcast(edge), F.col("h") <= F.col("edge")).select("text", "lang")
-    counts = sample.mapInArrow(_train, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(_train), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))[:MOST_LANGUAGES]
     where = {x: i for i, x in enumerate(langs)}
@@ -122,4 +122,4 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     model = train(rows.where("NOT held_out").select("key", "text", "lang"), bound)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "text", "held_out").mapInArrow(_predict(shared), f"key {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("key", key)
+    return rows.select("key", "text", "held_out").mapInArrow(tidy(_predict(shared)), f"key {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("key", key)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import slices, tidy
 from .carry import pick
 from .graph import components
 from .shingles import WORDS, distinct, hashes, mix
@@ -252,16 +252,16 @@ def _each(batch, words):
 def survivors(texts: DataFrame, words: int, blocks: int) -> DataFrame:
     """One row per distinct set that may link: fp, n, typical, its shared n-grams and the rarest of them."""
     common = common_grams(texts, words)
-    entries = texts.select("text").mapInArrow(_incidence(words, blocks, common), BLOBS)
-    turned = entries.repartition(blocks, "block").mapInArrow(_turn(blocks), BLOBS)
-    return turned.repartition(blocks, "block").mapInArrow(_survivors, "fp long, n long, typical double, grams binary, rarest array<long>")
+    entries = texts.select("text").mapInArrow(tidy(_incidence(words, blocks, common)), BLOBS)
+    turned = entries.repartition(blocks, "block").mapInArrow(tidy(_turn(blocks)), BLOBS)
+    return turned.repartition(blocks, "block").mapInArrow(tidy(_survivors), "fp long, n long, typical double, grams binary, rarest array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (x, y) of fingerprints that do link."""
     left = sets.select(F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("grams").alias("xs"))
     right = sets.select(F.col("fp").alias("y"), F.col("n").alias("yn"), F.col("grams").alias("ys"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "xn", "yn", "xs", "ys").mapInArrow(_products, "x long, y long")
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "xn", "yn", "xs", "ys").mapInArrow(tidy(_products), "x long, y long")
 
 
 _SIZES_FIT = "5 * least(n, on) >= 4 * greatest(n, on)"
@@ -295,7 +295,7 @@ def ngram_jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", w
     spark = df.sparkSession
     texts = pick(df, key=key, text=text).select(F.col("key").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = saved(texts.mapInArrow(_sizes(words), "key long, n long, fp long"), "sizes")
+    sizes = saved(texts.mapInArrow(tidy(_sizes(words)), "key long, n long, fp long"), "sizes")
     sets = saved(survivors(texts, words, blocks), "sets")
     lists = sets.select("fp", "n", "typical", F.explode("rarest").alias("gram"))
     links = saved(verified(starred(lists), sets), "links")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import slices, tidy
 from .carry import pick
 from .pieces import pieces, texts_of
 from .store import saved
@@ -124,7 +124,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
     spark = df.sparkSession
     rows = pick(df, key=key, text=text).withColumn("text", F.col("text").cast("string"))
     kind = rows.schema["key"].dataType.simpleString()
-    cut = rows.mapInArrow(_cut(tokenizer, size, end), f"key {kind}, piece int, start long, length long, crc long")
+    cut = rows.mapInArrow(tidy(_cut(tokenizer, size, end)), f"key {kind}, piece int, start long, length long, crc long")
     cut = saved(cut.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.shiftright("row", 33)), "pieces")
     # At most `size` lengths per written partition.
     counts = saved(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")

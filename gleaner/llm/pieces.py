@@ -98,6 +98,12 @@ def pieces(path: str, ids: bool) -> Pieces:
     return _made[path, ids]
 
 
+def forget() -> None:
+    """Empty this worker's tables; the library stays."""
+    for each in _made.values():
+        each.cache = {}
+
+
 def texts_of(part, raw, bounds) -> list[str]:
     data = memoryview(raw)
     return [str(data[a:b], "utf-8") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .arrow import slices
+from .arrow import slices, tidy
 from .carry import carried, pick, restored
 
 FIT_ROWS = 20_000
@@ -122,7 +122,7 @@ def text_stats(df: DataFrame, text: str) -> DataFrame:
     at = df.columns.index(text)
     rows = rows.withColumn("row", F.col("row").withField(f"c{at}", F.col(f"row.c{at}").cast("string")))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_stats(at), f"row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(tidy(_stats(at)), f"row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 #: ratios that rules may test, as (name, numerator, denominator)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import slices, tidy
 from .carry import pick
 from .pieces import pieces, texts_of
 
@@ -34,4 +34,4 @@ def token_counts(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     """(key, n_bytes, n_tokens, over_limit) for every row; tokenizer: path of a byte-level BPE file on every executor."""
     rows = pick(df, key=key, text=text).withColumn("text", F.col("text").cast("string"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_count(tokenizer, limit), f"key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(_count(tokenizer, limit)), f"key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("key", key)

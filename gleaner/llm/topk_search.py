@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import tidy
 from .carry import pick
 from .store import saved
 
@@ -198,12 +199,12 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vect
     rows = rows.where(F.size("v") == dim)
     sample = rows.select(F.xxhash64("id").alias("h"), "v").orderBy("h").limit(SAMPLE).select("v").toPandas()["v"]
     shared = _geometry(np.stack(sample.to_list()).astype(np.float64), top)
-    keyed = rows.select("id", "query", "v").mapInArrow(_keyed(shared, top), "id long, query boolean, ring int, far double, v binary")
+    keyed = rows.select("id", "query", "v").mapInArrow(tidy(_keyed(shared, top)), "id long, query boolean, ring int, far double, v binary")
     dealt = keyed.repartitionByRange("ring", "far", "id").sortWithinPartitions("ring", "far", "id")
-    chunks = saved(dealt.mapInArrow(_chunked(k, dim), CHUNKS), "chunks")
-    asked = chunks.select("q_ids", "q_vs", "q_floor").mapInArrow(_routed(shared, top, dim), "ring int, q_ids binary, q_vs binary, q_floor binary")
+    chunks = saved(dealt.mapInArrow(tidy(_chunked(k, dim)), CHUNKS), "chunks")
+    asked = chunks.select("q_ids", "q_vs", "q_floor").mapInArrow(tidy(_routed(shared, top, dim)), "ring int, q_ids binary, q_vs binary, q_floor binary")
     met = chunks.select("ring", "ids", "vs").join(asked, "ring").select("ids", "vs", "q_ids", "q_vs", "q_floor")
-    found = met.mapInArrow(_searched(k, dim), "query_id long, vec_id long, score long")
+    found = met.mapInArrow(tidy(_searched(k, dim)), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(key), "score")
 
