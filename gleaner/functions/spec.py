@@ -58,10 +58,10 @@ def refusal(reason: Column) -> Column:
 
 def parsed(text: Column) -> dict[str, Column]:
     """route, refuse, conf and axes (field -> signed value; sectors as sat_<sector>) of a spec's first line, nulls if malformed."""
-    first = F.trim(F.split(F.trim(text), "\n").getItem(0))
+    first = F.trim(F.get(F.split(F.trim(text), "\n"), F.lit(0)))
     ok = F.startswith(first, F.lit("route="))
     segments = F.transform(F.split(first, r"\|"), lambda s: F.trim(s))
-    named = lambda key: F.element_at(F.filter(segments, lambda s: F.startswith(s, F.lit(f"{key}="))), 1)
+    named = lambda key: F.get(F.filter(segments, lambda s: F.startswith(s, F.lit(f"{key}="))), F.lit(0))
     after = lambda s: F.trim(F.substring_index(s, "=", -1))
     block = F.flatten(F.transform(F.filter(segments, lambda s: ~F.regexp_like(s, F.lit("^(route|conf|refuse)="))), lambda s: F.split(s, r"\s+")))
     pairs = F.filter(block, lambda t: F.regexp_like(t, F.lit("^[a-z_]+=.+$")))

@@ -25,7 +25,7 @@ def parse_output(text: Column) -> Column:
     def wrong(x: Column) -> Column:
         return F.when(x.isin(BEGIN, END), F.concat(F.lit("stray_control_token:"), x)).when(~F.regexp_like(x, F.lit(_CODE)), F.concat(F.lit("unknown_token:"), x)).when(~_is_code(x), F.concat(F.lit("code_out_of_range:"), x))
 
-    frame = F.array_compact(F.array(F.when(F.get(t, F.lit(0)) != BEGIN, "missing_bos"), F.when(F.element_at(t, -1) != END, "missing_eos")))
+    frame = F.array_compact(F.array(F.when(F.get(t, F.lit(0)) != BEGIN, "missing_bos"), F.when(F.try_element_at(t, F.lit(-1)) != END, "missing_eos")))
     count = F.when((F.size(good) != CODES) | (F.size(inner) != CODES), F.concat(F.lit("token_count_"), F.size(good).cast("string"), F.lit(f"_not_{CODES}")))
     body = F.array_compact(F.concat(F.transform(inner, wrong), F.array(count)))
     errors = (
