@@ -97,7 +97,7 @@ def trilinear_apply(spark, sf_dir):
 
 @query(
     f"""WITH {_PIX}, c AS (SELECT round_even(least(greatest(u, 0), 1) * 8, 0) AS r, round_even(least(greatest(v, 0), 1) * 8, 0) AS g, round_even(least(greatest(w, 0), 1) * 8, 0) AS b, count(*) AS k FROM p GROUP BY ALL)
-    SELECT round(count(*) FILTER (k >= 32) / count(*)::DOUBLE, 6) AS supported_cell_rate, round(sum(k) FILTER (k >= 32) / sum(k)::DOUBLE, 6) AS input_pixel_supported_rate FROM c"""
+    SELECT round(count(*) FILTER (k >= 32) / count(*)::DOUBLE, 6) AS supported_cell_rate, round(coalesce(sum(k) FILTER (k >= 32), 0) / sum(k)::DOUBLE, 6) AS input_pixel_supported_rate FROM c"""
 )
 def support_rates(spark, sf_dir):
     return L.support(_pixels(spark, sf_dir), N).select(*[F.round(c, 6).alias(c) for c in ("supported_cell_rate", "input_pixel_supported_rate")])
