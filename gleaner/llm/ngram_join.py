@@ -8,14 +8,15 @@ documents and pairs before any product is formed:
 * links need 5 * overlap >= 4 * union, so a set of n misses at most n // 5 of its n-grams in a partner: a document
   whose shared n-grams number less than n - n // 5 links with nothing;
 * partners share an n-gram among the n // 5 + 1 rarest of each (one global order: document frequency, then hash);
-* sizes differ by a fifth at most.
+* of two sets that first meet at one n-gram, at most the n-grams from there on are common: if `left` counts these,
+  9 * min(left, left') >= 4 * (n + n').  This holds sizes within a fifth of each other, too.
 
 What is left is multiplied in blocks of pairs.  Copies are one row of the matrix from the start (rows are keyed by a
 fingerprint of the set).  Very common n-grams, found on a bounded sample, skip the turn-around (they are shared
 beyond doubt), so no block holds an n-gram's whole list when that list is long.
 
 Groups of near copies are not expanded into all pairs.  Every n-gram list is first linked to its most typical member
-only; then pairs are formed just between members of one list that are still in different components, which loses no
+only (whose n-grams the most documents hold); then pairs are formed just between members of one list that are still in different components, which loses no
 link between components.
 
 Defined results: null, empty or wordless texts have n_shingles 0 and link with nothing; a null key keeps its row and
@@ -36,7 +37,6 @@ from .graph import components
 from .shingles import WORDS, distinct, hashes, mix
 from .store import saved
 
-HOT = np.uint32(1 << 31)  #: stands for the document frequency of n-grams on the common list
 SAMPLE_DOCS = 1000  #: documents looked at for the list of common n-grams
 COMMON = 0.02  #: share of the sample from which an n-gram is common
 SAMPLE_BYTES = 20_000_000  #: most text in that sample
@@ -132,8 +132,11 @@ def _incidence(words, blocks, common):
     return run
 
 
-def _turn(blocks):
-    """Within each block: keep entries whose n-gram has two documents or more, with that number, by document block."""
+def _turn(blocks, common, often):
+    """Within each block: keep entries whose n-gram has two documents or more, with that number, by document block.
+
+    Common n-grams take their number from the sample, the same everywhere, since their lists are not together here.
+    """
 
     def run(batches):
         held: dict[tuple[int, int], list] = {}
@@ -164,7 +167,7 @@ def _turn(blocks):
             count = np.diff(np.append(head, len(value)))
             df = np.repeat(count, count).astype(np.uint32)
             if kind == 1:
-                df[:] = HOT
+                df = often[np.searchsorted(common, value)]
             order = np.lexsort((value, fp))
             order = order[df[order] > 1]
             if len(order):
@@ -188,7 +191,7 @@ def _survivors(batches):
         fp, n, value, df = fp[order], n[order].astype(np.int64), value[order], df[order]
         head = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
         count = np.diff(np.append(head, len(fp)))
-        out = {k: [] for k in ("fp", "n", "typical", "grams", "rarest")}
+        out = {k: [] for k in ("fp", "n", "shared", "typical", "grams", "rarest")}
         for a, m in zip(head.tolist(), count.tolist()):
             size = int(n[a])
             if m < size - size // 5:
@@ -197,11 +200,12 @@ def _survivors(batches):
             first = np.lexsort((v, d))[: max(0, size // 5 + 1 - (size - m))]
             out["fp"].append(int(fp[a].view(np.int64)))
             out["n"].append(size)
-            out["typical"].append(float(np.log2(d.astype(np.float64)).sum() / size))
+            out["shared"].append(m)
+            out["typical"].append(float(np.log2(d).sum() / size))
             out["grams"].append(np.sort(v).tobytes())
             out["rarest"].append(v[first].view(np.int64).tolist())
         if out["fp"]:
-            yield pa.record_batch([pa.array(out["fp"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["typical"], pa.float64()), pa.array(out["grams"], pa.binary()), pa.array(out["rarest"], pa.list_(pa.int64()))], list(out))
+            yield pa.record_batch([pa.array(out["fp"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["shared"], pa.int64()), pa.array(out["typical"], pa.float64()), pa.array(out["grams"], pa.binary()), pa.array(out["rarest"], pa.list_(pa.int64()))], list(out))
 
 
 def _products(batches):
@@ -232,15 +236,17 @@ def _binary(column):
     return raw, bounds - bounds[0]
 
 
-def common_grams(texts: DataFrame, words: int) -> np.ndarray:
-    """N-grams in COMMON or more of a bounded sample (SAMPLE_DOCS texts, SAMPLE_BYTES); what it misses costs balance only."""
+def common_grams(texts: DataFrame, words: int, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams in COMMON or more of a bounded sample (SAMPLE_DOCS texts, SAMPLE_BYTES) and in how many documents they
+    should be; what the sample misses costs balance only."""
     picked = texts.where("text IS NOT NULL").select("text", F.xxhash64(F.col("text")).alias("h"), F.length("text").alias("size"))
     rows = picked.where(f"size <= {SAMPLE_BYTES // SAMPLE_DOCS}").select(F.col("h"), "text").orderBy("h").limit(SAMPLE_DOCS).toArrow()
     if rows.num_rows < 100:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     grams = [np.unique(v) for batch in rows.select(["text"]).combine_chunks().to_batches() for _, v, _ in _each(batch, words)]
     value, count = np.unique(np.concatenate(grams), return_counts=True)
-    return value[count >= max(8, COMMON * rows.num_rows)]
+    keep = count >= max(8, COMMON * rows.num_rows)
+    return value[keep], np.clip(count[keep] * (documents / rows.num_rows), 2, 2**32 - 1).astype(np.uint32)
 
 
 def _each(batch, words):
@@ -249,12 +255,12 @@ def _each(batch, words):
             yield part, values[a:b], None
 
 
-def survivors(texts: DataFrame, words: int, blocks: int) -> DataFrame:
-    """One row per distinct set that may link: fp, n, typical, its shared n-grams and the rarest of them."""
-    common = common_grams(texts, words)
+def survivors(texts: DataFrame, words: int, blocks: int, documents: int) -> DataFrame:
+    """One row per distinct set that may link: fp, n, how many are shared, typical, the shared n-grams and the rarest, in order."""
+    common, often = common_grams(texts, words, documents)
     entries = texts.select("text").mapInArrow(tidy(_incidence(words, blocks, common)), BLOBS)
-    turned = entries.repartition(blocks, "block").mapInArrow(tidy(_turn(blocks)), BLOBS)
-    return turned.repartition(blocks, "block").mapInArrow(tidy(_survivors), "fp long, n long, typical double, grams binary, rarest array<long>")
+    turned = entries.repartition(blocks, "block").mapInArrow(tidy(_turn(blocks, common, often)), BLOBS)
+    return turned.repartition(blocks, "block").mapInArrow(tidy(_survivors), "fp long, n long, shared long, typical double, grams binary, rarest array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,13 +270,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "xn", "yn", "xs", "ys").mapInArrow(tidy(_products), "x long, y long")
 
 
-_SIZES_FIT = "5 * least(n, on) >= 4 * greatest(n, on)"
+_MAY_LINK = "9 * least(left, oleft) >= 4 * (n + on)"
 
 
 def starred(lists: DataFrame) -> DataFrame:
     """Each member of an n-gram's list with the list's most typical member."""
-    hub = lists.groupBy("gram").agg(F.max(F.struct("typical", "fp", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("gram", F.col("hub.fp").alias("ofp"), F.col("hub.n").alias("on"))
-    return lists.join(hub, "gram").where(f"fp <> ofp AND {_SIZES_FIT}").select(F.least("fp", "ofp").alias("x"), F.greatest("fp", "ofp").alias("y")).distinct()
+    hub = lists.groupBy("gram").agg(F.max(F.struct("typical", "fp", "n", "left")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("gram", F.col("hub.fp").alias("ofp"), F.col("hub.n").alias("on"), F.col("hub.left").alias("oleft"))
+    return lists.join(hub, "gram").where(f"fp <> ofp AND {_MAY_LINK}").select(F.least("fp", "ofp").alias("x"), F.greatest("fp", "ofp").alias("y")).distinct()
 
 
 def crossing(lists: DataFrame) -> DataFrame:
@@ -281,8 +287,8 @@ def crossing(lists: DataFrame) -> DataFrame:
         .where("labels > 1").select("gram", "main")
     )
     mixed = lists.join(main, "gram")
-    minor = mixed.where("label <> main").select("gram", F.col("fp").alias("ofp"), F.col("n").alias("on"), F.col("label").alias("olabel"))
-    pairs = minor.join(mixed.select("gram", "fp", "n", "label"), "gram").where(f"label <> olabel AND {_SIZES_FIT}")
+    minor = mixed.where("label <> main").select("gram", F.col("fp").alias("ofp"), F.col("n").alias("on"), F.col("left").alias("oleft"), F.col("label").alias("olabel"))
+    pairs = minor.join(mixed.select("gram", "fp", "n", "left", "label"), "gram").where(f"label <> olabel AND {_MAY_LINK}")
     return pairs.select(F.least("fp", "ofp").alias("x"), F.greatest("fp", "ofp").alias("y")).distinct()
 
 
@@ -296,8 +302,8 @@ def ngram_jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", w
     texts = pick(df, key=key, text=text).select(F.col("key").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = saved(texts.mapInArrow(tidy(_sizes(words)), "key long, n long, fp long"), "sizes")
-    sets = saved(survivors(texts, words, blocks), "sets")
-    lists = sets.select("fp", "n", "typical", F.explode("rarest").alias("gram"))
+    sets = saved(survivors(texts, words, blocks, sizes.count()), "sets")
+    lists = sets.select("fp", "n", "shared", "typical", F.posexplode("rarest").alias("place", "gram")).withColumn("left", F.col("shared") - F.col("place"))
     links = saved(verified(starred(lists), sets), "links")
     found = saved(components(links), "labels")
     labelled = lists.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
