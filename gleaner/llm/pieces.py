@@ -3,10 +3,14 @@
 A byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in order, and its length is
 the sum of theirs.  The split is the tokenizer's own pattern, written for Python's `re` over the characters of PLAIN;
 texts with other characters, on which regular-expression engines may disagree, are given to the library whole.
+
+Where all ids are wanted, nothing is gained by a table of pre-tokens: the same merges then run in a rank-based encoder
+made from the library's own vocabulary, provided that its merges are in the order of their ids.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections import Counter
@@ -21,6 +25,32 @@ KEEP = 400_000  #: pre-tokens that a worker remembers, about 200 bytes each
 KEEP_CHARS = 40  #: longest pre-token remembered
 
 
+#: The fixed split pattern of this tokenizer family.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def ranked(library):
+    """An encoder by merge ranks over the library's vocabulary, or None where ranks and ids differ in order."""
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    model = json.loads(library.to_str())["model"]
+    vocab, letters = model["vocab"], byte_letters()
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if model["type"] != "BPE" or any(a >= b for a, b in zip(made, made[1:])) or any(c not in vocab or (made and vocab[c] >= made[0]) for c in letters):
+        return None
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Pieces:
     """ids: whether to look up ids (as 32-bit numbers in the machine's order, little-endian here) or only how many."""
 
@@ -34,6 +64,7 @@ class Pieces:
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.value = (lambda x: array("I", x).tobytes()) if ids else len
         self.cache: dict[str, object] = {}
+        self.ranked = ranked(self.library) if ids else None
 
     def _whole(self, text: str):
         return self.value(self.library.encode(text, add_special_tokens=False).ids)
@@ -47,9 +78,12 @@ class Pieces:
         self.cache.update(zip(fresh, [value(e.ids) for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]))
         return [t for t in fresh if len(t) > KEEP_CHARS]
 
+    def _by_rank(self, text: str) -> bytes:
+        return array("I", self.ranked.encode_ordinary(text)).tobytes()
+
     def _split(self, texts: list[str]) -> list[list]:
         """Each text as runs: a list of pre-tokens, or a value that is already known."""
-        out, find = [], SPLIT.findall
+        out, find = [], SPLIT.findall if self.ranked is None else self._by_rank
         for text in texts:
             if self.special is not None and any(s in text for s in self.specials):
                 parts, marks = self.special.split(text), self.special.findall(text)
