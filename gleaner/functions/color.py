@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Linear sRGB to XYZ (D65), the white point, and the hue sectors' centres in degrees.
 RGB_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
 WHITE = (0.95047, 1.0, 1.08883)
-SECTORS = {"red": 30.0, "orange": 60.0, "yellow": 95.0, "green": 140.0, "cyan": 200.0, "blue": 270.0, "magenta": 330.0}
+SECTORS = {"red": 25.0, "orange": 55.0, "yellow": 95.0, "green": 160.0, "cyan": 200.0, "blue": 270.0, "magenta": 330.0}
+ADOBE_GAMMA = 563 / 256
+ADOBE_XYZ = ((0.5767309, 0.1855540, 0.1881852), (0.2973769, 0.6273491, 0.0752741), (0.0270343, 0.0706872, 0.9911085))
 EPS, KAPPA = 216 / 24389, 24389 / 27
 
 
@@ -35,6 +38,25 @@ def with_lab(df: DataFrame, rgb: tuple[str, str, str], out: tuple[str, str, str]
     return df.withColumns({out[0]: 116 * fy - 16, out[1]: 500 * (fx - fy), out[2]: 200 * (fy - fz)}).drop(*names, *xyz, *f)
 
 
+def with_srgb(df: DataFrame, lab: tuple[str, str, str], out: tuple[str, str, str]) -> DataFrame:
+    """Adds sRGB of Lab columns, cut to [0, 1] in linear light; the inverse of with_lab inside the gamut."""
+    fy = (F.col(lab[0]) + 16) / 116
+    df = df.withColumns({"_f0": fy + F.col(lab[1]) / 500, "_f1": fy, "_f2": fy - F.col(lab[2]) / 200})
+    back = lambda f: F.when(F.pow(f, F.lit(3.0)) > EPS, F.pow(f, F.lit(3.0))).otherwise((116 * f - 16) / KAPPA)
+    df = df.withColumns({f"_x{i}": back(F.col(f"_f{i}")) * WHITE[i] for i in range(3)})
+    inverse = np.linalg.inv(np.array(RGB_XYZ))
+    light = {f"_l{i}": F.least(F.lit(1.0), F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, [F.col(f"_x{k}") * float(inverse[i, k]) for k in range(3)]))) for i in range(3)}
+    df = df.withColumns(light)
+    return df.withColumns({c: encoded(F.col(f"_l{i}")) for i, c in enumerate(out)}).drop(*[f"_{p}{i}" for p in "fxl" for i in range(3)])
+
+
+def adobe_to_srgb(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Encoded AdobeRGB to encoded sRGB, cut to the smaller gamut in linear light."""
+    light = [F.pow(F.greatest(v, F.lit(0.0)), F.lit(ADOBE_GAMMA)) for v in (r, g, b)]
+    both = np.linalg.inv(np.array(RGB_XYZ)) @ np.array(ADOBE_XYZ)
+    return tuple(encoded(F.least(F.lit(1.0), F.greatest(F.lit(0.0), reduce(lambda a, c: a + c, [v * float(w) for v, w in zip(light, row)])))) for row in both)
+
+
 def hue(a: Column, b: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0))
 

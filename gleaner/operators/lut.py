@@ -93,23 +93,24 @@ def _axes():
         yield axis, channel, [p for p in "rgb" if p != axis]
 
 
-def foldover(nodes: DataFrame, by: list[str]) -> DataFrame:
-    """Share of steps along each axis on which that axis's own channel falls."""
+def foldover(nodes: DataFrame, by: list[str], severe: float = 0.02) -> DataFrame:
+    """Share of steps along the three axes on which the mean channel falls by more than `severe`."""
+    bright = nodes.withColumn("_m", (F.col("x") + F.col("y") + F.col("z")) / 3)
     steps = None
-    for axis, channel, rest in _axes():
+    for axis, _, rest in _axes():
         order = Window.partitionBy(*by, *rest).orderBy(axis)
-        one = nodes.select(*by, (F.lead(channel).over(order) - F.col(channel)).alias("d")).where("d IS NOT NULL")
+        one = bright.select(*by, (F.lead("_m").over(order) - F.col("_m")).alias("d")).where("d IS NOT NULL")
         steps = one if steps is None else steps.unionByName(one)
-    return steps.groupBy(*by).agg(F.avg((F.col("d") < -1e-9).cast("double")).alias("rate"))
+    return steps.groupBy(*by).agg(F.avg((F.col("d") < -severe).cast("double")).alias("rate"))
 
 
 def second_difference(nodes: DataFrame, n: int, by: list[str], share: float = 0.99) -> DataFrame:
-    """Percentile of the size of second differences of the residual, scaled to a 17-node axis."""
+    """Percentile of the channels' second differences of the residual, scaled to a 17-node axis."""
     base, found = residual(nodes, n), None
     for axis, _, rest in _axes():
         order = Window.partitionBy(*by, *rest).orderBy(axis)
-        gaps = [F.lead(d).over(order) - 2 * F.col(d) + F.lag(d).over(order) for d in ("dx", "dy", "dz")]
-        one = base.select(*by, F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]).alias("s")).where("s IS NOT NULL")
+        gaps = F.array(*[F.abs(F.lead(d).over(order) - 2 * F.col(d) + F.lag(d).over(order)) for d in ("dx", "dy", "dz")])
+        one = base.select(*by, gaps.alias("g")).select(*by, F.explode("g").alias("s")).where("s IS NOT NULL")
         found = one if found is None else found.unionByName(one)
     return found.groupBy(*by).agg((F.expr(f"percentile(s, {share})") * ((n - 1) / 16) ** 2).alias("p"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..operators import lut as L
+from ..operators import measure as M
 from ..registry import query
 from ..sources.tables import table
 
@@ -66,14 +67,15 @@ def residual_rms(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_NODES}, d AS (SELECT lut, lead(x) OVER (PARTITION BY lut, g, b ORDER BY r) - x AS d FROM n UNION ALL SELECT lut, lead(y) OVER (PARTITION BY lut, r, b ORDER BY g) - y FROM n UNION ALL SELECT lut, lead(z) OVER (PARTITION BY lut, r, g ORDER BY b) - z FROM n)
-    SELECT lut, round(avg((d < -1e-9)::INTEGER), 6) AS rate FROM d WHERE d IS NOT NULL GROUP BY lut"""
+    f"""WITH {_NODES}, m AS (SELECT *, (x + y + z) / 3 AS m FROM n), d AS (SELECT lut, lead(m) OVER (PARTITION BY lut, g, b ORDER BY r) - m AS d FROM m
+    UNION ALL SELECT lut, lead(m) OVER (PARTITION BY lut, r, b ORDER BY g) - m FROM m UNION ALL SELECT lut, lead(m) OVER (PARTITION BY lut, r, g ORDER BY b) - m FROM m)
+    SELECT lut, round(avg((d < -0.02)::INTEGER), 6) AS rate FROM d WHERE d IS NOT NULL GROUP BY lut"""
 )
 def foldover(spark, sf_dir):
     return L.foldover(_tables(spark, sf_dir), ["lut"]).withColumn("rate", F.round("rate", 6))
 
 
-_D2 = lambda axis, rest: "SELECT lut, sqrt(" + " + ".join(f"(lead({c} - {p} / 8.0) OVER w - 2 * ({c} - {p} / 8.0) + lag({c} - {p} / 8.0) OVER w) ** 2" for c, p in zip("xyz", "rgb")) + f") AS s FROM n WINDOW w AS (PARTITION BY lut, {rest} ORDER BY {axis})"
+_D2 = lambda axis, rest: "SELECT lut, unnest([" + ", ".join(f"abs(lead({c} - {p} / 8.0) OVER w - 2 * ({c} - {p} / 8.0) + lag({c} - {p} / 8.0) OVER w)" for c, p in zip("xyz", "rgb")) + f"]) AS s FROM n WINDOW w AS (PARTITION BY lut, {rest} ORDER BY {axis})"
 
 
 @query(f"WITH {_NODES}, d AS ({_D2('r', 'g, b')} UNION ALL {_D2('g', 'r, b')} UNION ALL {_D2('b', 'r, g')}) SELECT lut, round(quantile_cont(s, 0.99) * 0.25, 6) AS p FROM d WHERE s IS NOT NULL GROUP BY lut")
@@ -124,3 +126,45 @@ def image_statistics(spark, sf_dir):
     """Channel means and deviations, explained variance and correlation per image."""
     rows = _lab(spark, sf_dir).withColumn("image", F.col("l_orderkey") % 50)
     return rows.groupBy("image").agg(F.round(F.avg("u"), 6).alias("mean_u"), F.round(F.stddev_pop("u"), 6).alias("std_u"), F.round(F.regr_r2("l", "u"), 6).alias("r2"), F.round(F.abs(F.corr("l", "v")), 6).alias("corr_v"))
+
+
+@query(f"WITH {_LAB} SELECT l_orderkey, l_linenumber, round(u, 5) AS u, round(v, 5) AS v, round(w, 5) AS w FROM lab")
+def lab_round_trip(spark, sf_dir):
+    """To Lab and back gives the colour itself."""
+    return C.with_srgb(_lab(spark, sf_dir), ("l", "a", "b"), ("u2", "v2", "w2")).select("l_orderkey", "l_linenumber", *[F.round(c + "2", 5).alias(c) for c in "uvw"])
+
+
+@query()
+def behavior_vectors(spark, sf_dir):
+    """The measured behaviour of each table, one row a table."""
+    return M.behavior(_tables(spark, sf_dir), N, "lut")
+
+
+@query()
+def smooth_fill(spark, sf_dir):
+    """Pixels fitted to nodes and diffused over the grid, per line number."""
+    pixels = _pixels(spark, sf_dir).select(F.col("l_linenumber").alias("lut"), "u", "v", "w", F.pow("u", F.lit(0.9)).alias("x"), F.col("v").alias("y"), F.col("w").alias("z"))
+    return M.smooth_fill(M.scattered_fit(pixels, 5, "lut"), 5, "lut").select("lut", "r", "g", "b", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query(
+    f"""WITH {_PIX} SELECT l_linenumber AS lut, round_even(least(greatest(u, 0), 1) * 4, 0)::INTEGER AS r, round_even(least(greatest(v, 0), 1) * 4, 0)::INTEGER AS g, round_even(least(greatest(w, 0), 1) * 4, 0)::INTEGER AS b, count(*) AS k, round(avg(v), 6) AS y FROM p GROUP BY ALL"""
+)
+def scattered_fit(spark, sf_dir):
+    """Mean target of the pixels nearest to each node."""
+    pixels = _pixels(spark, sf_dir).select(F.col("l_linenumber").alias("lut"), "u", "v", "w", F.col("u").alias("x"), F.col("v").alias("y"), F.col("w").alias("z"))
+    return M.scattered_fit(pixels, 5, "lut").select("lut", "r", "g", "b", "k", F.round("y", 6).alias("y"))
+
+
+@query()
+def procedural_catalog(spark, sf_dir):
+    """The generated tables of every attribute at three strengths, nine nodes an axis."""
+    return M.procedural(spark, 9).select("name", "r", "g", "b", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query(f"WITH {_NODES} SELECT lut, round(avg(e), 6) AS mean, round(least(120, CASE WHEN avg(q) <= 1e-20 THEN 120 ELSE 10 * log10(1 / avg(q)) END), 4) AS psnr FROM (SELECT lut, abs(z - b / 8.0) AS e, ((x - r / 8.0) ** 2 + (y - g / 8.0) ** 2 + (z - b / 8.0) ** 2) / 3 AS q FROM n) GROUP BY lut")
+def table_psnr(spark, sf_dir):
+    """Mean error and signal-to-noise ratio of each table against the identity."""
+    res = L.residual(_tables(spark, sf_dir), N)
+    mse = F.avg((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")) / 3)
+    return res.groupBy("lut").agg(F.round(F.avg(F.abs("dz")), 6).alias("mean"), F.round(F.when(mse <= 1e-20, 120.0).otherwise(F.least(F.lit(120.0), 10 * F.log10(1 / mse))), 4).alias("psnr"))

@@ -72,7 +72,7 @@ def acceptance_criteria(spark, sf_dir):
     return each.unionByName(overall)
 
 
-_WARM = """WITH l AS (SELECT p_partkey, p_brand FROM part WHERE p_size <= 10), i AS (SELECT item_id FROM benchmark WHERE item_id % 10 <> 0),
+_WARM = """WITH l AS (SELECT p_partkey, p_brand FROM part), i AS (SELECT item_id FROM benchmark WHERE length(text) >= 400),
 x AS (SELECT p_partkey, p_brand, item_id, row_number() OVER (PARTITION BY p_partkey ORDER BY item_id) AS k FROM l, i)"""
 
 
@@ -82,13 +82,13 @@ def warmup_pairs(spark, sf_dir):
 
 
 def _warm(spark, sf_dir):
-    """Each part with its first three benchmark items that are not reserved.
+    """Each part with its first three benchmark items that are not reserved (short ones are).
 
     The pairing caps each part's items, so only the first three items (a top-n) ever meet the parts.
     """
-    reserved = table(spark, sf_dir, "benchmark").where("item_id % 10 = 0").select("item_id")
+    reserved = table(spark, sf_dir, "benchmark").where("length(text) < 400").select("item_id")
     items = table(spark, sf_dir, "benchmark").join(reserved, "item_id", "left_anti").select("item_id").orderBy("item_id").limit(3)
-    return table(spark, sf_dir, "part").where("p_size <= 10").select("p_partkey", "p_brand").crossJoin(F.broadcast(items))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand").crossJoin(F.broadcast(items))
 
 
 @query(f"{_WARM} SELECT p_brand, count(*) AS pairs FROM x WHERE k <= 3 GROUP BY p_brand")

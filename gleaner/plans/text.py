@@ -92,11 +92,11 @@ def vague_suggest(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(hits, 1, 3).alias("s")).where("size(s) > 0").select("conv_id", "turn", F.array_join("s", "|").alias("suggestions"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || left(text, 40), chr(10) ORDER BY turn, text) AS preview FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, text) AS preview FROM conversations GROUP BY conv_id")
 def message_preview(spark, sf_dir):
-    """A conversation's turns flattened; the first 40 characters of each turn are the preview's form."""
+    """A conversation's turns flattened to one text."""
     rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", F.struct("turn", "text", "role").alias("m"))
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m")).select("conv_id", F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(": "), F.left(m["text"], F.lit(40)))), "\n").alias("preview"))
+    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m")).select("conv_id", F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("preview"))
 
 
 @query(

@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return put
 
 
-from .plans import acquisition, assembly, color, evaluation, measures, selection, similarity, spec, splits, streams, text  # noqa: E402, F401
+from .plans import acquisition, assembly, color, evaluation, measures, selection, similarity, spec, splits, streams, text, training  # noqa: E402, F401

@@ -196,3 +196,71 @@ def test_invalid_rows_fail_the_job(spark):
     assert require_valid(df, "errors", F.col("tier") == "rejected").count() == 2
     with pytest.raises(Exception, match="invalid row"):
         require_valid(df.replace("rejected", "gold"), "errors", F.col("tier") == "rejected").collect()
+
+
+def test_behaviour_of_simple_tables(spark):
+    import numpy as np
+
+    from gleaner.operators import measure as M
+
+    plain = M.measured(M._cube(np.linspace(0, 1, 17)).reshape(17, 17, 17, 3))
+    for field in ("temperature_delta_b", "mean_l_delta", "chroma_delta", "smoothness", "foldover_rate", "residual_norm", "skin_locus_deltaE00_mean", "contrast_toe_delta", "matte_strength"):
+        assert abs(plain[field]) < 1e-6, field
+    made = M.procedural(spark, 9).toPandas()
+    vectors = {name: M.measured(M._dense(part, 9)) for name, part in made.groupby("name")}
+    for tag, field, sign in (("warmer", "temperature_delta_b", 1), ("cooler", "temperature_delta_b", -1), ("brighter", "mean_l_delta", 1), ("muted", "chroma_delta", -1), ("lifted_blacks", "black_point_l_delta", 1), ("tint_magenta", "tint_delta_a", 1)):
+        values = [sign * vectors[f"{tag}_m{i}"][field] for i in range(3)]
+        assert values[0] > 0.5 and values == sorted(values), tag
+    pairs = np.array([[50, 2.6772, -79.7751], [50, 2.5, 0.0]]), np.array([[50, 0, -82.7485], [73.0, 25, -18]])
+    assert np.allclose(M.ciede2000(*pairs), [2.0425, 27.1492], atol=1e-4)
+
+
+def test_fill_keeps_observed_nodes_and_completes_the_rest(spark):
+    from gleaner.operators import measure as M
+
+    fitted = spark.createDataFrame([("a", 1, 1, 1, 10**9, 0.7, 0.5, 0.5)], "lut string, r int, g int, b int, k long, x double, y double, z double")
+    rows = {(r["r"], r["g"], r["b"]): r for r in M.smooth_fill(fitted, 3, "lut").collect()}
+    assert len(rows) == 27 and abs(rows[1, 1, 1]["x"] - 0.7) < 1e-6 and 0.15 < rows[0, 0, 0]["x"] < 0.21
+
+
+def png(pixels):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    height, width, _ = pixels.shape
+    raw = b"".join(b"\x02" + ((pixels[y].astype(int) - (pixels[y - 1].astype(int) if y else 0)) & 255).astype(np.uint8).tobytes() for y in range(height))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images(spark):
+    import numpy as np
+
+    from gleaner.operators import measure as M
+
+    rng = np.random.default_rng(3)
+    wave = 127 + 100 * np.sin(np.arange(64)[:, None] / 9) * np.cos(np.arange(64)[None, :] / 13)
+    image = np.repeat(wave[:, :, None], 3, axis=2).astype(np.uint8)
+    near = np.clip(image + rng.integers(-1, 2, image.shape), 0, 255).astype(np.uint8)
+    assert (M.read_png(png(image)) == image).all()
+    far = rng.integers(0, 255, (64, 64, 3)).astype(np.uint8)
+    files = spark.createDataFrame([("a", bytearray(png(image))), ("b", bytearray(png(near))), ("c", bytearray(png(far))), ("d", bytearray(b"junk"))], "path string, content binary")
+    h = {r["path"]: r["phash"] for r in M.image_hashes(files).collect()}
+    gap = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    assert gap(h["a"], h["b"]) <= 6 < gap(h["a"], h["c"]) and h["d"] is None
+    level = 2
+    i = np.arange(level**6)
+    edge = level * level
+    hald = np.stack([i % edge, i // edge % edge, i // edge**2], axis=1).reshape(level**3, level**3, 3) * 85
+    assert np.allclose(M.hald_table(hald), M._cube(np.linspace(0, 1, 4)).reshape(4, 4, 4, 3))
+
+
+def test_config_merge():
+    from gleaner.functions.config import merged
+
+    base = {"a": 1, "b": {"c": 2, "d": 3}}
+    assert merged(base, {"b": {"c": 9}}) == {"a": 1, "b": {"c": 9, "d": 3}}
+    with pytest.raises(KeyError, match="b.x"):
+        merged(base, {"b": {"x": 1}})
