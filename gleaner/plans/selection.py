@@ -72,7 +72,7 @@ def acceptance_criteria(spark, sf_dir):
     return each.unionByName(overall)
 
 
-_WARM = """WITH l AS (SELECT p_partkey, p_brand FROM part), i AS (SELECT item_id FROM benchmark WHERE length(text) >= 400),
+_WARM = """WITH l AS (SELECT p_partkey, p_brand FROM part), i AS (SELECT item_id FROM benchmark WHERE length(text) >= 150),
 x AS (SELECT p_partkey, p_brand, item_id, row_number() OVER (PARTITION BY p_partkey ORDER BY item_id) AS k FROM l, i)"""
 
 
@@ -86,7 +86,7 @@ def _warm(spark, sf_dir):
 
     The pairing caps each part's items, so only the first three items (a top-n) ever meet the parts.
     """
-    reserved = table(spark, sf_dir, "benchmark").where("length(text) < 400").select("item_id")
+    reserved = table(spark, sf_dir, "benchmark").where("length(text) < 150").select("item_id")
     items = table(spark, sf_dir, "benchmark").join(reserved, "item_id", "left_anti").select("item_id").orderBy("item_id").limit(3)
     return table(spark, sf_dir, "part").select("p_partkey", "p_brand").crossJoin(F.broadcast(items))
 
