@@ -2,8 +2,9 @@
 
 Documents are summed to cells (source, language, topic).  Iterative proportional fitting scales the cells' token
 weights, one margin after another, until every margin has its target share.  A cell's factor is its fitted over its
-actual weight; documents are kept with a probability in proportion to it, the largest factor being 1, so expected
-tokens have the target shares.  The draw is a hash of the key: the same document always falls the same way.
+actual weight; documents are kept with a probability in proportion to it, so expected tokens have the target shares.
+The factor that means probability 1 is the one that cells with all but SPARE of the tokens stay within: rare cells
+with a large factor, of which a larger corpus has more, are kept whole and don't thin out all others.  The draw is a hash of the key: the same document always falls the same way.
 
 Targets are tempered shares: a value's share of the tokens to the power `temper`, made to sum to 1.  Powers under 1
 lift small sources and lower large ones.  Tables of other targets can be given instead.
@@ -28,6 +29,7 @@ from .store import discard, saved
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS = 6
+SPARE = 0.005
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 WORD = r"[^ \t\n\x0B\f\r]+"
 
@@ -76,8 +78,9 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", sweeps: int = SW
     cells = saved(named.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
     goals = {m: saved(targets(cells, m, temper[m]), "goal") for m in MARGINS}
     factor = saved(rake(cells, goals, sweeps), "fitted")
-    most = factor.agg(F.max("factor").alias("most"))
-    odds = saved(factor.join(F.broadcast(most), how="cross").select(*MARGINS, (F.col("factor") / F.col("most")).alias("odds")), "odds")
+    factor = saved(factor.join(cells, list(MARGINS)), "factors")
+    most = factor.agg(F.expr(f"percentile(factor, {1 - SPARE}, tokens)").alias("most"))
+    odds = saved(factor.join(F.broadcast(most), how="cross").select(*MARGINS, F.least(F.lit(1.0), F.col("factor") / F.col("most")).alias("odds")), "odds")
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
     out = named.join(odds, list(MARGINS), "left").withColumn("probability", F.coalesce("odds", F.lit(1.0)))
     return out.select(*restored(df, {"_source": F.col("source"), "_lang": F.col("lang"), "_topic": F.col("topic"), "_tokens": F.col("tokens"), "probability": F.col("probability"), "kept": draw < F.col("probability")}))
@@ -99,6 +102,8 @@ def sql(sweeps: int = SWEEPS, temper: dict[str, float] = TEMPER, seed: int = 17)
         for m in MARGINS:
             parts.append(f"w{n + 1} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, w.weight * g.target / sum(w.weight) OVER (PARTITION BY w.{m}) AS weight FROM w{n} w JOIN g_{m} g USING ({m}))")
             n += 1
-    parts.append(f"o AS (SELECT source, lang, topic, (weight / tokens) / max(weight / tokens) OVER () AS odds FROM w{n})")
+    parts.append(f"f AS (SELECT source, lang, topic, tokens, weight / tokens AS factor, sum(tokens) OVER (ORDER BY weight / tokens) AS upto, sum(tokens) OVER () AS total FROM w{n})")
+    parts.append(f"m AS (SELECT min(factor) AS most FROM f WHERE upto > floor((total - 1) * {1 - SPARE}))")
+    parts.append("o AS (SELECT source, lang, topic, least(1.0, factor / most) AS odds FROM f, m)")
     draw = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{seed}'), 1, 12))::BIGINT::DOUBLE / {float(1 << 48)}"
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, tokens, round(coalesce(odds, 1.0), 9) AS probability, {draw} < coalesce(odds, 1.0) AS kept FROM t LEFT JOIN o USING (source, lang, topic)"

@@ -259,8 +259,8 @@ def survivors(texts: DataFrame, words: int, blocks: int, documents: int) -> Data
     """One row per distinct set that may link: fp, n, how many are shared, typical, the shared n-grams and the rarest, in order."""
     common, often = common_grams(texts, words, documents)
     entries = texts.select("text").mapInArrow(tidy(_incidence(words, blocks, common)), BLOBS)
-    turned = entries.repartition(blocks, "block").mapInArrow(tidy(_turn(blocks, common, often)), BLOBS)
-    return turned.repartition(blocks, "block").mapInArrow(tidy(_survivors), "fp long, n long, shared long, typical double, grams binary, rarest array<long>")
+    turned = entries.repartitionById(blocks, F.col("block")).mapInArrow(tidy(_turn(blocks, common, often)), BLOBS)
+    return turned.repartitionById(blocks, F.col("block")).mapInArrow(tidy(_survivors), "fp long, n long, shared long, typical double, grams binary, rarest array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

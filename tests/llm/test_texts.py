@@ -216,13 +216,13 @@ def test_raked_weights_meet_the_margins(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randint(5, 300)), rng.choice(["en", "en", "en", "de"]), rng.choice(["s0"] * 6 + ["s1", "s2"]), 1) for i in range(800)]
     df = mixing.mix(spark.createDataFrame(rows, SCHEMA)).toPandas()
-    assert df["probability"].between(0, 1.0000001).all() and abs(df["probability"].max() - 1) < 1e-9
+    assert df["probability"].between(0, 1).all() and df["probability"].max() == 1
     df["expected"] = df["_tokens"] * df["probability"]
     for margin, column in (("source", "_source"), ("lang", "_lang"), ("topic", "_topic")):
         have = df.groupby(column)["_tokens"].sum()
         goal = have ** mixing.TEMPER[margin]
         got = df.groupby(column)["expected"].sum()
-        assert (abs(got / got.sum() - goal / goal.sum()) < 2e-3).all(), margin
+        assert (abs(got / got.sum() - goal / goal.sum()) < 1e-2).all(), margin
     kept = (df["_tokens"] * df["kept"]).groupby(df["_source"]).sum()
     goal = df.groupby("_source")["_tokens"].sum() ** mixing.TEMPER["source"]
     assert (abs(kept / kept.sum() - goal / goal.sum()) < 0.08).all()
