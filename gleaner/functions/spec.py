@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
 from .text import magnitude_bucket
 
 # Bipolar fields with the tags of their two directions.
@@ -88,7 +89,9 @@ def share(claims: Column, other: Column, how: str, tol: float = 1.0) -> Column:
     mine = F.map_entries(claims)
 
     def agrees(e: Column) -> Column:
-        theirs = F.coalesce(F.element_at(other, e["key"]), F.lit(0.0))
+        return let(F.coalesce(F.element_at(other, e["key"]), F.lit(0.0)), lambda theirs: judged(e, theirs))
+
+    def judged(e: Column, theirs: Column) -> Column:
         same = (theirs != 0) & ((e["value"] > 0) == (theirs > 0))
         if how == "bucket":
             return same & (magnitude_bucket(e["value"]) == magnitude_bucket(theirs))
@@ -97,8 +100,8 @@ def share(claims: Column, other: Column, how: str, tol: float = 1.0) -> Column:
             return sign_ok & (F.abs(e["value"] - theirs) <= F.greatest(F.lit(tol), 0.25 * F.abs(e["value"])))
         return same
 
-    return F.when(F.size(mine) == 0, 1.0).otherwise(F.size(F.filter(mine, agrees)) / F.size(mine))
+    return let(mine, lambda m: F.when(F.size(m) == 0, 1.0).otherwise(F.size(F.filter(m, agrees)) / F.size(m)))
 
 
 def f1(p: Column, r: Column) -> Column:
-    return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
+    return let(F.struct(p.alias("p"), r.alias("r")), lambda x: F.when(x["p"] + x["r"] == 0, 0.0).otherwise(2 * x["p"] * x["r"] / (x["p"] + x["r"])))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.let import let
+
 BEGIN, END, REFUSE, CODES, LARGEST = "<lut_bos>", "<lut_eos>", "<unsupported>", 64, 255
 _CODE = "^<lut_[0-9]{3}>$"
 
@@ -15,26 +17,36 @@ def _is_code(t: Column) -> Column:
 
 def parse_output(text: Column) -> Column:
     """struct(kind, codes, errors): lut_tokens, unsupported or invalid, with the reasons in order."""
-    s = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    t = F.split(s, r"\s+")
-    inner = F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0)))
-    good = F.filter(inner, _is_code)
     none = F.lit([]).cast("array<int>")
-    codes = F.transform(good, lambda x: F.substring(x, 6, 3).cast("int"))
 
     def wrong(x: Column) -> Column:
-        return F.when(x.isin(BEGIN, END), F.concat(F.lit("stray_control_token:"), x)).when(~F.regexp_like(x, F.lit(_CODE)), F.concat(F.lit("unknown_token:"), x)).when(~_is_code(x), F.concat(F.lit("code_out_of_range:"), x))
-
-    frame = F.array_compact(F.array(F.when(F.get(t, F.lit(0)) != BEGIN, "missing_bos"), F.when(F.try_element_at(t, F.lit(-1)) != END, "missing_eos")))
-    count = F.when((F.size(good) != CODES) | (F.size(inner) != CODES), F.concat(F.lit("token_count_"), F.size(good).cast("string"), F.lit(f"_not_{CODES}")))
-    body = F.array_compact(F.concat(F.transform(inner, wrong), F.array(count)))
-    errors = (
-        F.when(text.isNull(), F.array(F.lit("null_output"))).when(s == REFUSE, F.lit([]).cast("array<string>")).when(s == "", F.array(F.lit("empty_output")))
-        .when(F.array_contains(t, REFUSE), F.array(F.lit("mixed_unsupported_and_tokens"))).when(F.size(frame) > 0, frame).otherwise(body)
-    )
-    framed = text.isNotNull() & (s != "") & ~F.array_contains(t, REFUSE) & (F.size(frame) == 0)
-    kind = F.when(s == REFUSE, "unsupported").when(framed & (F.size(body) == 0), "lut_tokens").otherwise("invalid")
-    return F.struct(kind.alias("kind"), F.when(framed, codes).otherwise(none).alias("codes"), errors.alias("errors"))
+        fault = F.when(x.isin(BEGIN, END), F.concat(F.lit("stray_control_token:"), x)).when(~F.regexp_like(x, F.lit(_CODE)), F.concat(F.lit("unknown_token:"), x))
+        return fault.otherwise(F.concat(F.lit("code_out_of_range:"), x))
+
+    def framed(t: Column, inner: Column, good: Column) -> Column:
+        bad = F.transform(F.filter(inner, lambda x: ~_is_code(x)), wrong)
+        count = F.when((F.size(good) != CODES) | (F.size(inner) != CODES), F.array(F.concat(F.lit("token_count_"), F.size(good).cast("string"), F.lit(f"_not_{CODES}")))).otherwise(F.lit([]).cast("array<string>"))
+        codes = F.transform(good, lambda x: F.substring(x, 6, 3).cast("int"))
+        return let(F.concat(bad, count), lambda errors: F.struct(F.when(F.size(errors) == 0, "lut_tokens").otherwise("invalid").alias("kind"), codes.alias("codes"), errors.alias("errors")))
+
+    def invalid(*errors: Column) -> Column:
+        return F.struct(F.lit("invalid").alias("kind"), none.alias("codes"), F.array_compact(F.array(*errors)).alias("errors"))
+
+    def tokens(t: Column) -> Column:
+        first, last = F.get(t, F.lit(0)), F.try_element_at(t, F.lit(-1))
+        inner = F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0)))
+        whole = let(inner, lambda i: let(F.filter(i, _is_code), lambda good: framed(t, i, good)))
+        return (
+            F.when(F.array_contains(t, REFUSE), invalid(F.lit("mixed_unsupported_and_tokens")))
+            .when((first != BEGIN) | (last != END), invalid(F.when(first != BEGIN, "missing_bos"), F.when(last != END, "missing_eos")))
+            .otherwise(whole)
+        )
+
+    def trimmed(s: Column) -> Column:
+        refusal = F.struct(F.lit("unsupported").alias("kind"), none.alias("codes"), F.lit([]).cast("array<string>").alias("errors"))
+        return F.when(s.isNull(), invalid(F.lit("null_output"))).when(s == REFUSE, refusal).when(s == "", invalid(F.lit("empty_output"))).otherwise(let(F.split(s, r"\s+"), tokens))
+
+    return let(F.regexp_replace(text, r"^\s+|\s+$", ""), trimmed)
 
 
 def format_codes(codes: Column) -> Column:
