@@ -105,3 +105,22 @@ def share(claims: Column, other: Column, how: str, tol: float = 1.0) -> Column:
 
 def f1(p: Column, r: Column) -> Column:
     return let(F.struct(p.alias("p"), r.alias("r")), lambda x: F.when(x["p"] + x["r"] == 0, 0.0).otherwise(2 * x["p"] * x["r"] / (x["p"] + x["r"])))
+
+
+def shuffled(text: Column, key: Column, seed: int) -> Column:
+    """The axis tokens in the order of a digest of (seed, key, token); other segments stay."""
+    parts = F.split(text, r" \| ")
+    ranked = F.array_sort(F.transform(F.split(F.get(parts, F.lit(1)), " "), lambda t: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), t)).alias("h"), t.alias("t"))))
+    return F.when(F.contains(F.get(parts, F.lit(1)), F.lit("=")), F.array_join(F.concat(F.slice(parts, 1, 1), F.array(F.array_join(F.transform(ranked, lambda s: s["t"]), " ")), F.slice(parts, 3, 9)), " | ")).otherwise(text)
+
+
+def jittered(axes: Column, key: Column, seed: int, width: float = 0.3) -> Column:
+    """Magnitudes moved by up to `width`, by a digest, keeping sign and the smallest written size; hues stay."""
+
+    def move(name: Column, v: Column) -> Column:
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), name)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+        least = F.when(F.startswith(name, F.lit("sat_")), SATURATION).otherwise(MAGNITUDE)
+        moved = v + (2 * u - 1) * width
+        return F.when(F.endswith(name, F.lit("_hue_deg")), v).otherwise(F.bround(F.when(v > 0, F.greatest(moved, least)).when(v < 0, F.least(moved, -least)).otherwise(moved), 1))
+
+    return F.transform_values(axes, move)

@@ -175,3 +175,21 @@ def parse_outputs(spark, sf_dir):
 def fsm_project(spark, sf_dir):
     """The nearest valid output: the refusal, or begin, the first 64 codes padded with code 0, end."""
     return _outputs(spark, sf_dir).select("event_id", project_codes(F.col("text")).alias("projected"))
+
+
+@query(
+    f"""WITH {_FIELDS_SQL}, s AS (SELECT l_orderkey, l_linenumber, {_spec_sql(False)} AS spec FROM m), t AS (SELECT *, string_split(string_split(spec, ' | ')[2], ' ') AS t FROM s)
+    SELECT l_orderkey, l_linenumber, CASE WHEN spec LIKE '%| %=%' THEN 'route=grade | ' || array_to_string(list_transform(list_sort(list_transform(t, lambda x: {{'h': md5('5:' || l_orderkey || ':' || x), 't': x}})), lambda s: s.t), ' ') ELSE spec END AS spec FROM t"""
+)
+def spec_shuffle(spark, sf_dir):
+    """Axis tokens in a hashed order, as training input."""
+    return spec_serialize(spark, sf_dir).select("l_orderkey", "l_linenumber", P.shuffled(F.col("spec"), F.col("l_orderkey"), 5).alias("spec"))
+
+
+@query("SELECT count(*) AS n, count(*) AS bounded, count(*) AS same_sign FROM lineitem")
+def spec_jitter(spark, sf_dir):
+    """Jittered magnitudes stay within 0.3 (and rounding) of their own, keep their sign and stay written."""
+    axes = spec_serialize(spark, sf_dir).select("l_orderkey", P.parsed(F.col("spec"))["axes"].alias("a")).withColumn("j", P.jittered(F.col("a"), F.col("l_orderkey"), 5))
+    gap = F.forall(F.map_entries("a"), lambda e: F.abs(e["value"] - F.element_at("j", e["key"])) <= 0.3501)
+    sign = F.forall(F.map_entries("a"), lambda e: e["value"] * F.element_at("j", e["key"]) >= 0)
+    return axes.agg(F.count("*").alias("n"), F.count_if(gap).alias("bounded"), F.count_if(sign).alias("same_sign"))
