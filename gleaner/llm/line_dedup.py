@@ -4,7 +4,8 @@ A line's path in the tree is its token count and its first DEPTH tokens; tokens
 link are variable fields and read `<*>` on the path.  Leaves that too few different documents reach are cut at once,
 by hashes alone.  In a leaf that stays, its most frequent line (variable fields masked) is the leaf's template; lines
 that agree with it in SIMILAR or more of their positions join it, and positions that disagree become variable; other
-lines keep a template of their own.  A template is recurring when MIN_DOCS or more different documents have it.
+lines keep a template of their own.  A template is recurring when MIN_DOCS or more different documents have it; one of
+LONG or more tokens, which different texts don't share by chance, when LONG_DOCS or more have it.
 
 Every line of a recurring template is dropped, except in the first document that has the template (keep_first):
 boilerplate and repeated passages then stay once in the corpus.  Documents with equal texts count as one document, so
@@ -29,6 +30,8 @@ from .store import saved
 DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 5
+LONG = 8
+LONG_DOCS = 2
 _FIELD = r"[^ \t\n\x0B\f\r]*(?:[0-9]|@|://)[^ \t\n\x0B\f\r]*"
 _SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -44,20 +47,21 @@ def _tokens() -> Column:
 
 
 def lines_of(df: DataFrame) -> DataFrame:
-    """(id, class, pos, line, leaf, hash) for each line that has a token."""
+    """(id, class, pos, line, leaf, long, hash) for each line that has a token."""
     exploded = df.select("id", "class", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).where(F.regexp_like("raw", F.lit(r"[^ \t\n\x0B\f\r]")))
     return exploded.select("id", "class", "pos", masked(F.col("raw")).alias("line")).select(
-        "id", "class", "pos", "line", F.xxhash64(F.size(_tokens()), F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("hash")
+        "id", "class", "pos", "line", F.xxhash64(F.size(_tokens()), F.substring_index("line", " ", DEPTH)).alias("leaf"), (F.size(_tokens()) >= LONG).alias("long"), F.xxhash64("line").alias("hash")
     )
 
 
-def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
+def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, long_docs: int = LONG_DOCS) -> DataFrame:
     """(leaf, hash, template, docs, first) for each line whose template recurs; first: the class of its first document.
 
     hashes: `lines` without the line itself, as a saved table.
     """
-    slim = hashes.select("leaf", "class").distinct()
-    leaves = saved(slim.groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "leaves")
+    enough = F.col("docs") >= F.when(F.col("long"), long_docs).otherwise(min_docs)
+    slim = hashes.select("leaf", "long", "class").distinct()
+    leaves = saved(slim.groupBy("leaf", "long").agg(F.count("*").alias("docs")).where(enough).select("leaf"), "leaves")
     reached = maybe_in(lines, "leaf", leaves).where("_maybe").drop("_maybe").join(leaves.hint("merge"), "leaf")
     distinct = saved(reached.groupBy("leaf", "hash").agg(F.min("line").alias("line"), F.count("*").alias("many")), "lines")
     # The leaf's template line: most frequent, then smallest.
@@ -67,17 +71,17 @@ def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, sim
     grouped = distinct.join(main, "leaf").withColumn("template", F.when(agree >= similar, F.xxhash64("main")).otherwise(F.col("hash"))).select("leaf", "hash", "template")
     grouped = saved(grouped, "templates")
     used = hashes.join(grouped, ["leaf", "hash"])
-    per = used.groupBy("leaf", "template", "class").agg(F.min("id").alias("id")).groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("id", "class")).alias("f"))
-    kept = per.where(F.col("docs") >= min_docs).select("leaf", "template", "docs", F.col("f.class").alias("first"))
+    per = used.groupBy("leaf", "long", "template", "class").agg(F.min("id").alias("id")).groupBy("leaf", "long", "template").agg(F.count("*").alias("docs"), F.min(F.struct("id", "class")).alias("f"))
+    kept = per.where(enough).select("leaf", "template", "docs", F.col("f.class").alias("first"))
     return grouped.join(kept, ["leaf", "template"]).select("leaf", "hash", "template", "docs", "first")
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = True, long_docs: int = LONG_DOCS) -> DataFrame:
     """df with the text column's recurring lines dropped, plus lines_dropped (int, replacing a column of that name)."""
     marked = carried(df, apart=text, id=key, text=text).withColumn("text", F.col("text").cast("string")).withColumn("class", F.xxhash64("text"))
     lines = lines_of(marked.select("id", "class", "text").where("text IS NOT NULL"))
     hashes = saved(lines.drop("line"), "hashes")
-    again = saved(recurring(lines, hashes, min_docs), "recurring")
+    again = saved(recurring(lines, hashes, min_docs, long_docs=long_docs), "recurring")
     hit = hashes.join(again, ["leaf", "hash"])
     if keep_first:
         hit = hit.where("class <> first")

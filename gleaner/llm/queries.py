@@ -46,11 +46,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("probability", 9).alias("probability"), "kept")
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+def _digests(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "lines_dropped", F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule of its SQL: MIN_DOCS texts for lines of any length."""
+    return _digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), long_docs=line_dedup.MIN_DOCS))
+
+
+def op7_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule of the pipeline, which its SQL does not have."""
+    return _digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -67,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_url_filters, op3_sharding, op4_topk_search, op5_token_counts, op6_mixing, op7_line_dedup, op8_quality_rules, op9_language_id, op10_packing)
+    for f in (op1_ngram_join, op2_url_filters, op3_sharding, op4_topk_search, op5_token_counts, op6_mixing, op7_line_dedup, op7_line_dedup_whole, op8_quality_rules, op9_language_id, op10_packing)
 }
 
 SQL = {

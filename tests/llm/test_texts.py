@@ -205,6 +205,16 @@ def test_line_dedup_templates(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_long_lines_recur_from_two_texts(spark):
+    passage = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(55))
+    eight, seven = "a line of eight words in two texts", "a line of seven words in two"
+    rows = [(i, f"{['one', 'two', 'three'][i]} of its own\n{passage}" + (f"\n{eight}\n{seven}" if i else ""), None, None, None) for i in range(3)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == {0: rows[0][1], 1: f"two of its own\n{eight}\n{seven}", 2: f"three of its own\n{seven}"}
+    as_sql = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), long_docs=line_dedup.MIN_DOCS)
+    assert {r["lines_dropped"] for r in as_sql.collect()} == {0}
+
+
 def test_similar_lines_share_a_template(spark):
     names = ["red", "blue", "green", "pink", "grey", "black"]
     rows = [(i, f"dear reader we wish you a very {n} day from all of us", None, None, None) for i, n in enumerate(names)]
