@@ -3,8 +3,9 @@
 A line's path in the tree is its token count and its first DEPTH tokens; tokens that hold a digit, an address or a
 link are variable fields and read `<*>` on the path.  Leaves that too few different documents reach are cut at once,
 by hashes alone.  In a leaf that stays, its most frequent line (variable fields masked) is the leaf's template; lines
-that agree with it in SIMILAR or more of their positions join it, and positions that disagree become variable; other
-lines keep a template of their own.  A template is recurring when MIN_DOCS or more different documents have it; one of
+that agree with it in SIMILAR or more of their positions join it, and positions that disagree become variable.  The
+most frequent line that is left makes the next template, and so on until too few texts are left in the leaf; lines left
+then keep a template of their own.  A template is recurring when MIN_DOCS or more different documents have it; one of
 LONG or more tokens, which different texts don't share by chance, when LONG_DOCS or more have it.
 
 Every line of a recurring template is dropped, except in the first document that has the template (keep_first):
@@ -20,18 +21,22 @@ of them is very frequent.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .carry import carried, restored
 from .keys import maybe_in
-from .store import saved
+from .store import discard, saved
 
 DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 5
 LONG = 8
 LONG_DOCS = 2
+BATCH = 32  #: candidates for templates in a leaf's first further round; each round takes four times as many
+MOST_TOKENS = 1 << 15  #: tokens of a leaf's candidates in a round (one line at least)
 _FIELD = r"[^ \t\n\x0B\f\r]*(?:[0-9]|@|://)[^ \t\n\x0B\f\r]*"
 _SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -54,7 +59,45 @@ def lines_of(df: DataFrame) -> DataFrame:
     )
 
 
-def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, long_docs: int = LONG_DOCS) -> DataFrame:
+def _agreeing(a: Column, b: Column, similar: float) -> Column:
+    """Whether two arrays of tokens agree in enough positions."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    return same / F.size(a) >= similar
+
+
+def further(left: DataFrame, hashes: DataFrame, least: Column, similar: float) -> list[DataFrame]:
+    """Tables (leaf, hash, template) of the lines of `left` that join a further template of their leaf or make one.
+
+    left: (leaf, long, hash, line, many), a saved table of lines that joined none.  Each round goes on with the leaves
+    that enough texts reach by lines still left.  A leaf's next lines in order are candidates, those like an earlier
+    one are struck, and every line left joins the first like it: the same templates as one at a time.
+    """
+    out, batch, seen = [], BATCH, hashes
+    order = Window.partitionBy("leaf").orderBy(F.desc("many"), "line")
+    tokens = lambda c: F.split(c, " ")
+    while True:
+        near = maybe_in(seen, "hash", left).where("_maybe").drop("_maybe")
+        now = saved(near.join(left.select("leaf", "hash").hint("merge"), ["leaf", "hash"]).select("leaf", "long", "hash", "class").distinct(), "left")
+        if seen is not hashes:
+            discard(seen)
+        seen = now
+        leaves = saved(seen.select("leaf", "long", "class").distinct().groupBy("leaf", "long").agg(F.count("*").alias("docs")).where(least).select("leaf"), "leaves")
+        if leaves.isEmpty():
+            return out
+        rest = left.join(leaves.hint("merge"), "leaf")
+        size = F.greatest(F.lit(1), F.least(F.lit(batch), F.floor(F.lit(MOST_TOKENS) / F.size(tokens(F.col("line"))))))
+        first = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= batch).where(F.col("rank") <= size)
+        listed = first.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "hash", tokens(F.col("line")).alias("tokens")))).alias("found"))
+        struck = F.aggregate("found", F.slice("found", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: _agreeing(k["tokens"], x["tokens"], similar)), kept).otherwise(F.concat(kept, F.array(x))))
+        heads = saved(listed.select("leaf", struck.alias("heads")), "heads")
+        like = F.filter("heads", lambda k: _agreeing(k["tokens"], tokens(F.col("line")), similar))
+        told = saved(rest.join(heads.hint("merge"), "leaf").withColumn("template", F.get(like, F.lit(0))["hash"]).drop("heads"), "told")
+        out.append(told.where("template IS NOT NULL").select("leaf", "hash", "template"))
+        left = told.where("template IS NULL").drop("template")
+        batch *= 4
+
+
+def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, long_docs: int = LONG_DOCS, all_templates: bool = True) -> DataFrame:
     """(leaf, hash, template, docs, first) for each line whose template recurs; first: the class of its first document.
 
     hashes: `lines` without the line itself, as a saved table.
@@ -63,25 +106,33 @@ def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, sim
     slim = hashes.select("leaf", "long", "class").distinct()
     leaves = saved(slim.groupBy("leaf", "long").agg(F.count("*").alias("docs")).where(enough).select("leaf"), "leaves")
     reached = maybe_in(lines, "leaf", leaves).where("_maybe").drop("_maybe").join(leaves.hint("merge"), "leaf")
-    distinct = saved(reached.groupBy("leaf", "hash").agg(F.min("line").alias("line"), F.count("*").alias("many")), "lines")
+    distinct = saved(reached.groupBy("leaf", "long", "hash").agg(F.min("line").alias("line"), F.count("*").alias("many")), "lines")
     # The leaf's template line: most frequent, then smallest.
     top = distinct.groupBy("leaf").agg(F.max("many").alias("many"))
     main = distinct.join(top, ["leaf", "many"]).groupBy("leaf").agg(F.min("line").alias("main"))
     agree = F.expr("aggregate(zip_with(split(line, ' '), split(main, ' '), (a, b) -> CASE WHEN a = b THEN 1 ELSE 0 END), 0, (s, x) -> s + x) / size(split(line, ' '))")
-    grouped = distinct.join(main, "leaf").withColumn("template", F.when(agree >= similar, F.xxhash64("main")).otherwise(F.col("hash"))).select("leaf", "hash", "template")
-    grouped = saved(grouped, "templates")
+    joined = distinct.join(main, "leaf").withColumn("template", F.when(agree >= similar, F.xxhash64("main")))
+    if all_templates:
+        joined = saved(joined.drop("main"), "joined")
+        left = saved(joined.where("template IS NULL").drop("template"), "left")
+        # A line that no further template takes is alone: its hash is its template.
+        found = further(left, hashes, enough, similar)
+        if found:
+            later = reduce(DataFrame.unionByName, found).withColumnRenamed("template", "later")
+            joined = joined.join(later, ["leaf", "hash"], "left").withColumn("template", F.coalesce("template", "later"))
+    grouped = saved(joined.select("leaf", "hash", F.coalesce("template", "hash").alias("template")), "templates")
     used = hashes.join(grouped, ["leaf", "hash"])
     per = used.groupBy("leaf", "long", "template", "class").agg(F.min("id").alias("id")).groupBy("leaf", "long", "template").agg(F.count("*").alias("docs"), F.min(F.struct("id", "class")).alias("f"))
     kept = per.where(enough).select("leaf", "template", "docs", F.col("f.class").alias("first"))
     return grouped.join(kept, ["leaf", "template"]).select("leaf", "hash", "template", "docs", "first")
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = True, long_docs: int = LONG_DOCS) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = True, long_docs: int = LONG_DOCS, all_templates: bool = True) -> DataFrame:
     """df with the text column's recurring lines dropped, plus lines_dropped (int, replacing a column of that name)."""
     marked = carried(df, apart=text, id=key, text=text).withColumn("text", F.col("text").cast("string")).withColumn("class", F.xxhash64("text"))
     lines = lines_of(marked.select("id", "class", "text").where("text IS NOT NULL"))
     hashes = saved(lines.drop("line"), "hashes")
-    again = saved(recurring(lines, hashes, min_docs, long_docs=long_docs), "recurring")
+    again = saved(recurring(lines, hashes, min_docs, long_docs=long_docs, all_templates=all_templates), "recurring")
     hit = hashes.join(again, ["leaf", "hash"])
     if keep_first:
         hit = hit.where("class <> first")

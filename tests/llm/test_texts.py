@@ -222,6 +222,38 @@ def test_similar_lines_share_a_template(spark):
     assert {r["doc_id"]: r["lines_dropped"] for r in got} == {0: 0} | {i: 1 for i in range(1, 6)}
 
 
+def plain_templates(lines, similar=0.7):
+    """line -> template within one leaf, one template at a time."""
+    order, heads, out = sorted(lines, key=lambda x: (-lines[x], x)), [], {}
+    for x in order:
+        out[x] = next((h for h in heads if sum(a == b for a, b in zip(h.split(" "), x.split(" "))) / len(x.split(" ")) >= similar), None)
+        if out[x] is None:
+            heads.append(x)
+            out[x] = x
+    return out
+
+
+def test_a_leaf_has_as_many_templates_as_families(spark, monkeypatch):
+    monkeypatch.setattr("gleaner.llm.line_dedup.BATCH", 2)  # more than one round
+    rng = random.Random(4)
+    tail = ["sunny skies over hill and lake today", "heavy rain near coast and port tonight", "quiet roads about town and field again", "late trains from north and east now"]
+    rows = []
+    for i in range(32):
+        words = ("in this report " + tail[i % 4]).split(" ")
+        words[rng.choice([3, 5, 9])] = rng.choice("abcdefghijklmnop")
+        rows.append((i, " ".join(words), None, None, None))
+    many = Counter(r[1] for r in rows)
+    templates = plain_templates(many)
+    first = {}
+    for i, text, *_ in rows:
+        first.setdefault(templates[text], text)
+    docs = Counter(templates[x] for x in many)
+    assert sum(n >= 2 for n in docs.values()) >= 4
+    want = {i: int(docs[templates[t]] >= 2 and first[templates[t]] != t) for i, t, *_ in rows}
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r["doc_id"]: r["lines_dropped"] for r in got} == want
+
+
 def test_raked_weights_meet_the_margins(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randint(5, 300)), rng.choice(["en", "en", "en", "de"]), rng.choice(["s0"] * 6 + ["s1", "s2"]), 1) for i in range(800)]
