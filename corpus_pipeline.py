@@ -39,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled towards the target weights."""
-    return mixing.mix(docs).where("kept").select(*COLUMNS)
+    """Documents are sampled towards the target weights; those of rare cells are repeated as often as these need it."""
+    return mixing.mix(docs).where("kept").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Documents are summed to cells (source, language, topic).  Iterative proportional
 weights, one margin after another, until every margin has its target share.  A cell's factor is its fitted over its
 actual weight; documents are kept with a probability in proportion to it, so expected tokens have the target shares.
 The factor that means probability 1 is the one that cells with all but SPARE of the tokens stay within: rare cells
-with a large factor, of which a larger corpus has more, are kept whole and don't thin out all others.  The draw is a hash of the key: the same document always falls the same way.
+with a large factor, of which a larger corpus has more, are kept whole and don't thin out all others.  What they need above probability 1 comes as extra copies: `weight` is a
+document's expected number of copies, `copies` the drawn one, so weighted tokens have the target shares in all cells.  The draw is a hash of the key: the same document always falls the same way.
 
 Targets are tempered shares: a value's share of the tokens to the power `temper`, made to sum to 1.  Powers under 1
 lift small sources and lower large ones.  Tables of other targets can be given instead.
@@ -72,7 +73,7 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], sweeps: int = SWEEPS) ->
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, temper: dict[str, float] = TEMPER, seed: int = 17) -> DataFrame:
-    """df with _source, _lang, _topic, _tokens, probability and kept (which replace columns of these names)."""
+    """df with _source, _lang, _topic, _tokens, probability, kept, weight and copies (which replace columns of these names)."""
     named = carried(df, key=key, text=text, source="source", lang="lang")
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
@@ -82,10 +83,11 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", sweeps: int = SW
     factor = saved(rake(cells, goals, sweeps), "fitted")
     factor = saved(factor.join(cells, list(MARGINS)), "factors")
     most = factor.agg(F.expr(f"percentile(factor, {1 - SPARE}, tokens)").alias("most"))
-    odds = saved(factor.join(F.broadcast(most), how="cross").select(*MARGINS, F.least(F.lit(1.0), F.col("factor") / F.col("most")).alias("odds")), "odds")
+    odds = saved(factor.join(F.broadcast(most), how="cross").select(*MARGINS, (F.col("factor") / F.col("most")).alias("odds")), "odds")
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    out = named.join(odds, list(MARGINS), "left").withColumn("probability", F.coalesce("odds", F.lit(1.0)))
-    return out.select(*restored(df, {"_source": F.col("source"), "_lang": F.col("lang"), "_topic": F.col("topic"), "_tokens": F.col("tokens"), "probability": F.col("probability"), "kept": draw < F.col("probability")}))
+    out = named.join(odds, list(MARGINS), "left").withColumn("weight", F.coalesce("odds", F.lit(1.0))).withColumn("probability", F.least(F.lit(1.0), F.col("weight")))
+    copies = F.floor("weight") + (draw < F.col("weight") - F.floor("weight")).cast("long")
+    return out.select(*restored(df, {"_source": F.col("source"), "_lang": F.col("lang"), "_topic": F.col("topic"), "_tokens": F.col("tokens"), "probability": F.col("probability"), "kept": draw < F.col("probability"), "weight": F.col("weight"), "copies": copies}))
 
 
 def sql(sweeps: int = SWEEPS, temper: dict[str, float] = TEMPER, seed: int = 17) -> str:

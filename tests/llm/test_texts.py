@@ -270,6 +270,18 @@ def test_raked_weights_meet_the_margins(spark):
     assert (abs(kept / kept.sum() - goal / goal.sum()) < 0.08).all()
 
 
+def test_rare_sources_reach_their_targets_by_copies(spark):
+    sources = ["big"] * 1000 + [f"mid{k % 18}" for k in range(1988)] + [f"rare{k % 4}" for k in range(12)]
+    df = mixing.mix(spark.createDataFrame([(i, "w " * 20, "en", s, 1) for i, s in enumerate(sources)], SCHEMA)).toPandas()
+    have = df.groupby("_source")["_tokens"].sum()
+    goal = have ** mixing.TEMPER["source"] / (have ** mixing.TEMPER["source"]).sum()
+    got = (df["_tokens"] * df["weight"]).groupby(df["_source"]).sum()
+    print("ratio by probability", ((p := (df["_tokens"] * df["probability"]).groupby(df["_source"]).sum()) / p.sum() / goal).min(), "by weight", (got / got.sum() / goal).min())
+    assert (abs(got / got.sum() / goal - 1) < 1e-6).all()
+    assert (abs(df["copies"] - df["weight"]) < 1).all() and ((df["copies"] > 0) == df["kept"]).all()
+    assert (df["copies"][df["weight"] > 1] >= 1).all() and df["weight"].max() > 2
+
+
 def test_mixing_awkward_rows(spark):
     out = mixing.mix(frame(spark).repartition(3))
     assert out.count() == len(documents())
