@@ -192,15 +192,25 @@ def _draw_sql(seed: int, *parts: str) -> str:
     return f"(('0x' || substr(md5('{seed}:' || {" || ':' || ".join(parts)}), 1, 8))::BIGINT / {float(1 << 32)})"
 
 
+#: replicates of the intervals to report
+PAIRED_REPLICATES, CLUSTER_REPLICATES = 10_000, 2_000
+
+
 @query(
     f"""WITH {_PAIRED}, d AS (SELECT doc_id, lang, x::INTEGER - y::INTEGER AS delta, 1 AS one FROM p), w AS (SELECT lang, r, delta, {_poisson_sql(_draw_sql(5, 'r', 'doc_id'))} AS w FROM d, range(200) t(r)),
     e AS (SELECT lang, r, sum(w * delta) / nullif(sum(w), 0)::DOUBLE AS x FROM w GROUP BY ALL), q AS (SELECT lang, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high FROM e GROUP BY lang)
     SELECT lang, round(avg(delta), 6) AS estimate, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM d JOIN q USING (lang) GROUP BY lang"""
 )
-def paired_bootstrap(spark, sf_dir):
-    """Mean difference of paired outcomes with its interval, per stratum."""
+def paired_bootstrap(spark, sf_dir, replicates: int = 200):
+    """Mean difference of paired outcomes with its interval, per stratum; with few replicates, for the SQL to follow."""
     rows = _paired(spark, sf_dir).select("doc_id", "lang", F.expr("cast(x AS int) - cast(y AS int)").alias("delta"), F.lit(1).alias("one"))
-    return S.bootstrap_ratio(rows, "delta", "one", "doc_id", 200, 5, ["lang"]).select("lang", *[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
+    return S.bootstrap_ratio(rows, "delta", "one", "doc_id", replicates, 5, ["lang"]).select("lang", *[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
+
+
+@query()
+def paired_bootstrap_whole(spark, sf_dir):
+    """paired_bootstrap with the number of replicates to report."""
+    return paired_bootstrap(spark, sf_dir, PAIRED_REPLICATES)
 
 
 @query(
@@ -208,10 +218,16 @@ def paired_bootstrap(spark, sf_dir):
     e AS (SELECT r, sum(w * c) / nullif(sum(w * t), 0)::DOUBLE AS x FROM w GROUP BY r)
     SELECT (SELECT round(sum(c) / sum(t)::DOUBLE, 6) FROM u) AS estimate, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM e"""
 )
-def cluster_bootstrap(spark, sf_dir):
-    """A ratio over rows with an interval that resamples whole units."""
+def cluster_bootstrap(spark, sf_dir, replicates: int = 400):
+    """A ratio over rows with an interval that resamples whole units; with few replicates, for the SQL to follow."""
     unit = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("unit")).agg(F.count_if(F.expr("l_returnflag = 'R'")).alias("c"), F.count("*").alias("t"))
-    return S.bootstrap_ratio(unit, "c", "t", "unit", 400, 9).select(*[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
+    return S.bootstrap_ratio(unit, "c", "t", "unit", replicates, 9).select(*[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
+
+
+@query()
+def cluster_bootstrap_whole(spark, sf_dir):
+    """cluster_bootstrap with the number of replicates to report."""
+    return cluster_bootstrap(spark, sf_dir, CLUSTER_REPLICATES)
 
 
 @query(f"WITH {_PAIRED} SELECT x, y, count(*) AS n FROM p GROUP BY CUBE (x, y)")

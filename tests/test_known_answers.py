@@ -1,8 +1,10 @@
 """Published or hand-made answers for kernels and rules."""
 
+import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from gleaner.operators.selection import farthest_points, numbered, quota_select
 from gleaner.operators.sharding import reconcile, shard_files
 from gleaner.operators.similarity import cosine_pairs, hamming_pairs, jaccard_pairs
 from gleaner.operators.validation import require_valid
+from gleaner.registry import QUERIES
 
 
 def one(df):
@@ -264,3 +267,36 @@ def test_config_merge():
     assert merged(base, {"b": {"c": 9}}) == {"a": 1, "b": {"c": 9, "d": 3}}
     with pytest.raises(KeyError, match="b.x"):
         merged(base, {"b": {"x": 1}})
+
+
+def plain_bootstrap(units, replicates, seed):
+    """units (key, num, den) -> percentiles of the ratio of sums under Poisson counts."""
+    ratios = []
+    for r in range(replicates):
+        top = bottom = 0
+        for key, num, den in units:
+            u = int(hashlib.md5(f"{seed}:{r}:{key}".encode()).hexdigest()[:8], 16) / 2**32
+            w, total, term = 0, math.exp(-1), math.exp(-1)
+            while w < 8 and u >= total:
+                w += 1
+                term /= w
+                total += term
+            top, bottom = top + w * num, bottom + w * den
+        if bottom:
+            ratios.append(top / bottom)
+    return np.percentile(ratios, [2.5, 97.5])
+
+
+def test_whole_bootstraps_by_brute_force(spark, tmp_path):
+    docs = [(i, "en" if i < 7 else "de", "s") for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    lines = [(k % 5, "R" if (k * 7) % 11 < 4 else "N") for k in range(60)]
+    spark.createDataFrame(lines, "l_suppkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["lang"]: (r["low"], r["high"]) for r in QUERIES["paired_bootstrap_whole"](spark, str(tmp_path)).collect()}
+    for lang in ("en", "de"):
+        u = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:4], 16) % 100 for i, x, _ in docs if x == lang}
+        assert got[lang] == pytest.approx(plain_bootstrap([(i, (v < 80) - (v % 10 < 7), 1) for i, v in u.items()], 10_000, 5), abs=2e-6)
+    units = [(k, sum(f == "R" for s, f in lines if s == k), sum(s == k for s, _ in lines)) for k in range(5)]
+    r = QUERIES["cluster_bootstrap_whole"](spark, str(tmp_path)).first()
+    assert (r["low"], r["high"]) == pytest.approx(plain_bootstrap(units, 2_000, 9), abs=2e-6)
