@@ -104,46 +104,66 @@ def test_sharding_follows_weights(spark):
 
 
 def brute(rows, k, every):
-    seen = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            seen.setdefault(i, []).append(v)
-    vs = {i: np.floor(64.0 * np.array(min(v), np.float64)).astype(np.int64) for i, v in seen.items()}
-    out = set()
-    for q in vs:
+    """Every row against every other row of its length, in Python's own numbers."""
+    vs = [(i, [int(np.floor(64.0 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = Counter()
+    for n, (q, x) in enumerate(vs):
         if q % every == 0:
-            best = sorted(((-int(vs[q] @ vs[c]), c) for c in vs if c != q))[:k]
-            out |= {(q, rank, c, -s) for rank, (s, c) in enumerate(best, 1)}
+            best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y)))), c) for m, (c, y) in enumerate(vs) if m != n and len(y) == len(x))[:k]
+            out.update((q, rank, c, -s) for rank, (s, c) in enumerate(best, 1))
     return out
 
 
-@pytest.mark.parametrize("chunk, block", [(4096, 512), (7, 3)])
-def test_topk_against_brute_force(spark, monkeypatch, chunk, block):
+VECTORS = "vec_id long, embedding array<float>"
+
+
+@pytest.mark.parametrize("chunk, block, span", [(4096, 512, 64 << 20), (7, 3, 500)])
+def test_topk_against_brute_force(spark, monkeypatch, chunk, block, span):
     monkeypatch.setattr(topk_search, "CHUNK", chunk)
     monkeypatch.setattr(topk_search, "BLOCK", block)
+    monkeypatch.setattr(topk_search, "RANGE_BYTES", span)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(5, 8))
     rows = [(i, (centres[i % 5] + 0.1 * rng.normal(size=8)).astype(np.float32).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[20][1]) for i in range(60)] + [(2000, None), (2001, []), (2020, [float("nan")] * 8), (2040, [None] + [0.5] * 7), (2060, [float("inf")] * 8), (None, [0.5] * 8), (2080, [0.0] * 8), rows[0], rows[0]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).repartition(4)
-    got = {tuple(r) for r in topk_search.top_k(df, k=20, every=20).collect()}
-    assert got == brute(rows, 20, 20)
+    rows += [(3000 + i, [float(i), 1.0]) for i in range(25)] + [(3100, [1.0])]
+    df = spark.createDataFrame(rows, VECTORS).withColumn("id", F.lit("clash")).repartition(4)
+    assert Counter(tuple(r) for r in topk_search.top_k(df, k=20, every=20).collect()) == brute(rows, 20, 20)
+
+
+def test_topk_counts_every_row_of_an_id(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [3.0, 3.0]), (0, [2.0, 0.0]), (1, [1.0, 0.0])]
+    got = topk_search.top_k(spark.createDataFrame(rows, VECTORS).repartition(3), k=3).collect()
+    assert Counter(map(tuple, got)) == brute(rows, 3, 20)
+
+
+@pytest.mark.parametrize("size", [1e7, 1e8, 3e9])
+def test_topk_scores_of_large_components(spark, size):
+    """Exact up to the range of a long, and ended there."""
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 1.0, -1.0])] + [(20 * i, (size * rng.normal(size=3)).tolist()) for i in range(1, 30)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+    assert Counter(map(tuple, got)) == brute(rows, 5, 20)
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(5)
+    for top in (10**3, 10**8, 2**61):
+        q, c = rng.integers(-top, top, (4, 6)), rng.integers(-top, top, (5, 6))
+        want = [[max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(x, y)))) for y in c] for x in q]
+        assert topk_search.products(q, c).tolist() == want
 
 
 def test_topk_skips_annuli_on_clustered_vectors():
     """The bound is an upper bound, and it does rule annuli out when vectors cluster."""
     rng = np.random.default_rng(2)
     v = np.floor(64 * (rng.normal(size=(8, 16))[rng.integers(0, 8, 600)] + 0.02 * rng.normal(size=(600, 16))))
-    top = float((v * v).sum(axis=1).max())
-    pivots, edges = topk_search._geometry(v, top)
-    gap = topk_search._gaps(topk_search._lift(v, top), pivots)
-    q = v[:40]
-    far = topk_search._gaps(np.concatenate([q, np.zeros((40, 1))], axis=1), pivots)
-    cell = gap.argmin(axis=1)
-    d = gap[np.arange(600), cell]
-    bound = ((q * q).sum(axis=1)[:, None] + top - np.maximum(0, np.abs(far[:, cell] - d[None, :])) ** 2) / 2
-    score = q @ v.T
-    assert (bound + 1e-6 * top >= score).all()
+    geometry = topk_search.Geometry(list(v), float((v * v).sum(axis=1).max()))
+    cell, far = geometry.place(v)
+    norm, gap = geometry.asked(v[:40])
+    bound = geometry.bound(norm, gap, cell, far, far)
+    score = v[:40] @ v.T
+    assert (bound >= score).all()
     kth = np.sort(score, axis=1)[:, -20]
     assert (bound < kth[:, None]).mean() > 0.2
 
