@@ -162,6 +162,68 @@ def test_language_on_held_out_documents(spark):
     assert (again == got.set_index("doc_id")["lang_pred"].reindex(again.index)).all()
 
 
+def plain_language(rows, held, mask=0xFFFFFFFF):
+    """Naive Bayes in plain Python: row number -> (language, score)."""
+    import math
+
+    def grams(text):
+        t, out = text.lower(), Counter()
+        for n in language_id.ORDERS:
+            for i in range(len(t) - n + 1):
+                v = n * 0x27D4EB2F & mask
+                for k in range(n):
+                    v = (v ^ ord(t[i + k])) * language_id._MULTIPLIERS[k] & mask
+                    v ^= v >> 15
+                out[v % language_id.BUCKETS] += 1
+        return out
+
+    counts = {}
+    for (_, t, lang, *_), h in zip(rows, held):
+        if lang is not None and not h:
+            counts.setdefault(lang, Counter()).update(grams(t or ""))
+    size = {x: sum(c.values()) + language_id.BUCKETS for x, c in counts.items()}
+    out = []
+    for _, t, *_ in rows:
+        if not any(map(str.isalpha, t or "")) or not counts:
+            out.append(("und", 0.0))
+            continue
+        total = {x: sum(k * math.log((c[b] + 1) / size[x]) for b, k in grams(t).items()) for x, c in sorted(counts.items())}
+        best = max(total, key=lambda x: (total[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(math.exp(min(0, v - total[best])) for v in total.values())))
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 7])
+def test_language_against_plain_bayes(spark, monkeypatch, piece):
+    """In one process, so that the length of a piece reaches the functions."""
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices([f"{x}{k}{y}" for k in "aeiou" for x, y in ("bd", "ñt", "sß")], k=rng.randint(0, 9))), f"l{i % 90:03}" if i < 200 else None, None, 1) for i in range(230)]
+    held = [zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows]
+    shape = [(r[1], r[2]) for r, h in zip(rows, held) if r[2] is not None and not h]
+    assert len({x for _, x in shape}) > language_id.LANGUAGES
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([t for t, _ in shape]), pa.array([x for _, x in shape])], ["text", "lang"])
+    langs = sorted({x for _, x in shape})
+    n = {}
+    for part in language_id._train([batch]):
+        for lang, bucket, count in zip(*(part.column(c).to_pylist() for c in ("lang", "bucket", "n"))):
+            n[lang, bucket] = n.get((lang, bucket), 0) + count
+    matrix = language_id.matrix(n, langs)
+    inner = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(held)], ["key", "text", "held_out"])
+    got = [x for part in language_id._predict(type("Shared", (), {"value": (langs, matrix)}))([inner]) for x in part.to_pylist()]
+    for g, (lang, score) in zip(got, plain_language(rows, held), strict=True):
+        assert abs(g["score"] - score) < 1e-9
+        assert g["lang_pred"] == lang or abs(score - 0.5) < 0.5  # equal totals may differ in their last digit
+
+
+def test_all_languages_are_learnt(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 300) * 6} word", f"l{i % 300:03}", None, 1) for i in range(1200)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[r[0]] == r[2] for r in rows) > 1180  # a few share a bucket with others
+
+
 def test_language_of_awkward_texts(spark):
     rows = documents()
     got = language_id.identify(frame(spark).repartition(4)).collect()
@@ -254,32 +316,46 @@ def test_a_leaf_has_as_many_templates_as_families(spark, monkeypatch):
     assert {r["doc_id"]: r["lines_dropped"] for r in got} == want
 
 
+def shares(x):
+    return x / x.sum()
+
+
 def test_raked_weights_meet_the_margins(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randint(5, 300)), rng.choice(["en", "en", "en", "de"]), rng.choice(["s0"] * 6 + ["s1", "s2"]), 1) for i in range(800)]
-    df = mixing.mix(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    mixed = mixing.mix(spark.createDataFrame(rows, SCHEMA))
+    df = mixed.toPandas()
     assert df["probability"].between(0, 1).all() and df["probability"].max() == 1
-    df["expected"] = df["_tokens"] * df["probability"]
+    report = mixing.margins(mixed).toPandas().set_index(["margin", "value"])
     for margin, column in (("source", "_source"), ("lang", "_lang"), ("topic", "_topic")):
-        have = df.groupby(column)["_tokens"].sum()
-        goal = have ** mixing.TEMPER[margin]
-        got = df.groupby(column)["expected"].sum()
-        assert (abs(got / got.sum() - goal / goal.sum()) < 1e-2).all(), margin
-    kept = (df["_tokens"] * df["kept"]).groupby(df["_source"]).sum()
-    goal = df.groupby("_source")["_tokens"].sum() ** mixing.TEMPER["source"]
-    assert (abs(kept / kept.sum() - goal / goal.sum()) < 0.08).all()
-
-
-def test_rare_sources_reach_their_targets_by_copies(spark):
+        goal = shares(df.groupby(column)["_tokens"].sum() ** mixing.TEMPER[margin])
+        assert (abs(report.loc[margin]["target"].reindex(goal.index) - goal) < 1e-9).all()
+        for name in ("probability", "weight"):
+            got = shares((df["_tokens"] * df[name]).groupby(df[column]).sum())
+            assert (abs(got - goal) < 2e-3).all(), margin
+            assert (abs(report.loc[margin]["by_" + name].reindex(got.index) - got) < 1e-9).all()
+    assert abs((df["_tokens"] * df["weight"]).sum() / df["_tokens"].sum() - mixing.VOLUME) < 1e-6
+    goal = shares(df.groupby("_source")["_tokens"].sum() ** mixing.TEMPER["source"])
+    for drawn in (df["kept"], df["copies"]):
+        assert (abs(shares((df["_tokens"] * drawn).groupby(df["_source"]).sum()) - goal) < 0.08).all()
+
+
+def test_rare_sources_reach_their_targets(spark):
     sources = ["big"] * 1000 + [f"mid{k % 18}" for k in range(1988)] + [f"rare{k % 4}" for k in range(12)]
-    df = mixing.mix(spark.createDataFrame([(i, "w " * 20, "en", s, 1) for i, s in enumerate(sources)], SCHEMA)).toPandas()
-    have = df.groupby("_source")["_tokens"].sum()
-    goal = have ** mixing.TEMPER["source"] / (have ** mixing.TEMPER["source"]).sum()
-    got = (df["_tokens"] * df["weight"]).groupby(df["_source"]).sum()
-    print("ratio by probability", ((p := (df["_tokens"] * df["probability"]).groupby(df["_source"]).sum()) / p.sum() / goal).min(), "by weight", (got / got.sum() / goal).min())
-    assert (abs(got / got.sum() / goal - 1) < 1e-6).all()
-    assert (abs(df["copies"] - df["weight"]) < 1).all() and ((df["copies"] > 0) == df["kept"]).all()
-    assert (df["copies"][df["weight"] > 1] >= 1).all() and df["weight"].max() > 2
+    df = mixing.mix(spark.createDataFrame([(i, "w " * 20, "en", s, 1) for i, s in enumerate(sources)], SCHEMA), volume=1.0).toPandas()
+    goal = shares(df.groupby("_source")["_tokens"].sum() ** mixing.TEMPER["source"])
+    for name in ("probability", "weight"):
+        assert (abs(shares((df["_tokens"] * df[name]).groupby(df["_source"]).sum()) / goal - 1) < 1e-6).all()
+    assert (abs(df["copies"] - df["weight"]) < 1).all() and (df["copies"][df["weight"] > 1] >= 1).all() and df["weight"].max() > 2
+
+
+def test_given_targets(spark):
+    rows = [(i, "w " * 50, "en", f"s{i % 4}", 1) for i in range(400)]
+    goal = spark.createDataFrame([("s0", 6.0), ("s1", 3.0), ("s2", 1.0), ("absent", 10.0)], "value string, share double")
+    df = mixing.mix(spark.createDataFrame(rows, SCHEMA), goals={"source": goal}).toPandas()
+    got = shares((df["_tokens"] * df["probability"]).groupby(df["_source"]).sum())
+    assert (abs(got - got.index.map({"s0": 0.6, "s1": 0.3, "s2": 0.1, "s3": 0.0})) < 1e-9).all()
+    assert not df["kept"][df["_source"] == "s3"].any() and not df["copies"][df["_source"] == "s3"].any()
 
 
 def test_mixing_awkward_rows(spark):
