@@ -13,7 +13,10 @@ boilerplate and repeated passages then stay once in the corpus.  Documents with
 copies neither make their lines recur nor stop being copies of each other.
 
 Defined results: a null text stays null; a document left without any line has the empty text; lines without a token
-are always kept; repeated rows are treated alike; extra columns are carried through untouched.
+are always kept; of lines equally frequent in a leaf the smaller one becomes the template, and a line near several
+templates joins the first made; of documents that have a template the one with the smallest id is first (null ids
+come before all); repeated rows are treated alike; a very long text is split into lines inside the JVM, and a line is
+one value, so a task needs some times the longest text; extra columns are carried through untouched.
 
 All steps are DataFrame functions; counts are pre-aggregated, and joins are on hashes that Spark may split when one
 of them is very frequent.
@@ -77,27 +80,27 @@ def further(left: DataFrame, hashes: DataFrame, least: Column, similar: float) -
     tokens = lambda c: F.split(c, " ")
     while True:
         near = maybe_in(seen, "hash", left).where("_maybe").drop("_maybe")
-        now = saved(near.join(left.select("leaf", "hash").hint("merge"), ["leaf", "hash"]).select("leaf", "long", "hash", "class").distinct(), "left")
+        now = saved(near.join(left.select("leaf", "hash"), ["leaf", "hash"]).select("leaf", "long", "hash", "class").distinct(), "left")
         if seen is not hashes:
             discard(seen)
         seen = now
         leaves = saved(seen.select("leaf", "long", "class").distinct().groupBy("leaf", "long").agg(F.count("*").alias("docs")).where(least).select("leaf"), "leaves")
         if leaves.isEmpty():
             return out
-        rest = left.join(leaves.hint("merge"), "leaf")
+        rest = left.join(leaves, "leaf")
         size = F.greatest(F.lit(1), F.least(F.lit(batch), F.floor(F.lit(MOST_TOKENS) / F.size(tokens(F.col("line"))))))
         first = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= batch).where(F.col("rank") <= size)
         listed = first.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "hash", tokens(F.col("line")).alias("tokens")))).alias("found"))
         struck = F.aggregate("found", F.slice("found", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: _agreeing(k["tokens"], x["tokens"], similar)), kept).otherwise(F.concat(kept, F.array(x))))
         heads = saved(listed.select("leaf", struck.alias("heads")), "heads")
         like = F.filter("heads", lambda k: _agreeing(k["tokens"], tokens(F.col("line")), similar))
-        told = saved(rest.join(heads.hint("merge"), "leaf").withColumn("template", F.get(like, F.lit(0))["hash"]).drop("heads"), "told")
+        told = saved(rest.join(heads, "leaf").withColumn("template", F.get(like, F.lit(0))["hash"]).drop("heads"), "told")
         out.append(told.where("template IS NOT NULL").select("leaf", "hash", "template"))
         left = told.where("template IS NULL").drop("template")
         batch *= 4
 
 
-def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, long_docs: int = LONG_DOCS, all_templates: bool = True) -> DataFrame:
+def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, long_docs: int = LONG_DOCS) -> DataFrame:
     """(leaf, hash, template, docs, first) for each line whose template recurs; first: the class of its first document.
 
     hashes: `lines` without the line itself, as a saved table.
@@ -105,21 +108,20 @@ def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, sim
     enough = F.col("docs") >= F.when(F.col("long"), long_docs).otherwise(min_docs)
     slim = hashes.select("leaf", "long", "class").distinct()
     leaves = saved(slim.groupBy("leaf", "long").agg(F.count("*").alias("docs")).where(enough).select("leaf"), "leaves")
-    reached = maybe_in(lines, "leaf", leaves).where("_maybe").drop("_maybe").join(leaves.hint("merge"), "leaf")
-    distinct = saved(reached.groupBy("leaf", "long", "hash").agg(F.min("line").alias("line"), F.count("*").alias("many")), "lines")
+    # Lines are counted before they meet their leaf, so that a leaf with a very frequent line has it as one row.
+    reached = maybe_in(lines, "leaf", leaves).where("_maybe").groupBy("leaf", "long", "hash").agg(F.min("line").alias("line"), F.count("*").alias("many"))
+    distinct = saved(reached.join(leaves, "leaf", "left_semi"), "lines")
     # The leaf's template line: most frequent, then smallest.
-    top = distinct.groupBy("leaf").agg(F.max("many").alias("many"))
-    main = distinct.join(top, ["leaf", "many"]).groupBy("leaf").agg(F.min("line").alias("main"))
+    main = distinct.groupBy("leaf").agg(F.min(F.struct((-F.col("many")).alias("less"), "line")).alias("m")).select("leaf", F.col("m.line").alias("main"))
     agree = F.expr("aggregate(zip_with(split(line, ' '), split(main, ' '), (a, b) -> CASE WHEN a = b THEN 1 ELSE 0 END), 0, (s, x) -> s + x) / size(split(line, ' '))")
     joined = distinct.join(main, "leaf").withColumn("template", F.when(agree >= similar, F.xxhash64("main")))
-    if all_templates:
-        joined = saved(joined.drop("main"), "joined")
-        left = saved(joined.where("template IS NULL").drop("template"), "left")
-        # A line that no further template takes is alone: its hash is its template.
-        found = further(left, hashes, enough, similar)
-        if found:
-            later = reduce(DataFrame.unionByName, found).withColumnRenamed("template", "later")
-            joined = joined.join(later, ["leaf", "hash"], "left").withColumn("template", F.coalesce("template", "later"))
+    joined = saved(joined.drop("main"), "joined")
+    left = saved(joined.where("template IS NULL").drop("template"), "left")
+    # A line that no further template takes is alone: its hash is its template.
+    found = further(left, hashes, enough, similar)
+    if found:
+        later = reduce(DataFrame.unionByName, found).withColumnRenamed("template", "later")
+        joined = joined.join(later, ["leaf", "hash"], "left").withColumn("template", F.coalesce("template", "later"))
     grouped = saved(joined.select("leaf", "hash", F.coalesce("template", "hash").alias("template")), "templates")
     used = hashes.join(grouped, ["leaf", "hash"])
     per = used.groupBy("leaf", "long", "template", "class").agg(F.min("id").alias("id")).groupBy("leaf", "long", "template").agg(F.count("*").alias("docs"), F.min(F.struct("id", "class")).alias("f"))
@@ -127,12 +129,18 @@ def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, sim
     return grouped.join(kept, ["leaf", "template"]).select("leaf", "hash", "template", "docs", "first")
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = True, long_docs: int = LONG_DOCS, all_templates: bool = True) -> DataFrame:
+def _without(lines: Column, drops: Column) -> Column:
+    """The lines at places that are not in `drops`, as a text; places come from one set difference."""
+    both = F.array(F.struct(lines.alias("x"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops).alias("at")))
+    return F.transform(both, lambda b: F.array_join(F.transform(b["at"], lambda i: F.get(b["x"], i)), "\n"))[0]
+
+
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = True, long_docs: int = LONG_DOCS) -> DataFrame:
     """df with the text column's recurring lines dropped, plus lines_dropped (int, replacing a column of that name)."""
-    marked = carried(df, apart=text, id=key, text=text).withColumn("text", F.col("text").cast("string")).withColumn("class", F.xxhash64("text"))
+    marked = carried(df, apart=text, id=key, text=text).withColumn("text", F.col("text").cast("string")).withColumn("class", F.unhex(F.md5(F.col("text").cast("binary"))))
     lines = lines_of(marked.select("id", "class", "text").where("text IS NOT NULL"))
     hashes = saved(lines.drop("line"), "hashes")
-    again = saved(recurring(lines, hashes, min_docs, long_docs=long_docs, all_templates=all_templates), "recurring")
+    again = saved(recurring(lines, hashes, min_docs, long_docs=long_docs), "recurring")
     hit = hashes.join(again, ["leaf", "hash"])
     if keep_first:
         hit = hit.where("class <> first")
@@ -142,28 +150,32 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs
     told = maybe_in(marked, "class", drops, "_hit")
     still = told.where("NOT _hit").withColumn("drops", F.lit(None).cast("array<int>"))
     out = still.unionByName(told.where("_hit").join(drops.hint("merge"), "class", "left"))
-    left = F.expr("array_join(transform(filter(transform(split(text, '\n'), (x, i) -> struct(x AS x, i AS i)), s -> NOT array_contains(drops, s.i)), s -> s.x), '\n')")
+    # Places that stay come from one set difference, whose cost follows the number of lines.
+    left = _without(F.split("text", "\n"), F.col("drops"))
     return out.select(*restored(df, {text: F.when(F.col("drops").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left), "lines_dropped": F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops"))}))
 
 
-def sql(crc: str, crc_table: str, min_docs: int = MIN_DOCS, similar: float = SIMILAR, depth: int = DEPTH) -> str:
+def sql(crc: str, crc_table: str, min_docs: int = MIN_DOCS, similar: float = SIMILAR, depth: int = DEPTH, long: int = LONG, long_docs: int = LONG_DOCS) -> str:
+    """One template of each leaf at a time, as the docstring tells it."""
     field, space = _FIELD, _SPACE
+    enough = f"CASE WHEN len(any_value(tok)) >= {long} THEN {long_docs} ELSE {min_docs} END"
     return rf"""
-WITH {crc_table},
-d AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
-r AS (SELECT id, text, generate_subscripts(s, 1) AS pos, unnest(s) AS raw FROM (SELECT id, text, string_split(text, chr(10)) AS s FROM d)),
-m AS (SELECT id, pos, regexp_replace(trim(regexp_replace(raw, '{space}', ' ', 'g')), '{field}', '<*>', 'g') AS line FROM r WHERE regexp_matches(raw, '[^ 	
-
-]')),
-t AS (SELECT id, pos, line, string_split(line, ' ') AS tok FROM m),
+WITH RECURSIVE {crc_table},
+d AS (SELECT text, min(doc_id) AS id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text),
+r AS (SELECT id, copies, generate_subscripts(s, 1) AS pos, unnest(s) AS raw FROM (SELECT id, copies, string_split(text, chr(10)) AS s FROM d)),
+m AS (SELECT id, copies, pos, regexp_replace(trim(regexp_replace(raw, '{space}', ' ', 'g')), '{field}', '<*>', 'g') AS line FROM r WHERE regexp_matches(raw, '[^ \t\n\x0B\f\r]')),
+t AS (SELECT id, copies, pos, line, string_split(line, ' ') AS tok FROM m),
 l AS (SELECT *, len(tok) || ' ' || array_to_string(tok[1:{depth}], ' ') AS leaf FROM t),
-k AS (SELECT leaf FROM l GROUP BY leaf HAVING count(DISTINCT id) >= {min_docs}),
-c AS (SELECT l.*, n.copies FROM l JOIN k USING (leaf) JOIN (SELECT d.id, count(*) AS copies FROM documents x JOIN d ON x.text = d.text GROUP BY d.id) n ON n.id = l.id),
-g AS (SELECT leaf, line, tok, sum(copies) AS many FROM c GROUP BY ALL),
-top AS (SELECT leaf, arg_max(tok, (many, 0)) AS unused, max(many) AS many FROM g GROUP BY leaf),
-main AS (SELECT leaf, min(line) AS main FROM g JOIN top USING (leaf, many) GROUP BY leaf),
-p AS (SELECT leaf, line, CASE WHEN len(list_filter(range(1, len(tok) + 1), lambda i: tok[i] = string_split(main, ' ')[i])) / len(tok)::DOUBLE >= {similar} THEN main ELSE line END AS template FROM g JOIN main USING (leaf)),
-a AS (SELECT leaf, template, count(DISTINCT id) AS docs, min(id) AS first FROM c JOIN p USING (leaf, line) GROUP BY ALL HAVING count(DISTINCT id) >= {min_docs}),
+k AS (SELECT leaf FROM l GROUP BY leaf HAVING count(DISTINCT id) >= {enough}),
+c AS MATERIALIZED (SELECT l.* FROM l JOIN k USING (leaf)),
+g AS MATERIALIZED (SELECT leaf, line, tok, sum(copies) AS many FROM c GROUP BY ALL),
+turn(leaf, line, tok, many, template) AS (
+  SELECT leaf, line, tok, many, NULL::VARCHAR FROM g
+  UNION ALL
+  SELECT leaf, line, tok, many, CASE WHEN len(list_filter(range(1, len(tok) + 1), lambda i: tok[i] = main[i])) / len(tok)::DOUBLE >= {similar} THEN array_to_string(main, ' ') END
+  FROM (SELECT *, first_value(tok) OVER (PARTITION BY leaf ORDER BY many DESC, line) AS main FROM turn WHERE template IS NULL)),
+p AS MATERIALIZED (SELECT leaf, line, template FROM turn WHERE template IS NOT NULL),
+a AS (SELECT leaf, template, min(id) AS first FROM c JOIN p USING (leaf, line) GROUP BY ALL HAVING count(DISTINCT id) >= {enough}),
 h AS (SELECT DISTINCT c.id, c.pos FROM c JOIN p USING (leaf, line) JOIN a USING (leaf, template) WHERE c.id <> a.first),
 o AS (SELECT r.id, count(h.pos)::INTEGER AS dropped, coalesce(string_agg(r.raw, chr(10) ORDER BY r.pos) FILTER (h.pos IS NULL), '') AS text FROM r LEFT JOIN h USING (id, pos) GROUP BY r.id),
 f AS (SELECT x.doc_id, coalesce(o.dropped, 0) AS lines_dropped, CASE WHEN o.dropped > 0 THEN o.text ELSE x.text END AS text FROM documents x LEFT JOIN d ON x.text = d.text LEFT JOIN o ON o.id = d.id)

@@ -273,8 +273,8 @@ def test_long_lines_recur_from_two_texts(spark):
     rows = [(i, f"{['one', 'two', 'three'][i]} of its own\n{passage}" + (f"\n{eight}\n{seven}" if i else ""), None, None, None) for i in range(3)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert got == {0: rows[0][1], 1: f"two of its own\n{eight}\n{seven}", 2: f"three of its own\n{seven}"}
-    as_sql = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), long_docs=line_dedup.MIN_DOCS)
-    assert {r["lines_dropped"] for r in as_sql.collect()} == {0}
+    five = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), long_docs=line_dedup.MIN_DOCS)
+    assert {r["lines_dropped"] for r in five.collect()} == {0}
 
 
 def test_similar_lines_share_a_template(spark):
