@@ -29,9 +29,6 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            from . import pieces
-
-            pieces.forget()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL(None).malloc_trim(0)

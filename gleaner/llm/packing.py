@@ -10,8 +10,9 @@ multiplicities.  Pieces find their place in it by their rank among the pieces of
 counts per written partition and a running sum over these, so a length that a third of all pieces has is never held
 by one task.
 
-Defined results: a null text is empty and becomes the end id alone; repeated rows and null keys are each packed;
-extra columns are ignored.
+Defined results: a null text is empty and becomes the end id alone; pieces of equal length are dealt in the order of
+their rows as written; repeated rows and null keys are each packed; a very long text is encoded whole, so a task needs
+some tens of bytes for each of its bytes; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ def _cut(path: str, size: int, end: int):
         for batch in batches:
             for part, raw, bounds in slices(batch, "text", 1 << 20):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(pieces(path, True).encoded(texts_of(part, raw, bounds))):
-                    ids += last
+                for i, text in enumerate(texts_of(part, raw, bounds)):
+                    ids = pieces(path).encoded(text) + last
                     n = len(ids) // 4
                     first = n % size or size
                     edges = [0, *range(first, n + 1, size)]

@@ -1,11 +1,13 @@
-"""Byte-level BPE by pre-token: a distinct pre-token is encoded once per worker and looked up from then on.
+"""Byte-level BPE by pre-token: how many pieces, or which ids, each pre-token of a text has.
 
 A byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in order, and its length is
-the sum of theirs.  The split is the tokenizer's own pattern, written for Python's `re` over the characters of PLAIN;
-texts with other characters, on which regular-expression engines may disagree, are given to the library whole.
+the sum of theirs.  The split is the tokenizer's own: for texts of the characters of PLAIN its pattern, written for
+Python's `re`; for others, on which regular-expression engines may disagree, the library's pre-tokenizer.  Of a
+tokenizer that normalises, or that splits in another way than this pattern, a text is one pre-token.
 
 Where all ids are wanted, nothing is gained by a table of pre-tokens: the same merges then run in a rank-based encoder
-made from the library's own vocabulary, provided that its merges are in the order of their ids.
+(tiktoken) made from the library's own vocabulary, provided that it is installed and that its merges are in the order of their ids;
+else the library encodes the texts.
 """
 
 from __future__ import annotations
@@ -13,17 +15,12 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections import Counter
-from operator import mul
 
 #: Within PLAIN, [^\W\d_] is \p{L}, \d is \p{N} and \s is white space, as in the tokenizer's pattern
 #: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: ASCII, Latin, Greek and Cyrillic letters and common marks; no fractions, superscripts or rare spaces.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-±´-¸º»¿-ſΑ-ΡΣ-ωА-я‐-‧‰-⁞€]*")
-KEEP = 400_000  #: pre-tokens that a worker remembers, about 200 bytes each
-KEEP_CHARS = 40  #: longest pre-token remembered
-
 
 #: The fixed split pattern of this tokenizer family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -52,9 +49,9 @@ def ranked(library):
 
 
 class Pieces:
-    """ids: whether to look up ids (as 32-bit numbers in the machine's order, little-endian here) or only how many."""
+    """One tokenizer: pre-tokens, pieces of a pre-token, ids of a text (32-bit numbers, little-endian)."""
 
-    def __init__(self, path: str, ids: bool):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -62,80 +59,68 @@ class Pieces:
         self.library.no_truncation()
         self.specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
-        self.value = (lambda x: array("I", x).tobytes()) if ids else len
-        self.cache: dict[str, object] = {}
-        self.ranked = ranked(self.library) if ids else None
-
-    def _whole(self, text: str):
-        return self.value(self.library.encode(text, add_special_tokens=False).ids)
-
-    def _learn(self, pre_tokens: set[str]) -> list[str]:
-        """Make sure that all of these are in the table; returns those that should not stay in it."""
-        if len(self.cache) > KEEP:
-            self.cache.clear()
-        fresh = list(pre_tokens - self.cache.keys())
-        value = self.value
-        self.cache.update(zip(fresh, [value(e.ids) for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]))
-        return [t for t in fresh if len(t) > KEEP_CHARS]
-
-    def _by_rank(self, text: str) -> bytes:
-        return array("I", self.ranked.encode_ordinary(text)).tobytes()
-
-    def _split(self, texts: list[str]) -> list[list]:
-        """Each text as runs: a list of pre-tokens, or a value that is already known."""
-        out, find = [], SPLIT.findall if self.ranked is None else self._by_rank
-        for text in texts:
-            if self.special is not None and any(s in text for s in self.specials):
-                parts, marks = self.special.split(text), self.special.findall(text)
-            else:
-                parts, marks = [text], []
-            runs: list = []
-            for i, part in enumerate(parts):
-                if part:
-                    runs.append(find(part) if PLAIN.fullmatch(part) else self._whole(part))
-                if i < len(marks):
-                    runs.append(self.value([self.specials[marks[i]]]))
-            out.append(runs)
+        self.byte_level = self.library.normalizer is None and _splits_alike(self.library)
+        self.ranked = ranked(self.library) if self.byte_level else None
+
+    def _parts(self, text: str) -> tuple[list[str], list[str]]:
+        """The text between its special strings, and these."""
+        if self.special is not None and any(s in text for s in self.specials):
+            return self.special.split(text), self.special.findall(text)
+        return [text], []
+
+    def pre_tokens(self, text: str) -> list[str]:
+        """Pre-tokens (and special strings) whose pieces add up to the text's."""
+        if not text:
+            return []
+        if not self.byte_level:
+            return [text]
+        parts, marks = self._parts(text)
+        out: list[str] = []
+        for i, part in enumerate(parts):
+            if part:
+                out += SPLIT.findall(part) if PLAIN.fullmatch(part) else [part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)]
+            if i < len(marks):
+                out.append(marks[i])
         return out
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text: the frequency of each pre-token times its pieces, summed."""
-        splits = [[Counter(run) if type(run) is list else run for run in runs] for runs in self._split(texts)]
-        passing = self._learn(set().union(*(run for runs in splits for run in runs if type(run) is Counter)))
-        get = self.cache.__getitem__
-        out = [sum(sum(map(mul, run.values(), map(get, run))) if type(run) is Counter else run for run in runs) for runs in splits]
-        for t in passing:
-            del self.cache[t]
-        return out
+    def sizes(self, pre_tokens: list[str]) -> list[int]:
+        """Pieces of each pre-token."""
+        return [len(e.ids) for e in self.library.encode_batch_fast(pre_tokens, add_special_tokens=False)]
+
+    def encoded(self, text: str) -> bytes:
+        """Ids of the text, four bytes each."""
+        if self.ranked is None:
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        parts, marks = self._parts(text)
+        out = []
+        for i, part in enumerate(parts):
+            if part:
+                ids = self.ranked.encode_ordinary(part) if PLAIN.fullmatch(part) else self.library.encode(part, add_special_tokens=False).ids
+                out.append(array("I", ids).tobytes())
+            if i < len(marks):
+                out.append(array("I", [self.specials[marks[i]]]).tobytes())
+        return b"".join(out)
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, four bytes each."""
-        splits = self._split(texts)
-        passing = self._learn(set().union(*(run for runs in splits for run in runs if type(run) is list)))
-        get = self.cache.__getitem__
-        out = [b"".join(b"".join(map(get, run)) if type(run) is list else run for run in runs) for runs in splits]
-        for t in passing:
-            del self.cache[t]
-        return out
 
+def _splits_alike(library) -> bool:
+    """Whether the tokenizer's own split is the one of PATTERN, as far as an awkward text shows."""
+    text = "I'll say: it's 2019 (or '20)  \t\n  don't  we?  x_y \n\n end "
+    if library.pre_tokenizer is None:
+        return False
+    return [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)] == SPLIT.findall(text)
 
-_made: dict[tuple[str, bool], Pieces] = {}
 
+_made: dict[str, Pieces] = {}
 
-def pieces(path: str, ids: bool) -> Pieces:
+
+def pieces(path: str) -> Pieces:
     """This worker's instance."""
-    if (path, ids) not in _made:
+    if path not in _made:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _made[path, ids] = Pieces(path, ids)
-    return _made[path, ids]
-
-
-def forget() -> None:
-    """Empty this worker's tables; the library stays."""
-    for each in _made.values():
-        each.cache = {}
+        _made[path] = Pieces(path)
+    return _made[path]
 
 
 def texts_of(part, raw, bounds) -> list[str]:

@@ -28,33 +28,43 @@ def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
-def test_token_counts_equal_the_library(spark, library):
+@pytest.mark.parametrize("hot, held", [(token_counts.HOT, token_counts.HELD), (20, 50), (0, 5)])
+def test_token_counts_equal_the_library(spark, library, hot, held, monkeypatch):
+    monkeypatch.setattr(token_counts, "HELD", held)
     rows = documents()
-    got = token_counts.token_counts(frame(spark).repartition(5), PATH, limit=50).collect()
+    got = token_counts.token_counts(frame(spark).repartition(5), PATH, limit=50, hot=hot).collect()
     want = Counter((r[0], len((r[1] or "").encode()), n := len(ids_of(library, r[1])), n > 50) for r in rows)
     assert Counter(map(tuple, got)) == want
     assert token_counts.token_counts(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'’_-stdmrevl0123²½éß<|endoftext|>"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=4))
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'’_-stdmrevl0123²½éß<|endoftext|>漢字か\u00a0😀"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=4))
 def test_pieces_equal_the_library_on_any_text(texts):
     from tokenizers import Tokenizer
 
     if not hasattr(test_pieces_equal_the_library_on_any_text, "made"):
-        test_pieces_equal_the_library_on_any_text.made = Pieces(PATH, True), Pieces(PATH, False), Tokenizer.from_file(PATH)
-    ids, counts, library = test_pieces_equal_the_library_on_any_text.made
-    want = [array("I", ids_of(library, t)).tobytes() for t in texts]
-    assert ids.encoded(texts) == want
-    assert counts.counts(texts) == [len(w) // 4 for w in want]
-
-
-def test_pieces_survive_a_small_table(monkeypatch, library):
-    monkeypatch.setattr("gleaner.llm.pieces.KEEP", 3)
-    p = Pieces(PATH, True)
-    for _ in range(3):
-        for t in ("some words here", "other words there and a " + "long" * 30):
-            assert p.encoded([t]) == [array("I", ids_of(library, t)).tobytes()]
+        alone = Pieces(PATH)
+        alone.ranked = None  # where tiktoken isn't there
+        test_pieces_equal_the_library_on_any_text.made = Pieces(PATH), alone, Tokenizer.from_file(PATH)
+    made, alone, library = test_pieces_equal_the_library_on_any_text.made
+    assert made.byte_level and made.ranked is not None
+    for t in texts:
+        want = array("I", ids_of(library, t)).tobytes()
+        assert made.encoded(t) == want and alone.encoded(t) == want
+        assert sum(made.sizes(made.pre_tokens(t))) == len(want) // 4
+
+
+def test_pieces_of_other_tokenizers():
+    """Without the known split a text is one pre-token, and the sums still hold."""
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    for path in sorted(Path(PATH).parent.glob("*.json")):
+        made, library = Pieces(str(path)), Tokenizer.from_file(str(path))
+        for t in ("Some words, it's 2019.", "漢字 かな a\u00a0b", ""):
+            assert sum(made.sizes(made.pre_tokens(t))) == len(library.encode(t, add_special_tokens=False).ids)
 
 
 def check_packing(rows, got, library, size, end=2):
