@@ -1,4 +1,8 @@
-"""Connected components of a link table by alternating large-star and small-star rounds."""
+"""Connected components of a link table by alternating large-star and small-star rounds.
+
+Rounds end when the edges are the same as before, told by their number and two sums of 64-bit hashes: two different
+sets of edges agree in these with a chance of about 2^-64 a round.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ MOST_ROUNDS = 60
 def _mark(edges: DataFrame) -> tuple:
     """Count and two sums of hashes, added up per partition: equal for equal sets of edges."""
     h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)).cast("decimal(20,0)"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -19,9 +19,14 @@ Groups of near copies are not expanded into all pairs.  Every n-gram list is fir
 only (whose n-grams the most documents hold); then pairs are formed just between members of one list that are still in different components, which loses no
 link between components.
 
+The number of blocks follows the number of entries (BLOCK_BYTES each), so a task's memory does not grow with the
+corpus.  A component of texts with very many copies is given to these by a table of the few hot fingerprints.
+
 Defined results: null, empty or wordless texts have n_shingles 0 and link with nothing; a null key keeps its row and
-never names a component (a component of null keys only is null); repeated rows are each returned; extra columns are
-ignored.
+never names a component (a component of null keys only is null); n-grams equally rare are taken by hash, members
+equally typical by fingerprint, without effect on the result; repeated rows are each returned; a very long text is
+hashed whole, so a task needs some tens of bytes for each of its bytes; keys are whole numbers (a component is named
+by its smallest); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +45,9 @@ from .store import saved
 SAMPLE_DOCS = 1000  #: documents looked at for the list of common n-grams
 COMMON = 0.02  #: share of the sample from which an n-gram is common
 SAMPLE_BYTES = 20_000_000  #: most text in that sample
+BLOCK_BYTES = 16 << 20  #: packed entries of a block
+ENTRY_BYTES = 12
+HOT_COPIES = 1000  #: copies of one text from which it is hot; more in corpora of over a million rows
 SEEN = 200_000  #: fingerprints a task remembers so as not to send copies again
 
 
@@ -270,7 +278,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "xn", "yn", "xs", "ys").mapInArrow(tidy(_products), "x long, y long")
 
 
-_MAY_LINK = "9 * least(left, oleft) >= 4 * (n + on)"
+#: Different sets of one size n share n - 1 of n + 1 at most, sets of other sizes the smaller of the larger.
+_MAY_LINK = "9 * least(left, oleft) >= 4 * (n + on) AND CASE WHEN n = on THEN n >= 9 ELSE 5 * least(n, on) >= 4 * greatest(n, on) END"
 
 
 def starred(lists: DataFrame) -> DataFrame:
@@ -279,30 +288,37 @@ def starred(lists: DataFrame) -> DataFrame:
     return lists.join(hub, "gram").where(f"fp <> ofp AND {_MAY_LINK}").select(F.least("fp", "ofp").alias("x"), F.greatest("fp", "ofp").alias("y")).distinct()
 
 
+def _bucket(n: str):
+    """Sizes within a fifth of each other are in the same bucket or in neighbouring ones."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
+
+
 def crossing(lists: DataFrame) -> DataFrame:
-    """Pairs of one list whose members are in different components: all of them, from the smaller side."""
+    """Pairs of one list whose members are in different components, from the smaller side; they meet by size, too."""
     main = (
         lists.groupBy("gram", "label").agg(F.count("*").alias("c"))
         .groupBy("gram").agg(F.max_by("label", "c").alias("main"), F.count("*").alias("labels"))
         .where("labels > 1").select("gram", "main")
     )
     mixed = lists.join(main, "gram")
-    minor = mixed.where("label <> main").select("gram", F.col("fp").alias("ofp"), F.col("n").alias("on"), F.col("left").alias("oleft"), F.col("label").alias("olabel"))
-    pairs = minor.join(mixed.select("gram", "fp", "n", "left", "label"), "gram").where(f"label <> olabel AND {_MAY_LINK}")
+    near = F.explode(F.array(*[_bucket("n") + k for k in (-1, 0, 1)]))
+    minor = mixed.where("label <> main").select("gram", near.alias("size"), F.col("fp").alias("ofp"), F.col("n").alias("on"), F.col("left").alias("oleft"), F.col("label").alias("olabel"))
+    pairs = minor.join(mixed.select("gram", _bucket("n").alias("size"), "fp", "n", "left", "label"), ["gram", "size"]).where(f"label <> olabel AND {_MAY_LINK}")
     return pairs.select(F.least("fp", "ofp").alias("x"), F.greatest("fp", "ofp").alias("y")).distinct()
 
 
 def ngram_jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, blocks: int | None = None) -> DataFrame:
     """(key, n_shingles, component_id) for every row of df; see the module's docstring.
 
-    blocks: number of n-gram blocks; by default the session's shuffle partitions, which should keep a block of
-    entries (12 bytes each) well within a task's memory.
+    blocks: number of n-gram blocks; by default as many as the entries need, and the session's shuffle partitions
+    at least.
     """
     spark = df.sparkSession
     texts = pick(df, key=key, text=text).select(F.col("key").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = saved(texts.mapInArrow(tidy(_sizes(words)), "key long, n long, fp long"), "sizes")
-    sets = saved(survivors(texts, words, blocks, sizes.count()), "sets")
+    rows, entries = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries * ENTRY_BYTES // BLOCK_BYTES))
+    sets = saved(survivors(texts, words, blocks, rows), "sets")
     lists = sets.select("fp", "n", "shared", "typical", F.posexplode("rarest").alias("place", "gram")).withColumn("left", F.col("shared") - F.col("place"))
     links = saved(verified(starred(lists), sets), "links")
     found = saved(components(links), "labels")
@@ -312,11 +328,15 @@ def ngram_jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", w
         more = saved(verified(pairs, sets), "links")
         if not more.isEmpty():
             found = saved(components(links.unionByName(more)), "labels")
-    firsts = sizes.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("first"))
+    firsts = sizes.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
     named = firsts.join(found.withColumnRenamed("node", "fp"), "fp").groupBy("label").agg(F.min("first").alias("component"))
     linked = found.join(named, "label").select(F.col("node").alias("fp"), "component")
-    classes = firsts.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
-    return sizes.join(classes, "fp", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("key")).otherwise(F.col("component")).alias("component_id"))
+    classes = saved(firsts.join(linked, "fp", "left").select("fp", "copies", F.coalesce("component", "first").alias("component")), "classes")
+    # Hot fingerprints are HOT_COPIES rows each or a thousandth of all, so there are a thousand or so: they go to every task.
+    edge = max(HOT_COPIES, rows // 1000)
+    hot = F.broadcast(classes.where(F.col("copies") >= edge).select("fp", "component"))
+    out = sizes.join(hot, "fp").unionByName(sizes.join(hot, "fp", "left_anti").join(classes.where(F.col("copies") < edge).select("fp", "component"), "fp", "left"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("key")).otherwise(F.col("component")).alias("component_id"))
 
 
 SQL = r"""

@@ -2,6 +2,9 @@
 
 A saved table cuts the lineage: later stages read files that survive a lost executor.  The folder is the session's
 `spark.checkpoint.dir`; only where that is unset and Spark runs in this one process, a temporary folder is used.
+
+An operator's tables must last until its result is consumed, which only the caller knows: `made` lists them, and
+`sweep` deletes those of a finished step.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+made: list[str] = []  #: paths of the tables that this process has saved and not deleted, in order
 
 
 def folder(spark: SparkSession) -> str:
@@ -36,6 +40,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gleaner_path = path
+    made.append(path)
     return out
 
 
@@ -44,6 +49,18 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_gleaner_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the tables saved after the first `since` of `made`, but `keep`."""
+    for path in list(made[since:]):
+        if path != getattr(keep, "_gleaner_path", None):
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if path in made:
+        made.remove(path)
