@@ -76,8 +76,9 @@ def filter_urls(df: DataFrame, rules: DataFrame, key: str = "page_id", url: str
 
 def rules_table(spark, rules=RULES) -> DataFrame:
     """Rules written as (verdict, 'host/path')."""
-    rows = [(verdict, rule.split("/", 1)[0], "/" + rule.split("/", 1)[1]) for verdict, rule in rules]
-    return spark.createDataFrame(rows, "verdict string, host string, path string")
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join(f"({quoted(verdict)}, {quoted(rule.split('/', 1)[0])}, {quoted('/' + rule.split('/', 1)[1])})" for verdict, rule in rules)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS rules(verdict, host, path)")
 
 
 SQL = rf"""
