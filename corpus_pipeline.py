@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  All but the last return the
 columns of documents.
+
+Defined results: extra columns, whatever their names, are dropped; a text that is null, empty or of under 50 words fails
+the base rules of the first stage; null ids, langs and sources pass as they are; repeated rows are near duplicates of
+each other and stay together, as they have one id; ties and very long texts are treated as each operator's docstring
+says; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 from gleaner.llm.keys import without_keys
 from gleaner.llm.queries import table, tokenizer_path
-from gleaner.llm.store import saved
+from gleaner.llm.store import made, saved, sweep
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,7 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled towards the target weights; those of rare cells are repeated as often as these need it."""
-    return mixing.mix(docs).where("kept").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    taken = mixing.mix(docs).where("copies > 0")
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's own tables, and what it read, are deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
+    began = len(made)
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, began, docs)
     return docs
