@@ -25,15 +25,15 @@ def gate(lower: Column, upper: Column, n: Column, least_n: Column, threshold: Co
     return F.when(n < least_n, "not-evaluable-below-min_N").when(met, "pass").otherwise("fail")
 
 
-def log_choose(n: Column, i: Column) -> Column:
-    """ln of the binomial coefficient as a sum of logarithms."""
-    return F.when(i <= 0, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1)).cast("int")), F.lit(0.0), lambda s, j: s + F.ln((n - i + j).cast("double")) - F.ln(j.cast("double"))))
-
-
 def mcnemar(b: Column, c: Column) -> tuple[Column, Column]:
     """(p, statistic) of the exact two-sided test on b and c discordant pairs; (1, 0) without any."""
     n, low = b + c, F.least(b, c)
-    tail = F.aggregate(F.sequence(F.lit(0), low.cast("int")), F.lit(0.0), lambda s, i: s + F.exp(log_choose(n, i) - n * math.log(2)))
+    # One fold carries ln of the binomial coefficient along with the sum.
+    def add(s, i):
+        ways = s["ways"] + F.when(i == 0, 0.0).otherwise(F.ln((n - i + 1).cast("double")) - F.ln(F.greatest(i, F.lit(1)).cast("double")))
+        return F.struct(ways.alias("ways"), (s["tail"] + F.exp(ways - n * math.log(2))).alias("tail"))
+
+    tail = F.aggregate(F.sequence(F.lit(0), low.cast("int")), F.struct(F.lit(0.0).alias("ways"), F.lit(0.0).alias("tail")), add, lambda s: s["tail"])
     stat = F.when(n == 0, 0.0).otherwise(F.pow(F.greatest(F.abs(b - c) - 1, F.lit(0)).cast("double"), 2) / n)
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)), stat
 

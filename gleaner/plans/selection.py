@@ -72,26 +72,31 @@ def acceptance_criteria(spark, sf_dir):
     return each.unionByName(overall)
 
 
-_WARM = """WITH l AS (SELECT p_partkey, p_brand FROM part), i AS (SELECT item_id FROM benchmark WHERE length(text) >= 150),
-x AS (SELECT p_partkey, p_brand, item_id, row_number() OVER (PARTITION BY p_partkey ORDER BY item_id) AS k FROM l, i)"""
+# Fixed value: the most warm-up pairs.
+MOST_PAIRS = 100_000
+_WARM = f"""WITH l AS (SELECT p_partkey, p_brand, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part), t AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS j, count(*) OVER () AS items FROM benchmark WHERE length(text) >= 150),
+x AS (SELECT p_partkey, p_brand, item_id FROM l, t WHERE i * items + j < {MOST_PAIRS})"""
 
 
-@query(f"{_WARM} SELECT p_partkey, item_id FROM x WHERE k <= 3")
+@query(f"{_WARM} SELECT p_partkey, item_id FROM x")
 def warmup_pairs(spark, sf_dir):
     return _warm(spark, sf_dir).select("p_partkey", "item_id")
 
 
-def _warm(spark, sf_dir):
-    """Each part with its first three benchmark items that are not reserved (short ones are).
+def _warm(spark, sf_dir, most: int = MOST_PAIRS):
+    """Parts in order, each with all benchmark items that are not reserved (short ones are), up to `most` pairs in all.
 
-    The pairing caps each part's items, so only the first three items (a top-n) ever meet the parts.
+    The pairs are numbered, and a number gives the part and the item that it joins, so nothing is multiplied out and cut.
     """
-    reserved = table(spark, sf_dir, "benchmark").where("length(text) < 150").select("item_id")
-    items = table(spark, sf_dir, "benchmark").join(reserved, "item_id", "left_anti").select("item_id").orderBy("item_id").limit(3)
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand").crossJoin(F.broadcast(items))
+    items = numbered(table(spark, sf_dir, "benchmark").where("length(text) >= 150").select("item_id"), ["item_id"]).withColumnRenamed("n", "j")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    many, all_parts = items.count(), parts.count()
+    first = parts.orderBy("p_partkey").limit(-(-most // max(1, many)))
+    pairs = spark.range(min(most, many * all_parts)).select(F.expr(f"id div {max(1, many)}").alias("n"), F.expr(f"id % {max(1, many)}").alias("j"))
+    return pairs.join(numbered(first, ["p_partkey"]), "n").join(items, "j")
 
 
-@query(f"{_WARM} SELECT p_brand, count(*) AS pairs FROM x WHERE k <= 3 GROUP BY p_brand")
+@query(f"{_WARM} SELECT p_brand, count(*) AS pairs FROM x GROUP BY p_brand")
 def warmup_per_family(spark, sf_dir):
     return _warm(spark, sf_dir).groupBy("p_brand").agg(F.count("*").alias("pairs"))
 

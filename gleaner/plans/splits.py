@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import held_out, sql_sha1_bucket, sql_split
 from ..operators.components import components
-from ..operators.similarity import jaccard_pairs as near
+from ..operators.similarity import jaccard_edges
 from ..operators.splits import assign, dev_holdout, units
 from ..registry import query
 from ..sources.tables import table
@@ -98,7 +98,7 @@ p AS (SELECT a, b, k / (x.n + y.n - k)::DOUBLE AS jaccard FROM o JOIN n x ON x.d
 def components_units(spark, sf_dir):
     """Units are the components of near copies; each unit falls in one split."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    roots = components(docs, near(docs, 3, 0.8).select("a", "b"))
+    roots = components(docs, jaccard_edges(docs, 3, 0.8))
     named = units(roots, "root", "id")
     split = assign(roots, "root", "id").select("id", "split")
     return roots.join(named, "root").join(split, "id").select(F.col("id").alias("doc_id"), "unit", "size", "split")

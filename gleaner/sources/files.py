@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One object a line; blank lines are skipped and unknown keys dropped."""
-    return spark.read.schema(schema).json(path)
+    """One object a line; blank lines are skipped and unknown keys dropped, a malformed line fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_jsonl_keeping(spark: SparkSession, path: str, schema: T.StructType, rest: str = "metadata") -> DataFrame:
@@ -27,7 +27,10 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def replace_jsonl(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap, so readers see the old rows or the new ones; the old folder is kept as .bak."""
+    """Write beside the target, then swap by two renames; the old folder is kept as .bak.
+
+    Readers never see a part of either, but between the renames there is no table; a crash there leaves the old one as .bak.
+    """
     spark = df.sparkSession
     fresh = f"{path}.tmp-{uuid.uuid4().hex}"
     df.write.json(fresh)
