@@ -11,7 +11,8 @@ documents and pairs before any product is formed:
 * of two sets that first meet at one n-gram, at most the n-grams from there on are common: if `left` counts these,
   9 * min(left, left') >= 4 * (n + n').  This holds sizes within a fifth of each other, too.
 
-What is left is multiplied in blocks of pairs.  Copies are one row of the matrix from the start (rows are keyed by a
+What is left is multiplied in blocks of pairs by ranges of n-grams: overlap counts add up from range to range, and a
+pair is dropped once the n-grams still to come can't bring it to the bound.  Copies are one row of the matrix from the start (rows are keyed by a
 fingerprint of the set).  Very common n-grams, found on a bounded sample, skip the turn-around (they are shared
 beyond doubt), so no block holds an n-gram's whole list when that list is long.
 
@@ -48,6 +49,8 @@ SAMPLE_BYTES = 20_000_000  #: most text in that sample
 BLOCK_BYTES = 16 << 20  #: packed entries of a block
 ENTRY_BYTES = 12
 HOT_COPIES = 1000  #: copies of one text from which it is hot; more in corpora of over a million rows
+RANGES = 8  #: ranges of n-grams over which a pair's overlap is added up
+PAIRS = 2000  #: pairs multiplied at a time
 SEEN = 200_000  #: fingerprints a task remembers so as not to send copies again
 
 
@@ -217,26 +220,46 @@ def _survivors(batches):
 
 
 def _products(batches):
-    """Overlap counts of a block of pairs, and the links among them."""
+    """Overlap counts of a block of pairs, added up over ranges of n-grams, and the links among them.
+
+    9 * overlap >= 4 * (n + n') is the link's condition; a pair goes as soon as all that is left of its shorter row
+    can't bring it there.
+    """
     for batch in batches:
-        rows = batch.num_rows
-        for at in range(0, rows, 2000):
-            part = batch.slice(at, 2000)
-            sides = []
-            for name in ("xs", "ys"):
-                raw, bounds = _binary(part.column(name))
-                sides.append((np.frombuffer(raw.tobytes(), np.uint64), bounds // 8))
-            pair = np.concatenate([np.repeat(np.arange(part.num_rows), np.diff(b)) for _, b in sides])
-            gram = np.concatenate([v for v, _ in sides])
-            order = np.lexsort((gram, pair))
-            gram, pair = gram[order], pair[order]
-            both = (gram[1:] == gram[:-1]) & (pair[1:] == pair[:-1])
-            overlap = np.bincount(pair[1:][both], minlength=part.num_rows)
-            union = np.asarray(part.column("xn")) + np.asarray(part.column("yn")) - overlap
-            keep = pa.array(5 * overlap >= 4 * union)
+        for at in range(0, batch.num_rows, PAIRS):
+            part = batch.slice(at, PAIRS)
+            need = 4 * (np.asarray(part.column("xn")) + np.asarray(part.column("yn")))
+            sides = [_ranged(part.column(name)) for name in ("xs", "ys")]
+            rest = np.minimum(*[np.cumsum(sizes[:, ::-1], axis=1)[:, ::-1] for _, _, sizes in sides])
+            overlap = np.zeros(part.num_rows, np.int64)
+            alive = 9 * rest[:, 0] >= need
+            for k in range(RANGES):
+                pair, gram = [], []
+                for values, starts, sizes in sides:
+                    n = np.where(alive, sizes[:, k], 0)
+                    first = np.repeat(starts[:, k] - (np.cumsum(n) - n), n)
+                    gram.append(values[first + np.arange(len(first))])
+                    pair.append(np.repeat(np.arange(len(n)), n))
+                pair, gram = np.concatenate(pair), np.concatenate(gram)
+                order = np.lexsort((gram, pair))
+                gram, pair = gram[order], pair[order]
+                both = (gram[1:] == gram[:-1]) & (pair[1:] == pair[:-1])
+                overlap += np.bincount(pair[1:][both], minlength=part.num_rows)
+                alive &= 9 * (overlap + (rest[:, k + 1] if k + 1 < RANGES else 0)) >= need
+            keep = pa.array(alive)
             yield pa.record_batch([part.column("x").filter(keep), part.column("y").filter(keep)], ["x", "y"])
 
 
+def _ranged(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed rows of sorted n-grams -> (values, starts, sizes), the last two by row and range of n-grams."""
+    raw, bounds = _binary(column)
+    values = np.frombuffer(raw.tobytes(), np.uint64)
+    row = np.repeat(np.arange(len(column)), np.diff(bounds // 8))
+    block = (values >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)
+    sizes = np.bincount(row * RANGES + block.astype(np.int64), minlength=len(column) * RANGES)
+    return values, (np.cumsum(sizes) - sizes).reshape(-1, RANGES), sizes.reshape(-1, RANGES)
+
+
 def _binary(column):
     _, where, data = column.buffers()
     bounds = np.frombuffer(where, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
