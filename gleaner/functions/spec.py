@@ -58,7 +58,10 @@ def refusal(reason: Column) -> Column:
 
 
 def parsed(text: Column) -> dict[str, Column]:
-    """route, refuse, conf and axes (field -> signed value; sectors as sat_<sector>) of a spec's first line, nulls if malformed."""
+    """route, refuse, conf and axes (field -> signed value; sectors as sat_<sector>) of a spec's first line, nulls if malformed.
+
+    An axis that is written twice, be it as its two directions, has its last value.
+    """
     first = F.trim(F.get(F.split(F.trim(text), "\n"), F.lit(0)))
     ok = F.startswith(first, F.lit("route="))
     segments = F.transform(F.split(first, r"\|"), lambda s: F.trim(s))
@@ -72,7 +75,7 @@ def parsed(text: Column) -> dict[str, Column]:
     entries = F.transform(known, lambda x: F.struct(x["to"]["field"].alias("key"), F.bround(F.when(x["to"]["sign"] == 0, x["value"]).otherwise(x["to"]["sign"] * F.abs(x["value"])), 1).alias("value")))
     return {
         "route": F.when(ok, after(named("route"))), "refuse": F.when(ok, after(named("refuse"))), "conf": F.when(ok, after(named("conf")).try_cast("double")),
-        "axes": F.when(ok, F.map_from_entries(F.array_distinct(entries))),
+        "axes": F.when(ok, let(entries, lambda all_: F.map_from_entries(F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x["key"] == e["key"]))))),
     }
 
 

@@ -18,7 +18,7 @@ from gleaner.operators.components import components
 from gleaner.operators.parsing import format_codes, parse_output, valid_sequence
 from gleaner.operators.selection import farthest_points, numbered, quota_select
 from gleaner.operators.sharding import reconcile, shard_files
-from gleaner.operators.similarity import cosine_pairs, hamming_pairs, jaccard_pairs
+from gleaner.operators.similarity import cells_that_meet, cosine_pairs, hamming_pairs, jaccard_pairs, pivot_cells, unit_vectors
 from gleaner.operators.validation import require_valid
 from gleaner.registry import QUERIES
 
@@ -90,6 +90,8 @@ def test_spec_round_trip_and_malformed(spark):
     r = one(spark.createDataFrame([(text,)], "t string").select(*[c.alias(k) for k, c in p.items()]))
     assert r["route"] == "grade" and r["conf"] == 0.9 and r["axes"] == {"temperature_delta_b": 2.4, "chroma_delta": -1.0, "shadow_hue_deg": 210.0, "sat_red": -1.5}
     assert one(spark.createDataFrame([("nonsense",)], "t string").select(p["route"].alias("r"), p["axes"].alias("a")))["a"] is None
+    twice = "route=grade | warmer=+2.0 brighter=+1.0 cooler=+3.0 brighter=+1.5 brighter=x"
+    assert one(spark.createDataFrame([(twice,)], "t string").select(p["axes"].alias("a")))["a"] == {"temperature_delta_b": -3.0, "mean_l_delta": 1.5}
 
 
 def test_tags_and_cues(spark):
@@ -144,6 +146,21 @@ def test_similarity_joins_match_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in cosine_pairs(spark.createDataFrame(list(enumerate(vs)), "id long, v array<double>"), 0.6, block=16).collect()} == want
 
 
+def test_cosine_pairs_of_clusters(spark):
+    """All pairs are found, each once, although most cells never meet; empty tables and null vectors give nothing."""
+    rng = random.Random(12)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    vs = [[3 * x + rng.gauss(0, 0.05) for x in centres[i % 12]] for i in range(300)] + [[0.0] * 8] * 2 + [centres[0]] * 3
+    norm = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+    want = sorted((i, j) for i, a in enumerate(vs) for j, b in enumerate(vs) if i < j and sum(x * y for x, y in zip(a, b)) / norm(a) / norm(b) >= 0.97)
+    df = spark.createDataFrame([*enumerate(vs), (999, None)], "id long, v array<double>")
+    assert sorted((r["a"], r["b"]) for r in cosine_pairs(df.repartition(5), 0.97, block=10).collect()) == want
+    cells, span = pivot_cells(unit_vectors(df).where("v IS NOT NULL"), np.array([[x / norm(c) for x in c] for c in centres]))
+    meet = cells_that_meet(span, math.sqrt(2 - 2 * 0.97))
+    assert cells.count() == len(vs) and len(meet) < 12 * 13 / 2 / 2
+    assert cosine_pairs(df.limit(0), 0.5).count() == 0
+
+
 def test_quota_against_a_loop(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice("abc"), rng.choice(["x", "y", "z"]), i) for i in range(200)]
