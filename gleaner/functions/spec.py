@@ -25,7 +25,8 @@ MAGNITUDE, HUE_GATE, SATURATION = 0.5, 1.0, 1.0  # smallest values that are writ
 def signed(value: Column) -> Column:
     """+1.2 or -0.5: one decimal, half to even, the sign always written."""
     tenth = F.bround(value, 1)
-    return F.concat(F.when(tenth < 0, "-").otherwise("+"), F.format_string("%.1f", F.abs(tenth)))
+    # a rounded double below 1e7 prints with its one decimal as it is, at a fraction of a formatter's cost
+    return F.concat(F.when(tenth < 0, "-").otherwise("+"), F.when(F.abs(tenth) < 1e7, F.abs(tenth).cast("string")).otherwise(F.format_string("%.1f", F.abs(tenth))))
 
 
 def _parts(fields: dict[str, Column], bucketed: bool) -> dict[str, Column]:
@@ -67,8 +68,9 @@ def parsed(text: Column) -> dict[str, Column]:
     segments = F.transform(F.split(first, r"\|"), lambda s: F.trim(s))
     named = lambda key: F.get(F.filter(segments, lambda s: F.startswith(s, F.lit(f"{key}="))), F.lit(0))
     after = lambda s: F.trim(F.substring_index(s, "=", -1))
-    block = F.flatten(F.transform(F.filter(segments, lambda s: ~F.regexp_like(s, F.lit("^(route|conf|refuse)="))), lambda s: F.split(s, r"\s+")))
-    pairs = F.filter(block, lambda t: F.regexp_like(t, F.lit("^[a-z_]+=.+$")))
+    other = lambda s: ~(F.startswith(s, F.lit("route=")) | F.startswith(s, F.lit("conf=")) | F.startswith(s, F.lit("refuse=")))
+    # what isn't key=number has no known key or no value below, so it needs no pattern of its own
+    pairs = F.flatten(F.transform(F.filter(segments, other), lambda s: F.split(F.translate(s, "\t\x0b\f\r", "    "), " ")))
     tag = {up: (name, 1.0) for name, (up, _) in BIPOLAR.items()} | {down: (name, -1.0) for name, (_, down) in BIPOLAR.items()} | {k: (v, 0.0) for k, v in UNIPOLAR.items()} | {k: (v[0], 0.0) for k, v in HUES.items()} | {f"sat_{s}": (f"sat_{s}", 0.0) for s in SECTORS}
     table = F.create_map(*[x for k, (name, sign) in tag.items() for x in (F.lit(k), F.struct(F.lit(name).alias("field"), F.lit(sign).alias("sign")))])
     known = F.filter(F.transform(pairs, lambda t: F.struct(F.element_at(table, F.substring_index(t, "=", 1)).alias("to"), F.substring_index(t, "=", -1).try_cast("double").alias("value"))), lambda x: x["to"].isNotNull() & x["value"].isNotNull())
