@@ -101,6 +101,16 @@ class Pieces:
                 out.append(array("I", [self.specials[marks[i]]]).tobytes())
         return b"".join(out)
 
+    def plain_ids(self, text: str) -> list[int]:
+        """Ids of the text where special strings are plain text."""
+        if self.ranked is not None and PLAIN.fullmatch(text):
+            return self.ranked.encode_ordinary(text)
+        self.library.encode_special_tokens = True
+        try:
+            return self.library.encode(text, add_special_tokens=False).ids
+        finally:
+            self.library.encode_special_tokens = False
+
 
 def _splits_alike(library) -> bool:
     """Whether the tokenizer's own split is the one of PATTERN, as far as an awkward text shows."""

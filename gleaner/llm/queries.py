@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, token_counts, topk_search, url_filters
+from . import alignment, imatch, importance, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, token_counts, topk_search, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 SHARDS = 8
 
 
@@ -65,9 +66,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(OTHER_TOKENIZER))
+    return alignment.digest(aligned, alignment.link_counts(aligned))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_url_filters, op3_sharding, op4_topk_search, op5_token_counts, op6_mixing, op7_line_dedup, op8_quality_rules, op9_language_id, op10_packing)
+    for f in (op1_ngram_join, op2_url_filters, op3_sharding, op4_topk_search, op5_token_counts, op6_mixing, op7_line_dedup, op8_quality_rules, op9_language_id, op10_packing, op11_alignment, op12_importance, op13_imatch)
 }
 
 SQL = {
@@ -77,4 +91,6 @@ SQL = {
     "op4_topk_search": topk_search.SQL,
     "op6_mixing": mixing.sql(),
     "op7_line_dedup": line_dedup.sql(sharding.crc_sql("text"), sharding.CRC_TABLE_SQL),
+    "op12_importance": importance.sql(),
+    "op13_imatch": imatch.sql(),
 }
