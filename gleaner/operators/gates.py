@@ -44,7 +44,7 @@ def direct_tier(safety: Column, skin: Column, cap: Column) -> Column:
 def fit_reasons(m: dict[str, Column]) -> Column:
     return reasons({
         "fit_mean_exceeded": m["mean"] > FIT["mean"], "fit_p95_exceeded": m["p95"] > FIT["p95"], "fit_p99_exceeded": m["p99"] > FIT["p99"], "input_support_low": m["support"] < FIT["support"],
-        "tile_residual": m["tile"] > F.greatest(F.lit(FIT["tile"]), FIT["tile_times"] * m["mean"]), "high_residual_component": m["component"] > FIT["component"],
+        "tile_residual": m["tile"] > F.greatest(F.lit(FIT["tile"]), FIT["tile_times"] * m.get("global_mean", m["mean"])), "high_residual_component": m["component"] > FIT["component"],
     })
 
 

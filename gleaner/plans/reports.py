@@ -11,6 +11,7 @@ from ..functions.hashing import held_out, sql_sha1_bucket
 from ..functions.let import let
 from ..operators import stats as S
 from ..operators.selection import numbered
+from ..operators.spatial import plane_r2
 from ..registry import query
 from ..sources.tables import table
 from .assembly import _CACHE, _cache
@@ -137,16 +138,6 @@ def position_r2(spark, sf_dir):
     return rows.groupBy("image").agg(F.round(plane_r2("x", "y", "r"), 6).alias("xy_r2"))
 
 
-def plane_r2(x: str, y: str, r: str) -> Column:
-    """R squared of r on (1, x, y), of aggregates; places on one line count by the coordinate that varies more."""
-    xx, yy, rr, n = F.var_pop(x), F.var_pop(y), F.var_pop(r), F.count(r)
-    xy, xr, yr = F.covar_pop(x, y), F.covar_pop(x, r), F.covar_pop(y, r)
-    whole = xx * yy - xy * xy
-    line = F.when(xx >= yy, xr * xr / F.nullif(xx, F.lit(0.0))).otherwise(yr * yr / F.nullif(yy, F.lit(0.0)))
-    explained = F.when(whole > 1e-12 * xx * yy, (xr * xr * yy - 2 * xr * yr * xy + yr * yr * xx) / whole).otherwise(F.coalesce(line, F.lit(0.0)))
-    return F.when(rr * n < 1e-9, 0.0).otherwise(explained / rr)
-
-
 _HINTS, _SHOWN = ("cold", "bolt", "cold", "PROMO", "no such words"), 8
 _SPECS = "s AS (SELECT p_partkey AS id, p_type || ' ' || p_name AS spec FROM part WHERE p_size % 2 = 0)"
 

@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return put
 
 
-from .plans import acquisition, admission, assembly, color, evaluation, joins, measures, reports, selection, similarity, spec, splits, streams, text, training  # noqa: E402, F401
+from .plans import acquisition, admission, assembly, color, evaluation, joins, measures, pictures, reports, selection, similarity, spec, splits, streams, text, training  # noqa: E402, F401
