@@ -143,6 +143,59 @@ def measured(table: np.ndarray) -> dict[str, float]:
 FIELDS = tuple(measured(_cube(np.linspace(0, 1, 3)).reshape(3, 3, 3, 3)))
 
 
+#: What agreement with a spec and the test for collapse read; the other fields' probes are left out.
+REDUCED = (
+    "temperature_delta_b", "tint_delta_a", "mean_l_delta", "contrast_l_spread_delta", "black_point_l_delta", "highlight_l_delta", "shadow_l_delta",
+    "chroma_delta", "split_tone_strength", "matte_strength", "residual_norm", *[f"sat_{s}" for s in SECTORS],
+)
+
+
+def reduced(tables: np.ndarray) -> dict[str, np.ndarray]:
+    """The fields REDUCED of many tables [table, r, g, b, channel] at once, equal to those of `measured`."""
+    probes, count, n = _probes(), len(tables), tables.shape[1]
+    shown = {}
+    for name in ("ramp", "chart"):
+        at = np.clip(probes[name], 0, 1) * (n - 1)
+        low = np.minimum(at.astype(int), n - 2)
+        part, out = at - low, np.zeros((count, len(at), 3))
+        for corner in range(8):
+            bit = np.array([corner & 1, corner >> 1 & 1, corner >> 2 & 1])
+            where = low + bit
+            out += np.prod(np.where(bit == 1, part, 1 - part), axis=1)[None, :, None] * tables[:, where[:, 0], where[:, 1], where[:, 2]]
+        shown[name] = lab(out.reshape(-1, 3)).reshape(out.shape)
+    before = {k: lab(probes[k]) for k in shown}
+    tone, level = shown["ramp"] - before["ramp"], probes["ramp"][:, 0]
+    spread = lambda x: np.percentile(x, 95, axis=-1) - np.percentile(x, 5, axis=-1)
+    gain = np.hypot(shown["chart"][..., 1], shown["chart"][..., 2]) - np.hypot(before["chart"][:, 1], before["chart"][:, 2])
+    shift, luma = (shown["chart"] - before["chart"])[..., 1:], before["chart"][:, 0]
+    casts = [shift[:, keep].mean(axis=1) if keep.any() else np.zeros((count, 2)) for keep in (luma <= DARK, luma >= LIGHT)]
+    hues = _angle(before["chart"][:, 1], before["chart"][:, 2])
+    sector = np.abs((hues[:, None] - np.array(list(SECTORS.values())) + 180) % 360 - 180).argmin(axis=1)
+    black, contrast, colour = tone[:, level <= 0.25, 0].mean(axis=1), spread(shown["ramp"][..., 0]) - spread(before["ramp"][:, 0]), gain.mean(axis=1)
+    res = tables - _cube(np.linspace(0, 1, n)).reshape(n, n, n, 3)
+    out = {
+        "temperature_delta_b": tone[..., 2].mean(axis=1), "tint_delta_a": tone[..., 1].mean(axis=1), "mean_l_delta": tone[..., 0].mean(axis=1), "contrast_l_spread_delta": contrast, "black_point_l_delta": black,
+        "highlight_l_delta": tone[:, level >= 0.75, 0].mean(axis=1), "shadow_l_delta": black, "chroma_delta": colour, "split_tone_strength": sum(np.hypot(c[:, 0], c[:, 1]) for c in casts),
+        "matte_strength": np.maximum(0, black) + np.maximum(0, -contrast) + 0.5 * np.maximum(0, -colour), "residual_norm": np.sqrt((res**2).mean(axis=(1, 2, 3, 4))),
+    }
+    return out | {f"sat_{s}": gain[:, sector == i].mean(axis=1) if (sector == i).any() else np.zeros(count) for i, s in enumerate(SECTORS)}
+
+
+def reduced_behavior(tables: DataFrame, key: str) -> DataFrame:
+    """tables (key, n, values), as arrays -> (key, REDUCED); tables of a batch that have the same n are measured together."""
+    kind = tables.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            sizes = part["n"].to_numpy()
+            for n in np.unique(sizes):
+                rows = np.flatnonzero(sizes == n)
+                dense = np.stack([np.asarray(part["values"].iloc[k], float) for k in rows]).reshape(len(rows), n, n, n, 3)
+                yield pd.DataFrame({"key": part["key"].iloc[rows].to_numpy(), **reduced(dense)})
+
+    return tables.select(F.col(key).alias("key"), "n", "values").mapInPandas(run, f"key {kind}, " + ", ".join(f"{f} double" for f in REDUCED)).withColumnRenamed("key", key)
+
+
 def _dense(part: pd.DataFrame, n: int) -> np.ndarray:
     out = np.zeros((n, n, n, 3))
     out[part["r"], part["g"], part["b"]] = part[["x", "y", "z"]].to_numpy()

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.color import ADOBE_GAMMA
+from ..functions.color import ADOBE_GAMMA, lab_sql
 from ..operators import grids as R
+from ..operators import measure as M
 from ..registry import query
 from .color import _NODES, N, _tables
 
@@ -70,3 +71,23 @@ def canonical_tables(spark, sf_dir):
     rms = F.sqrt(F.aggregate("residual", F.lit(0.0), lambda s, x: s + x * x) / F.size("residual"))
     means = R.spread(found, "lut").groupBy("lut").agg(*[F.round(F.avg(c), 6).alias(c) for c in "xyz"])
     return found.select("lut", "n", "clipped", F.round(rms, 6).alias("rms")).join(means, "lut").select("lut", "n", "clipped", "x", "y", "z", "rms")
+
+
+_PROBES = f"""{_NODES}, ramp AS (SELECT s_suppkey AS lut, 'ramp' AS chart, i, 0 AS j, 0 AS l, i / 32.0 AS u, i / 32.0 AS v, i / 32.0 AS w FROM supplier, range(33) a(i)),
+    cube AS (SELECT s_suppkey AS lut, 'cube' AS chart, i, j, k AS l, 0.05 + i * 0.225 AS u, 0.05 + j * 0.225 AS v, 0.05 + k * 0.225 AS w FROM supplier, range(5) a(i), range(5) c(j), range(5) d(k) WHERE greatest(i, j, k) > least(i, j, k)),
+    t AS (SELECT * FROM ramp UNION ALL SELECT * FROM cube), {_corners("t", "m", "chart, i, j, l")},
+    old AS (SELECT lut, chart, i, j, l AS o, u, {lab_sql("u", "v", "w")} FROM t), new AS (SELECT lut, chart, i, j, l AS o, {lab_sql("x", "y", "z")} FROM m),
+    d AS (SELECT old.lut, chart, u, old.l AS l0, new.l AS l1, new.a - old.a AS da, new.b - old.b AS db, sqrt(new.a ** 2 + new.b ** 2) - sqrt(old.a ** 2 + old.b ** 2) AS gain FROM old JOIN new USING (lut, chart, i, j, o)),
+    r AS (SELECT lut, avg(db) AS temperature_delta_b, avg(da) AS tint_delta_a, avg(l1 - l0) AS mean_l_delta, quantile_cont(l1, 0.95) - quantile_cont(l1, 0.05) - quantile_cont(l0, 0.95) + quantile_cont(l0, 0.05) AS contrast_l_spread_delta,
+      avg(l1 - l0) FILTER (u <= 0.25) AS black_point_l_delta, avg(l1 - l0) FILTER (u >= 0.75) AS highlight_l_delta FROM d WHERE chart = 'ramp' GROUP BY lut),
+    c AS (SELECT lut, avg(gain) AS chroma_delta, coalesce(sqrt(avg(da) FILTER (l0 <= 33) ** 2 + avg(db) FILTER (l0 <= 33) ** 2), 0) + coalesce(sqrt(avg(da) FILTER (l0 >= 66) ** 2 + avg(db) FILTER (l0 >= 66) ** 2), 0) AS split_tone_strength FROM d WHERE chart = 'cube' GROUP BY lut)"""
+_MEASURED = ("temperature_delta_b", "tint_delta_a", "mean_l_delta", "contrast_l_spread_delta", "black_point_l_delta", "highlight_l_delta", "chroma_delta", "split_tone_strength", "matte_strength")
+
+
+@query(
+    f"""WITH {_PROBES}, z AS (SELECT *, greatest(0, black_point_l_delta) + greatest(0, -contrast_l_spread_delta) + 0.5 * greatest(0, -chroma_delta) AS matte_strength FROM r JOIN c USING (lut))
+    SELECT lut, {", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in _MEASURED)} FROM z"""
+)
+def reduced_behavior(spark, sf_dir):
+    """The part of each table's behaviour that scoring reads, on two of the four sets of probes."""
+    return M.reduced_behavior(_arrays(spark, sf_dir), "lut").select("lut", *[(F.round(c, 5) + 0.0).alias(c) for c in _MEASURED])
