@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return put
 
 
-from .plans import acquisition, admission, assembly, color, evaluation, grids, joins, measures, pictures, plugged, reports, selection, similarity, spec, splits, streams, stores, text, training  # noqa: E402, F401
+from .plans import acceptance, acquisition, admission, assembly, color, evaluation, grids, joins, measures, pictures, plugged, reports, selection, similarity, spec, splits, streams, stores, text, training  # noqa: E402, F401
