@@ -33,6 +33,7 @@ HELD_TERMS = 1_000_000
 #: (a subset's share of the lexicon is one in this, number of subsets, first bit of the code that deals out the terms)
 LEVELS = [(1, 1, 0), (4, 4, 0), (4, 4, 2), (16, 16, 4), (64, 16, 8), (256, 16, 14), (1024, 16, 22)]
 ENOUGH = 8  #: filled subsets of a level that make its likeness count
+RANGES = 12  #: ranges of keys for each shuffle partition; more of them make partitions more even
 EMPTY = "d41d8cd9"  #: begin of the MD5 of nothing
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -78,23 +79,26 @@ def _subsets(rows: DataFrame, codes: str, whole: Column, out: str) -> DataFrame:
     return rows.withColumn(out, F.array(*at_hand)).drop(*[f"_level{k}" for k in range(len(LEVELS))])
 
 
-def fingerprints(rows: DataFrame, row: str, texts: list[str], lex: DataFrame, keep: list[str] = []) -> DataFrame:
-    """row, the columns `keep`, and the subset hashes of each text column (as `<column>_hashes`); row is a number of its own for each row."""
+def fingerprints(rows: DataFrame, row: list[str], texts: list[str], lex: DataFrame, keep: list[str] = []) -> DataFrame:
+    """The columns `row`, which tell rows apart, and `keep`, and the subset hashes of each text column (as `<column>_hashes`).
+
+    Where rows are already dealt out by one of the columns `row` and the lexicon goes to every task, nothing is shuffled.
+    """
     if lex.limit(HELD_TERMS + 1).count() <= HELD_TERMS:
         lex = F.broadcast(lex)
     none = F.array().cast("array<string>")
-    split = rows.select(F.col(row).alias("row"), *keep, *[terms(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(texts)])
+    split = rows.select(*row, *keep, *[terms(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(texts)])
     about = F.struct(*keep, *[F.md5(F.array_join(F.sort_array(f"t{i}"), " ").cast("binary")).alias(f"whole{i}") for i in range(len(texts))])
     # One row carries what is known of the text, the others have a term only.
     parts = [F.struct(F.lit(-1).alias("k"), F.array(F.lit("")).alias("terms"), about.alias("about"))]
     parts += [F.struct(F.lit(i).alias("k"), F.coalesce(F.col(f"t{i}"), none).alias("terms"), F.lit(None).cast(split.select(about.alias("a")).schema["a"].dataType).alias("about")) for i in range(len(texts))]
-    met = split.select("row", F.explode(F.array(*parts)).alias("x")).select("row", F.col("x.k").alias("k"), F.col("x.about").alias("about"), F.explode("x.terms").alias("term"))
-    met = met.join(lex, "term", "left").where("k < 0 OR code IS NOT NULL").select("row", "k", "about", "code")
+    met = split.select(*row, F.explode(F.array(*parts)).alias("x")).select(*row, F.col("x.k").alias("k"), F.col("x.about").alias("about"), F.explode("x.terms").alias("term"))
+    met = met.join(lex, "term", "left").where("k < 0 OR code IS NOT NULL").select(*row, "k", "about", "code")
     lists = [F.sort_array(F.collect_list(F.when(F.col("k") == i, F.col("code")))).alias(f"c{i}") for i in range(len(texts))]
-    out = met.groupBy("row").agg(F.first("about", ignorenulls=True).alias("about"), *lists).select("row", "about.*", *[f"c{i}" for i in range(len(texts))])
+    out = met.groupBy(*row).agg(F.first("about", ignorenulls=True).alias("about"), *lists).select(*row, "about.*", *[f"c{i}" for i in range(len(texts))])
     for i, c in enumerate(texts):
         out = _subsets(out, f"c{i}", F.col(f"whole{i}"), f"{c}_hashes")
-    return out.select(F.col("row").alias(row), *keep, *[f"{c}_hashes" for c in texts])
+    return out.select(*row, *keep, *[f"{c}_hashes" for c in texts])
 
 
 def fingerprint(hashes: Column) -> Column:
@@ -123,13 +127,20 @@ def _below(key: Column, bounds: list, within) -> Column:
     return F.when(blocks == 0, 0).otherwise((blocks - 1) * step + inside)
 
 
+def _in_range():
+    return Window.partitionBy("_range").orderBy("_extra", "key", "tie")
+
+
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows (key, tie, columns) with `next`, a struct of these columns in the next row by key; after the last row, the first.
 
+    The result is dealt out by `_range`.  It holds the first row of the next range, too, marked by `_extra` = 1 and without a
+    next, so that what is made of the columns can be had of the next row by `lead` over _in_range(), without another shuffle.
+
     Keys (numbers) are cut into ranges at their quantiles and each range is ordered in one task, so rows move once; a key
-    that fills several ranges is dealt out among them by `tie`.  Each range also has the first row of the next one.
+    that fills several ranges is dealt out among them by `tie`.
     """
-    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = rows.agg(F.percentile_approx("key", F.lit([i / parts for i in range(1, parts)]), 10 * parts).alias("b")).collect()[0]["b"]
     if not found:
         found = [0]
@@ -141,9 +152,8 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     firsts = F.broadcast(firsts.select(F.col("_range").alias("_r"), "f", before.alias("_before")))
     again = placed.join(firsts, (F.col("_range") == F.col("_r")) & F.col("key").eqNullSafe(F.col("f.key")) & (F.col("tie") == F.col("f.tie")))
     again = again.withColumn("_range", F.col("_before")).select(*placed.columns).dropDuplicates(["_range"]).withColumn("_extra", F.lit(1))
-    order = Window.partitionBy("_range").orderBy("_extra", "key", "tie")
     both = placed.withColumn("_extra", F.lit(0)).unionByName(again)
-    return both.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("_extra = 0").drop("_extra", "_range")
+    return both.withColumn("next", F.lead(F.struct(*columns)).over(_in_range()))
 
 
 def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,13 +166,13 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
     ordered = with_next(rows.withColumn("tie", F.xxhash64("text")), ["text"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    ordered = ordered.select("key", "tie", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
+    ordered = ordered.select("_range", "_extra", "key", "tie", "text", F.length("text").cast("long").alias("n_chars"), F.coalesce(edited, F.lit("")).alias("edited"), F.monotonically_increasing_id().alias("row"))
     ordered = ordered.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    made = saved(fingerprints(ordered, "row", ["text", "edited"], lex, ["key", "tie", "n_chars", "edited_sha256"]), "fingerprints")
-    met = with_next(made, ["text_hashes"])
+    made = fingerprints(ordered, ["_range", "row"], ["text", "edited"], lex, ["_extra", "key", "tie", "n_chars", "edited_sha256"])
+    met = made.withColumn("next_hashes", F.lead("text_hashes").over(_in_range())).where("_extra = 0")
     return met.select(
         F.col("key").alias(key), "n_chars", "edited_sha256", fingerprint(F.col("text_hashes")).alias("fingerprint"), fingerprint(F.col("edited_hashes")).alias("edited_fingerprint"),
-        likeness(F.col("text_hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("text_hashes"), F.col("next.text_hashes")).alias("near_next"),
+        likeness(F.col("text_hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("text_hashes"), F.col("next_hashes")).alias("near_next"),
     )
 
 
