@@ -1,7 +1,7 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed n-grams (1 to 3 characters of the lower-cased text) per language on a bounded sample: at most
-TRAIN_ROWS labelled rows, those with the smallest hash of their key.  Counts are summed by Spark; the smoothed
+TRAIN_ROWS labelled rows, those with the smallest hash of their key, then of text and language; equal rows with equal keys count once.  Counts are summed by Spark; the smoothed
 log-probability matrix, BUCKETS by languages, is sent to the tasks (32768 x 8 bytes a language, and the sample has
 TRAIN_ROWS languages at most).  Scoring takes the whole text: n-grams are counted per document, and the sparse counts
 are multiplied with the matrix in numpy, LANGUAGES languages at a time.
@@ -98,9 +98,9 @@ def matrix(counts: dict[tuple[str, int], int], langs: list[str]) -> np.ndarray:
 
 def train(rows: DataFrame, bound: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """rows (key, text, lang), labelled -> (languages, matrix of log-probabilities, BUCKETS by languages)."""
-    picked = rows.where("lang IS NOT NULL").withColumn("h", F.xxhash64(F.col("key").cast("string")))
+    picked = rows.where("lang IS NOT NULL").withColumn("h", F.struct(F.xxhash64(F.col("key").cast("string")).alias("key"), F.xxhash64("text", "lang").alias("row")))
     edge = picked.select("h").orderBy("h").limit(bound).agg(F.max("h").alias("edge"))
-    sample = picked.join(F.broadcast(edge), F.col("h") <= F.col("edge")).select("text", "lang")
+    sample = picked.join(F.broadcast(edge), F.col("h") <= F.col("edge")).select("h", "text", "lang").dropDuplicates(["h"]).select("text", "lang")
     counts = sample.mapInArrow(tidy(_train), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
