@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,73 +35,74 @@ from .carry import pick
 from .pieces import byte_letters, pieces, texts_of
 from .store import saved
 
-CHUNK = 1 << 15  #: characters of a long text that are encoded at a time
+PART = 300  #: characters that side B encodes at a time, about: it takes more than in proportion to its text
+BLOCK = 1 << 15  #: characters of a long text that are aligned at a time, or groups that are written
 MEMO = 2_000_000  #: transitions that a worker holds before it starts anew
 GAP = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
+class State(dict):
+    """What one side has ahead of the other, and the memoised state after each next token of the side that lags."""
+
+    __slots__ = ("of", "a_leads", "reads_a", "rest")
+
+    def __init__(self, of: Transducer, a_leads: bool, rest: bytes):
+        self.of, self.a_leads, self.rest = of, a_leads, rest
+        self.reads_a = not a_leads
+
+    def __missing__(self, token: int) -> State:
+        to = self[token] = self.of.after(self, token)
+        return to
+
+
 class Transducer:
-    """States are numbered; 0 has nothing left over and reads side A."""
+    """`zero` has nothing left over and reads side A; `broken` is where bytes have differed."""
 
     def __init__(self, a: list[bytes], b: list[bytes]):
         self.a, self.b = a, b
         self.clear()
 
     def clear(self) -> None:
-        self.residuals: list[tuple[bool, bytes]] = [(False, b"")]  # whether A leads, what B (or A) has to match
-        self.number = {(False, b""): 0}
-        self.reads_a = [True]
-        self.steps: dict[int, int] = {}
-
-    def _state(self, a_leads: bool, rest: bytes) -> int:
-        if not rest:
-            return 0
-        at = self.number.setdefault((a_leads, rest), len(self.residuals))
-        if at == len(self.residuals):
-            self.residuals.append((a_leads, rest))
-            self.reads_a.append(not a_leads)
-        return at
-
-    def _step(self, state: int, token: int) -> int:
-        """The state after this token of the side that lags, or -1 where its bytes differ from the residual."""
-        a_leads, rest = self.residuals[state]
-        new = (self.a if self.reads_a[state] else self.b)[token]
-        if state == 0:
-            out = self._state(True, new)
-        elif rest.startswith(new):
-            out = self._state(a_leads, rest[len(new) :])
-        elif new.startswith(rest):
-            out = self._state(not a_leads, new[len(rest) :])
+        self.steps = 0
+        self.zero, self.broken = State(self, False, b""), State(self, True, b"")
+        self.states = {(False, b""): self.zero, (True, b""): self.zero}
+
+    def after(self, state: State, token: int) -> State:
+        """The state after this token of the side that lags."""
+        if state is self.broken:
+            return state
+        self.steps += 1
+        new = (self.a if state.reads_a else self.b)[token]
+        if state is self.zero:
+            to = (True, new)
+        elif state.rest.startswith(new):
+            to = (state.a_leads, state.rest[len(new) :])
+        elif new.startswith(state.rest):
+            to = (not state.a_leads, new[len(state.rest) :])
         else:
-            out = -1
-        self.steps[state << 20 | token] = out
-        return out
+            return self.broken
+        return self.states.setdefault(to, State(self, *to))
 
     def groups(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
         """How many tokens of a, and how many of b, have been read as each group closes; None where bytes differ."""
-        if len(self.steps) > MEMO:
+        if self.steps > MEMO:
             self.clear()
-        known, reads_a, state, i, j = self.steps.get, self.reads_a, 0, 0, 0
+        state = zero = self.zero
         ends_a: list[int] = []
         ends_b: list[int] = []
+        closed_a, closed_b, of_b, j = ends_a.append, ends_b.append, iter(b).__next__, 0
         try:
-            while state or i < len(a):
-                if reads_a[state]:
-                    token = a[i]
-                    i += 1
-                else:
-                    token = b[j]
+            for i, token in enumerate(a, 1):
+                state = state[token]
+                while not state.reads_a:
+                    state = state[of_b()]
                     j += 1
-                to = known(state << 20 | token)
-                state = self._step(state, token) if to is None else to
-                if state <= 0:
-                    if state < 0:
-                        return None
-                    ends_a.append(i)
-                    ends_b.append(j)
-        except IndexError:  # one side has ended inside a group
+                if state is zero:
+                    closed_a(i)
+                    closed_b(j)
+        except StopIteration:  # side B has ended inside a group, or bytes differ
             return None
-        return (ends_a, ends_b) if j == len(b) else None
+        return (ends_a, ends_b) if state is zero and j == len(b) else None
 
 
 class Sides:
@@ -115,31 +118,31 @@ class Sides:
         of_a = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in ((library.id_to_token(i) or "") for i in range(library.get_vocab_size()))]
         self.of_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.transducer = Transducer(of_a, self.of_b)
+        # A byte-level side without a normaliser, of whose tokens each byte is one, gives every text back; side B is compared with it.
+        self.a_is_whole = library.normalizer is None and library.pre_tokenizer is not None and {bytes([k]) for k in range(256)} <= set(of_a) and self.a.byte_level
         self.cuts = self.a.byte_level and not any(re.search("[^▁]▁", p) for p in names) and self.b.encode("ab cd") == self.b.encode("ab") + self.b.encode("cd")
 
-    def parts(self, text: str):
-        """The text without the spaces at which it is cut."""
+    def parts(self, text: str, most: int):
+        """The text in parts of about `most` characters, without the spaces at which it is cut."""
         at = 0
-        while self.cuts and len(text) - at > CHUNK and (gap := GAP.search(text, at + CHUNK)):
+        while self.cuts and len(text) - at > most and (gap := GAP.search(text, at + most)):
             yield text[at : gap.start()]
             at = gap.end()
         yield text[at:] if at else text
 
     def align(self, text: str):
         """Ids of both sides and the sizes of each group on both sides; None where a side doesn't reproduce the text."""
-        a_ids, b_ids, a_sizes, b_sizes = [], [], [], []
-        for part in self.parts(text):
-            a, b = self.a.plain_ids(" " + part), self.b.encode(part, num_threads=1)
-            if b"".join([self.of_b[i] for i in b]) != (" " + part).encode():
+        found = []
+        for block in self.parts(text, BLOCK):
+            a, b = self.a.plain_ids(" " + block), list(chain.from_iterable(self.b.encode(list(self.parts(block, PART)), num_threads=1)))
+            if not self.a_is_whole and b"".join([self.of_b[i] for i in b]) != (" " + block).encode():
                 return None
             ends = self.transducer.groups(a, b)
             if ends is None:
                 return None
-            a_ids.append(np.array(a, np.int32))
-            b_ids.append(np.array(b, np.int32))
-            a_sizes.append(np.diff(np.array(ends[0], np.int32), prepend=np.int32(0)))
-            b_sizes.append(np.diff(np.array(ends[1], np.int32), prepend=np.int32(0)))
-        return tuple(np.concatenate(x) for x in (a_ids, b_ids, a_sizes, b_sizes))
+            found.append([np.frombuffer(array("i", x), np.int32) for x in (a, b, *ends)])
+            found[-1][2:] = [np.diff(x, prepend=np.int32(0)) for x in found[-1][2:]]
+        return tuple(np.concatenate(x) for x in zip(*found)) if len(found) > 1 else tuple(found[0])
 
 
 _made: dict[tuple[str, str], Sides] = {}
@@ -218,41 +221,43 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     return met.join(met.groupBy("b_id").agg(F.max("n").alias("most")), "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def _written(names: list[str], a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> str:
-    """sha256 of `a1,a2|b1;a3|b2,b3`, hashed group block by group block."""
-    if not len(a_sizes):
+def _stream(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """All groups' tokens in the order they are written, each as 3 * id + what follows it: 0 another of its side, 1 side B, 2 the next group."""
+    ends_a, ends_b = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    out = np.empty(len(a) + len(b), np.int64)
+    follow_a, follow_b = 3 * a.astype(np.int64), 3 * b.astype(np.int64)
+    follow_a[ends_a - 1] += 1
+    follow_b[ends_b - 1] += 2
+    out[np.arange(len(a)) + np.repeat(ends_b - b_sizes, a_sizes)] = follow_a
+    out[np.arange(len(b)) + np.repeat(ends_a, b_sizes)] = follow_b
+    return out
+
+
+def _sha(stream: np.ndarray, words: list[bytes]) -> str:
+    """sha256 of `a1,a2|b1;a3|b2,b3`, the stream without its last semicolon."""
+    if not len(stream):
         return ""
-    digest, i, j = hashlib.sha256(), 0, 0
-    for at in range(0, len(a_sizes), CHUNK):
-        out = []
-        sa, sb = a_sizes[at : at + CHUNK].tolist(), b_sizes[at : at + CHUNK].tolist()
-        left = [names[t] for t in a[i : i + sum(sa)].tolist()]
-        right = [names[t] for t in b[j : j + sum(sb)].tolist()]
-        i, j, p, q = i + len(left), j + len(right), 0, 0
-        for m, n in zip(sa, sb):
-            if m == 1 and n == 1:
-                out.append(f"{left[p]}|{right[q]}")
-            else:
-                out.append(f"{','.join(left[p : p + m])}|{','.join(right[q : q + n])}")
-            p += m
-            q += n
-        digest.update(((";" if at else "") + ";".join(out)).encode())
+    digest = hashlib.sha256()
+    for at in range(0, len(stream), BLOCK):
+        text = b"".join([words[k] for k in stream[at : at + BLOCK].tolist()])
+        digest.update(text if at + BLOCK < len(stream) else text[:-1])
     return digest.hexdigest()
 
 
 def _digested(shared):
     def run(batches):
         links, counts, best = shared.value
-        names = [str(i) for i in range(1 << 17)]
+        words: list[bytes] = []
         for batch in batches:
             for rows, values, bounds in _part_lists(batch):
-                while max(map(lambda v: int(v.max(initial=0)), values[:2])) >= len(names):
-                    names += [str(i) for i in range(len(names), 2 * len(names))]
+                stream = _stream(*values)
+                while len(words) <= stream.max(initial=0):
+                    words += [b"%d%c" % (i, end) for i in range(len(words) // 3, len(words) // 3 + (1 << 16)) for end in b",|;"]
                 at = np.searchsorted(links, _links(values, bounds, WIDTH))
                 sums = [np.diff(np.concatenate([[0], np.cumsum(x[at])])[bounds[2]]) for x in (counts, best.astype(np.int64))]
-                a, b, ga, gb = bounds
-                shas = [_written(names, *(v[s[k] : s[k + 1]] for v, s in zip(values, bounds))) for k in range(len(a) - 1)]
-                size = [pa.array(np.diff(s).astype(np.int64)) for s in (a, b, ga, ga)]
+                ends = bounds[0] + bounds[1]
+                shas = [_sha(stream[x:y], words) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                size = [pa.array(np.diff(s).astype(np.int64)) for s in (bounds[0], bounds[1], bounds[2], bounds[2])]
                 yield pa.record_batch([batch.column("key")[rows.start : rows.stop], *size, pa.array(sums[1]), pa.array(sums[0]), pa.array(shas, pa.string())], DIGEST)
 
     return run

@@ -90,7 +90,7 @@ def test_alignment_equals_byte_ends(spark):
 def test_alignment_of_long_text_is_cut_without_a_trace():
     sides = alignment.Sides(queries.tokenizer_path(), queries.tokenizer_path(queries.OTHER_TOKENIZER))
     text = " ".join(t for _, t, *_ in documents() if t and len(t) < 4000) * 3
-    assert sides.cuts and len(list(sides.parts(text))) > 3
+    assert sides.cuts and len(list(sides.parts(text, alignment.BLOCK))) > 3
     cut = sides.align(text)
     sides.cuts = False
     assert all((x == y).all() for x, y in zip(cut, sides.align(text)))
