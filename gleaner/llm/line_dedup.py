@@ -26,9 +26,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.selection import numbered
 from .carry import carried, restored
 from .keys import maybe_in
 from .store import discard, saved
@@ -38,8 +39,8 @@ SIMILAR = 0.7
 MIN_DOCS = 5
 LONG = 8
 LONG_DOCS = 2
-BATCH = 32  #: candidates for templates in a leaf's first further round; each round takes four times as many
-MOST_TOKENS = 1 << 15  #: tokens of a leaf's candidates in a round (one line at least)
+PAIRED = 24  #: tokens of the longest lines that are compared by pairs of blocks
+FEW = 64  #: lines of a key that are all compared with each other
 _FIELD = r"[^ \t\n\x0B\f\r]*(?:[0-9]|@|://)[^ \t\n\x0B\f\r]*"
 _SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -68,36 +69,75 @@ def _agreeing(a: Column, b: Column, similar: float) -> Column:
     return same / F.size(a) >= similar
 
 
-def further(left: DataFrame, hashes: DataFrame, least: Column, similar: float) -> list[DataFrame]:
-    """Tables (leaf, hash, template) of the lines of `left` that join a further template of their leaf or make one.
+def _keys(size: Column, tokens: Column, similar: float) -> Column:
+    """Hashes of parts of a line, of which two lines of a leaf that agree in enough positions share at least one.
 
-    left: (leaf, long, hash, line, many), a saved table of lines that joined none.  Each round goes on with the leaves
-    that enough texts reach by lines still left.  A leaf's next lines in order are candidates, those like an earlier
-    one are struck, and every line left joins the first like it: the same templates as one at a time.
+    They differ in `most` positions at most, none of them among the first DEPTH.  Of most + 2 blocks of the other positions two are
+    equal, so pairs of blocks are keys; long lines have single ones of most + 1 blocks, which are long enough themselves.
     """
-    out, batch, seen = [], BATCH, hashes
-    order = Window.partitionBy("leaf").orderBy(F.desc("many"), "line")
-    tokens = lambda c: F.split(c, " ")
+    most = F.floor(size * (1 - similar) + 1e-6).cast("int")
+    count = most + F.when(size <= PAIRED, 2).otherwise(1)
+    start = lambda k: F.floor(k * (size - DEPTH) / count).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.xxhash64(F.slice(tokens, start(k) + DEPTH + 1, start(k + 1) - start(k))))
+    paired = F.flatten(F.transform(blocks, lambda x, i: F.transform(F.slice(blocks, i + 2, count), lambda y, j: F.xxhash64(i, j, x, y))))
+    return F.when(size <= PAIRED, paired).otherwise(F.transform(blocks, lambda x, i: F.xxhash64(i, x)))
+
+
+def further(left: DataFrame, hashes: DataFrame, least: Column, similar: float) -> DataFrame | None:
+    """(leaf, hash, template) of the lines of `left` that join a further template of their leaf or make one that others join.
+
+    left: (leaf, long, hash, line, many), a saved table of lines that joined none.  Lines are numbered in the order in
+    which they become templates.  Lines that agree share a key.  A line that waits for none before it is a template: where
+    a key has few lines it waits for those that it agrees with, where it has many for the first of them that is open.
+    Each round finds the templates there are, and the lines that agree with them are no longer open, but may still find a
+    template that comes before theirs.  That gives the templates of one line at a time; work follows the lines, not their pairs.
+    """
+    seen = saved(maybe_in(hashes, "hash", left).where("_maybe").join(left.select("leaf", "hash"), ["leaf", "hash"]).groupBy("leaf", "long").agg(F.countDistinct("class").alias("docs")).where(least).select("leaf"), "left-leaves")
+    if seen.isEmpty():
+        return None
+    order = numbered(left.join(seen, "leaf").select("leaf", "hash", "line", (-F.col("many")).alias("less")), ["less", "line", "leaf"])
+    lines = saved(order.select("n", "leaf", "hash", F.split("line", " ").alias("tokens")), "numbered-lines")
+    keys = lines.select("n", "leaf", F.explode(_keys(F.size("tokens"), F.col("tokens"), similar)).alias("key")).select("n", F.xxhash64("leaf", "key").alias("key"))
+    keys = saved(keys, "keys")
+    many = saved(keys.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"), "shared-keys")
+
+    def packed(df: DataFrame, label: str) -> DataFrame:
+        """Saved in files of a task's size, however few: rounds read these tables again and again."""
+        return saved(df.hint("rebalance"), label)
+
+    def agreeing(met: DataFrame) -> DataFrame:
+        """met (n, head) of lines that share a key -> those that agree."""
+        pair = met.join(lines.select("n", "tokens"), "n").join(lines.select(F.col("n").alias("head"), F.col("tokens").alias("other")), "head")
+        return pair.where(_agreeing(F.col("tokens"), F.col("other"), similar)).select("n", "head")
+
+    # Lines of a key with few of them are compared at once: at most FEW for each line and key.
+    few = keys.join(many.where(F.col("lines") <= FEW), "key").drop("lines")
+    edges = packed(agreeing(few.join(few.withColumnRenamed("n", "head"), "key").where("head < n").select("n", "head").distinct()), "edges")
+    big = packed(keys.join(many.where(F.col("lines") > FEW), "key").drop("lines"), "big-keys")
+    open_ = packed(edges.select("n").union(edges.select("head")).union(big.select("n")).distinct().withColumn("best", F.lit(None).cast("long")), "open")
+    found: list[DataFrame] = []
     while True:
-        near = maybe_in(seen, "hash", left).where("_maybe").drop("_maybe")
-        now = saved(near.join(left.select("leaf", "hash"), ["leaf", "hash"]).select("leaf", "long", "hash", "class").distinct(), "left")
-        if seen is not hashes:
-            discard(seen)
-        seen = now
-        leaves = saved(seen.select("leaf", "long", "class").distinct().groupBy("leaf", "long").agg(F.count("*").alias("docs")).where(least).select("leaf"), "leaves")
-        if leaves.isEmpty():
-            return out
-        rest = left.join(leaves, "leaf")
-        size = F.greatest(F.lit(1), F.least(F.lit(batch), F.floor(F.lit(MOST_TOKENS) / F.size(tokens(F.col("line"))))))
-        first = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= batch).where(F.col("rank") <= size)
-        listed = first.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "hash", tokens(F.col("line")).alias("tokens")))).alias("found"))
-        struck = F.aggregate("found", F.slice("found", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: _agreeing(k["tokens"], x["tokens"], similar)), kept).otherwise(F.concat(kept, F.array(x))))
-        heads = saved(listed.select("leaf", struck.alias("heads")), "heads")
-        like = F.filter("heads", lambda k: _agreeing(k["tokens"], tokens(F.col("line")), similar))
-        told = saved(rest.join(heads, "leaf").withColumn("template", F.get(like, F.lit(0))["hash"]).drop("heads"), "told")
-        out.append(told.where("template IS NOT NULL").select("leaf", "hash", "template"))
-        left = told.where("template IS NULL").drop("template")
-        batch *= 4
+        # A line waits for those before it that it agrees with, and under a key with many lines for the first open one.
+        free = open_.where("best IS NULL").select("n")
+        first = big.join(free, "n").groupBy("key").agg(F.min("n").alias("first"))
+        waiting = edges.join(free, "n").join(free.withColumnRenamed("n", "head"), "head").select("n").union(big.join(free, "n").join(first, "key").where("first < n").select("n"))
+        heads = packed(free.join(waiting.distinct(), "n", "left_anti").select(F.col("n").alias("head")), "heads")
+        if heads.isEmpty():
+            return reduce(DataFrame.unionByName, found).groupBy("n").agg(F.min("head").alias("head")).transform(lambda t: _named(t, lines)) if found else None
+        near = big.join(heads.withColumnRenamed("head", "n"), "n").select("key", F.col("n").alias("head")).join(big, "key").where("head < n").select("n", "head").join(open_, "n").where("best IS NULL OR head < best")
+        taken = packed(edges.join(heads, "head").select("n", "head").union(agreeing(near.select("n", "head").distinct())).groupBy("n").agg(F.min("head").alias("head")), "taken")
+        found.append(taken)
+        still = packed(open_.join(heads, F.col("n") == F.col("head"), "left_anti").join(taken, "n", "left").select("n", F.least("best", "head").alias("best")), "open")
+        discard(open_, heads)
+        open_ = still
+
+
+def _named(taken: DataFrame, lines: DataFrame) -> DataFrame:
+    """(leaf, hash, template) of the lines that were taken, and of the templates that took them."""
+    names = lines.select("n", "leaf", "hash")
+    members = taken.join(names, "n").join(names.select(F.col("n").alias("head"), F.col("hash").alias("template")), "head").select("leaf", "hash", "template")
+    own = names.join(taken.select(F.col("head").alias("n")).distinct(), "n").select("leaf", "hash", F.col("hash").alias("template"))
+    return members.unionByName(own)
 
 
 def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, long_docs: int = LONG_DOCS) -> DataFrame:
@@ -120,7 +160,7 @@ def recurring(lines: DataFrame, hashes: DataFrame, min_docs: int = MIN_DOCS, sim
     # A line that no further template takes is alone: its hash is its template.
     found = further(left, hashes, enough, similar)
     if found:
-        later = reduce(DataFrame.unionByName, found).withColumnRenamed("template", "later")
+        later = found.withColumnRenamed("template", "later")
         joined = joined.join(later, ["leaf", "hash"], "left").withColumn("template", F.coalesce("template", "later"))
     grouped = saved(joined.select("leaf", "hash", F.coalesce("template", "hash").alias("template")), "templates")
     used = hashes.join(grouped, ["leaf", "hash"])

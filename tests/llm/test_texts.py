@@ -5,6 +5,7 @@ import zlib
 from array import array
 from collections import Counter
 
+import numpy as np
 import pytest
 from cases import SCHEMA, documents, frame, stats
 from hypothesis import given, settings
@@ -318,8 +319,53 @@ def plain_templates(lines, similar=0.7):
     return out
 
 
-def test_a_leaf_has_as_many_templates_as_families(spark, monkeypatch):
-    monkeypatch.setattr("gleaner.llm.line_dedup.BATCH", 2)  # more than one round
+def plain_templates_of_many(lines, similar=0.7):
+    """plain_templates with each line compared with all templates before it at once."""
+    order = sorted(lines, key=lambda x: (-lines[x], x))
+    names = {w: i for i, w in enumerate(sorted({w for x in order for w in x.split(" ")}))}
+    codes = np.array([[names[w] for w in x.split(" ")] for x in order], np.int32)
+    heads, at, out = np.zeros_like(codes), [], {}
+    for i, x in enumerate(order):
+        like = np.flatnonzero((heads[: len(at)] == codes[i]).sum(axis=1) / codes.shape[1] >= similar)
+        if len(like):
+            out[x] = order[at[like[0]]]
+        else:
+            heads[len(at)] = codes[i]
+            at.append(i)
+            out[x] = x
+    return out
+
+
+@pytest.mark.parametrize("tokens, n", [(5, 400), (8, 2000), (10, 20_000), (17, 1500), (30, 1500)])
+def test_a_leaf_of_many_lines(spark, tokens, n):
+    """Lines of one leaf: families whose variants overlap, chains from one to the next, and lines like no other."""
+    rng = random.Random(tokens)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmno"]
+    lines, most = set(), int(tokens * 0.3 + 1e-9)
+    while len(lines) < n:
+        base = [rng.choice(words) for _ in range(tokens - 3)]
+        for _ in range(rng.choice([1, 1, 1, 1, 4, 12, 40])):
+            lines.add(" ".join(["in", "this", "leaf", *base]))
+            for _ in range(rng.randint(1, most)):
+                base[rng.randrange(len(base))] = rng.choice(words)  # drifts away from the first of its family
+    rows = [(i, x, None, None, None) for i, x in enumerate(sorted(lines, key=lambda _: rng.random()))]
+    many = Counter({x: 1 for x in lines})
+    templates = plain_templates_of_many(many)
+    if n <= 2000:
+        assert templates == plain_templates(many)
+    first, docs = {}, Counter(templates[x] for _, x, *_ in rows)
+    for _, x, *_ in rows:
+        first.setdefault(templates[x], x)
+    least = 2 if tokens >= 8 else 5
+    want = {i: int(docs[templates[x]] >= least and first[templates[x]] != x) for i, x, *_ in rows}
+    began = time.monotonic()
+    got = {r["doc_id"]: r["lines_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    took = time.monotonic() - began
+    assert got == want
+    assert took < 240
+
+
+def test_a_leaf_has_as_many_templates_as_families(spark):
     rng = random.Random(4)
     tail = ["sunny skies over hill and lake today", "heavy rain near coast and port tonight", "quiet roads about town and field again", "late trains from north and east now"]
     rows = []
