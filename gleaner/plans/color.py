@@ -31,13 +31,10 @@ def srgb_to_lab(spark, sf_dir):
 
 
 _HUE = "(((degrees(atan2(b, a)) % 360) + 360) % 360)"
-_NEAR = "(VALUES " + ", ".join(f"('{s}', {c}, {i})" for i, (s, c) in enumerate(C.SECTORS.items())) + ") s(name, centre, ord)"
+_SECTOR = "list_min([" + ", ".join(f"{{'d': round(abs((((hue - {c} + 180) % 360) + 360) % 360 - 180), 9), 'ord': {i}, 'name': '{s}'}}" for i, (s, c) in enumerate(C.SECTORS.items())) + "]).name"
 
 
-@query(
-    f"""WITH {_LAB}, h AS (SELECT l_orderkey, l_linenumber, sqrt(a * a + b * b) AS chroma, {_HUE} AS hue FROM lab), d AS (SELECT h.*, name, ord, round(abs((((hue - centre + 180) % 360) + 360) % 360 - 180), 9) AS d FROM h, {_NEAR})
-    SELECT arg_min(name, (d, ord)) AS sector, l_orderkey, l_linenumber, round(any_value(chroma), 5) AS chroma FROM d GROUP BY l_orderkey, l_linenumber, hue"""
-)
+@query(f"WITH {_LAB}, h AS (SELECT l_orderkey, l_linenumber, sqrt(a * a + b * b) AS chroma, {_HUE} AS hue FROM lab) SELECT {_SECTOR} AS sector, l_orderkey, l_linenumber, round(chroma, 5) AS chroma FROM h")
 def hue_sector(spark, sf_dir):
     return _lab(spark, sf_dir).select(C.sector(C.hue(F.col("a"), F.col("b"))).alias("sector"), "l_orderkey", "l_linenumber", F.round(F.hypot("a", "b"), 5).alias("chroma"))
 
