@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import ADOBE_GAMMA, ADOBE_XYZ, RGB_XYZ
-from .measure import hald_table, looked_up, read_png
+from .measure import AT_ONCE, hald_table, looked_up, read_png
 
 
 def gathered(nodes: DataFrame, key: str, n: int) -> DataFrame:
@@ -47,11 +47,14 @@ def resampled_to(tables: np.ndarray, m: int) -> np.ndarray:
     return tables
 
 
-def _dense(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and tables of the same size."""
+def _dense(part: pd.DataFrame, m: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and tables of the same size, as many as have AT_ONCE numbers on the larger of their own and m nodes an axis."""
     sizes = part["n"].to_numpy()
+    chunks = []
     for n in np.unique(sizes):
-        rows = np.flatnonzero(sizes == n)
+        rows, many = np.flatnonzero(sizes == n), max(1, AT_ONCE // (3 * max(int(n), m) ** 3))
+        chunks += [(n, rows[k : k + many]) for k in range(0, len(rows), many)]
+    for n, rows in chunks:
         yield rows, np.stack([np.asarray(part["values"].iloc[k], float) for k in rows]).reshape(len(rows), n, n, n, 3)
 
 
@@ -61,7 +64,7 @@ def resampled(tables: DataFrame, key: str, m: int) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for rows, found in _dense(part):
+            for rows, found in _dense(part, m):
                 yield pd.DataFrame({"key": part["key"].iloc[rows].to_numpy(), "n": m, "values": list(resampled_to(found, m).reshape(len(rows), -1))})
 
     return tables.select(F.col(key).alias("key"), "n", "values").mapInPandas(run, f"key {kind}, n int, values array<double>").withColumnRenamed("key", key)
@@ -91,7 +94,7 @@ def to_hald(tables: DataFrame, key: str, level: int | None = None) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for rows, found in _dense(part):
+            for rows, found in _dense(part, level * level if level else 1):
                 size = level or int(np.ceil(np.sqrt(found.shape[1])))
                 yield pd.DataFrame({"key": part["key"].iloc[rows].to_numpy(), "level": size, "content": [png(hald_image(t, size)) for t in found]})
 
@@ -112,6 +115,9 @@ def from_hald(images: DataFrame, key: str, m: int | None = None) -> DataFrame:
                     continue
                 table = resampled_to(table[None], m or table.shape[0])[0]
                 out.append((name, table.shape[0], table.ravel()))
+                if sum(v.size for *_, v in out) >= AT_ONCE:
+                    yield pd.DataFrame(out, columns=["key", "n", "values"])
+                    out = []
             yield pd.DataFrame(out, columns=["key", "n", "values"])
 
     return images.select(F.col(key).alias("key"), "content").mapInPandas(run, f"key {kind}, n int, values array<double>").withColumnRenamed("key", key)
@@ -152,7 +158,7 @@ def canonical(tables: DataFrame, key: str, adobe: str, m: int = 17) -> DataFrame
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for rows, found in _dense(part):
+            for rows, found in _dense(part, m):
                 clipped = (found.min(axis=(1, 2, 3, 4)) < 0) | (found.max(axis=(1, 2, 3, 4)) > 1)
                 wide, found = part["adobe"].iloc[rows].to_numpy(bool), np.clip(found, 0, 1)
                 out = resampled_to(found, m).copy()

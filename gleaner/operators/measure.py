@@ -181,6 +181,9 @@ def reduced(tables: np.ndarray) -> dict[str, np.ndarray]:
     return out | {f"sat_{s}": gain[:, sector == i].mean(axis=1) if (sector == i).any() else np.zeros(count) for i, s in enumerate(SECTORS)}
 
 
+AT_ONCE = 1 << 18  #: numbers of tables that are dense together, at least one table
+
+
 def reduced_behavior(tables: DataFrame, key: str) -> DataFrame:
     """tables (key, n, values), as arrays -> (key, REDUCED); tables of a batch that have the same n are measured together."""
     kind = tables.schema[key].dataType.simpleString()
@@ -189,9 +192,11 @@ def reduced_behavior(tables: DataFrame, key: str) -> DataFrame:
         for part in parts:
             sizes = part["n"].to_numpy()
             for n in np.unique(sizes):
-                rows = np.flatnonzero(sizes == n)
-                dense = np.stack([np.asarray(part["values"].iloc[k], float) for k in rows]).reshape(len(rows), n, n, n, 3)
-                yield pd.DataFrame({"key": part["key"].iloc[rows].to_numpy(), **reduced(dense)})
+                every, many = np.flatnonzero(sizes == n), max(1, AT_ONCE // (3 * int(n) ** 3))
+                for at in range(0, len(every), many):
+                    rows = every[at : at + many]
+                    dense = np.stack([np.asarray(part["values"].iloc[k], float) for k in rows]).reshape(len(rows), n, n, n, 3)
+                    yield pd.DataFrame({"key": part["key"].iloc[rows].to_numpy(), **reduced(dense)})
 
     return tables.select(F.col(key).alias("key"), "n", "values").mapInPandas(run, f"key {kind}, " + ", ".join(f"{f} double" for f in REDUCED)).withColumnRenamed("key", key)
 

@@ -95,3 +95,17 @@ def test_canonical_tables(spark):
         node = R.srgb_to_adobe(np.array([[i, j, k]]) / 2)[0]
         assert np.allclose(out[i, j, k], R.adobe_to_srgb(plain_at(table, node)[None])[0])
     assert len({r["residual_sha256"] for r in got.values()}) == 3
+
+
+def test_tables_are_dense_in_bounded_numbers():
+    import numpy as np
+    import pandas as pd
+
+    from gleaner.operators import grids as R
+
+    part = pd.DataFrame({"n": [2, 9] * 500, "values": [np.arange(24.0), np.arange(2187.0)] * 500})
+    seen = [(rows, found) for rows, found in R._dense(part, 17)]
+    assert sorted(k for rows, _ in seen for k in rows) == list(range(1000))
+    assert max(len(rows) for rows, _ in seen) * 3 * 17**3 <= R.AT_ONCE
+    assert all(found.shape[1] == part["n"].iloc[k] for rows, found in seen for k in rows)
+    assert max(len(rows) for rows, _ in R._dense(part.assign(n=2, values=[np.zeros(24)] * 1000), 200)) == 1
