@@ -18,3 +18,11 @@ def test_hue_sector_keeps_equal_line_items(spark, tmp_path):
     got = registry.QUERIES["hue_sector"](spark, str(tmp_path)).toPandas()
     assert len(got) == 20
     same(got, c.sql(registry.SQL["hue_sector"]).df())
+
+
+def test_family_tails_means_on_the_limit_are_not_over_it(spark, tmp_path):
+    """Each table's quantities have the mean 25, a difference of exactly 5: no table is over, whatever the order of its rows."""
+    c = lineitem(tmp_path, "SELECT s AS l_suppkey, i * 7 + s AS l_partkey, (CASE WHEN i % 2 = 0 THEN 25 + (i // 2 * 11 + s) % 25 ELSE 25 - (i // 2 * 11 + s) % 25 END)::DOUBLE AS l_quantity FROM range(70) a(s), range(600) b(i)")
+    got = registry.QUERIES["family_tails"](spark, str(tmp_path)).toPandas()
+    assert got["over"].sum() == 0 and (got["mean"] == 5).all()
+    same(got, c.sql(registry.SQL["family_tails"]).df())
