@@ -19,6 +19,7 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 RANGE_BYTES = 32 << 20
+TASK_BYTES, OPEN_BYTES, TASKS = 32 << 20, 16 << 10, 256  #: most of a task of several ranges, what opening a file counts as, and tasks up to which ranges stay apart
 SCHEMA = "name string, row long, shape array<int>, values array<double>"
 
 
@@ -50,11 +51,30 @@ class Range(InputPartition):
     rows: int
 
 
+@dataclass
+class Bundle(InputPartition):
+    ranges: list[Range]
+
+
+def bundled(ranges: list[Range]) -> list[Bundle]:
+    """Neighbouring ranges put together, up to TASK_BYTES and to a TASKS-th of all: many small files make few tasks."""
+    weights = [OPEN_BYTES + r.rows * int(np.prod(r.shape[1:], dtype=np.int64)) * np.dtype(r.kind).itemsize for r in ranges]
+    most = min(TASK_BYTES, sum(weights) / TASKS)
+    out, held = [], most
+    for r, weight in zip(ranges, weights):
+        if held + weight > most:
+            out.append(Bundle([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += weight
+    return out
+
+
 class NpyReader(DataSourceReader):
     def __init__(self, path: str, most: int):
         self.path, self.most = path, most
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Bundle]:
         system, path = opened(self.path)
         info = system.get_file_info(path)
         files = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File and f.path.endswith(".npy")]
@@ -68,11 +88,14 @@ class NpyReader(DataSourceReader):
             step = max(1, self.most // max(1, width * kind.itemsize)) if not by_columns or len(shape) < 2 else max(1, rows)
             for first in range(0, rows, step):
                 out.append(Range(file.path, file.base_name.removesuffix(".npy"), shape, by_columns, kind.str, begin, first, min(step, rows - first)))
-        return out or [Range("", "", (0,), False, "<f8", 0, 0, 0)]
+        return bundled(out) or [Bundle([])]
+
+    def read(self, bundle: Bundle):
+        for part in bundle.ranges:
+            if part.rows:
+                yield from self._read(part)
 
-    def read(self, part: Range):
-        if not part.rows:
-            return
+    def _read(self, part: Range):
         system, _ = opened(self.path)
         kind, width = np.dtype(part.kind), int(np.prod(part.shape[1:], dtype=np.int64))
         with system.open_input_file(part.path) as data:

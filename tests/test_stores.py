@@ -149,3 +149,13 @@ def test_publishing_refuses_names_that_lead_out(spark, tmp_path):
     with pytest.raises(Exception, match="leads out"):
         publish(df, str(tmp_path / "p"))
     assert publish(df.where("false"), str(tmp_path / "q")).count() == 0
+
+
+def test_ranges_of_small_files_share_tasks():
+    from gleaner.sources import tensors as T
+
+    many = [T.Range(f"{i}.npy", str(i), (9, 9, 9, 3), False, "<f8", 128, 4 * k, 4 if k < 2 else 1) for i in range(6000) for k in range(3)]
+    tasks = T.bundled(many)
+    assert [r for t in tasks for r in t.ranges] == many and len(tasks) < 300
+    big = [T.Range("a.npy", "a", (9, 1 << 22), False, "<f8", 128, k, 1) for k in range(9)]
+    assert [len(t.ranges) for t in T.bundled(big)] == [1] * 9 and T.bundled([]) == []
