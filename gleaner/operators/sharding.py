@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,21 +13,26 @@ def shard_files(files: DataFrame, most: int) -> DataFrame:
     """files (pack, name, bytes) -> (pack, name, bytes, shard): within a pack, in name order, a shard is closed before
     the file that would take it over `most`; a larger file is a shard of its own.
 
-    The count restarts with every shard, which is no running sum, so one task walks a pack's listing (name and size of
-    its files, not their content).
+    The count restarts with every shard, which is no running sum, so packs are walked in order; a task walks all its packs
+    in one pass and holds the count of the last shard only.  Files of one name are in order of size; a null size counts as 0.
     """
 
-    def walk(pack: pd.DataFrame) -> pd.DataFrame:
-        pack = pack.sort_values("name", kind="stable")
-        shard, held, out = 0, 0, []
-        for size in pack["bytes"].tolist():
-            if held and held + size > most:
-                shard, held = shard + 1, 0
-            held += size
-            out.append(shard)
-        return pack.assign(shard=out)
-
-    return files.groupBy("pack").applyInPandas(walk, "pack long, name long, bytes long, shard int")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, shard, held = object(), 0, 0
+        for batch in batches:
+            out = []
+            for own, size in zip(batch.column("pack").to_pylist(), batch.column("bytes").to_pylist()):
+                size = size or 0
+                if own != pack:
+                    pack, shard, held = own, 0, 0
+                elif held and held + size > most:
+                    shard, held = shard + 1, 0
+                held += size
+                out.append(shard)
+            yield batch.append_column("shard", pa.array(out, pa.int32()))
+
+    rows = files.select(*[F.col(c).cast("long").alias(c) for c in ("pack", "name", "bytes")])
+    return rows.repartition("pack").sortWithinPartitions("pack", "name", "bytes").mapInArrow(walk, "pack long, name long, bytes long, shard int")
 
 
 def content_key(files: DataFrame, pack: str, name: str, digest: str) -> DataFrame:
