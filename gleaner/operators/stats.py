@@ -57,12 +57,16 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / float(1 << 32)
 
 
-def poisson_weight(u: Column) -> Column:
-    """The Poisson(1) quantile of u, by its cumulative sums: a bootstrap count that needs no other row."""
+def poisson_weight(digest: Column) -> Column:
+    """A Poisson(1) count from a hex digest, a bootstrap count that needs no other row: the quantile of its first eight digits as a number in [0, 1).
+
+    Digits of one length are in the order of their numbers, so the digest is compared with the bounds as text.
+    """
     out, cumulative, term = None, 0.0, math.exp(-1)
     for k in range(8):
         cumulative += term
-        out = F.when(u < cumulative, k) if out is None else out.when(u < cumulative, k)
+        below = digest < f"{math.ceil(cumulative * (1 << 32)):08x}"
+        out = F.when(below, k) if out is None else out.when(below, k)
         term /= k + 1
     return out.otherwise(8)
 
@@ -73,8 +77,12 @@ def bootstrap_ratio(units: DataFrame, num: str, den: str, key: str, replicates:
     Units enter each replicate with a Poisson(1) count, so replicates are sums that every partition adds up on its
     own; the shuffle carries one row per group and replicate from each.
     """
-    drawn = units.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.withColumn("w", poisson_weight(draw(seed, F.col("r"), F.col(key))))
+    named = units.select(*by, num, den, F.coalesce(F.concat(F.lit(":"), F.col(key).cast("string")), F.lit("")).alias("unit"))
+    # a unit is one small row and `replicates` draws, so rows are spread by number and not by size
+    named = named.repartition(4 * units.sparkSession.sparkContext.defaultParallelism)
+    drawn = named.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = drawn.withColumn("digest", F.md5(F.concat(F.lit(f"{seed}:"), F.col("r").cast("string"), "unit")))
+    drawn = drawn.select(*by, "r", num, den, poisson_weight(F.col("digest")).alias("w"))
     each = drawn.groupBy(*by, "r").agg((F.sum(F.col("w") * F.col(num)) / F.nullif(F.sum(F.col("w") * F.col(den)), F.lit(0))).alias("x"))
     spread = each.groupBy(*by).agg(F.expr("percentile(x, array(0.025, 0.975))").alias("q"))
     point = units.groupBy(*by).agg((F.sum(num) / F.sum(den)).alias("estimate"), F.count("*").alias("n_units"))
