@@ -5,14 +5,17 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.color import EPS, KAPPA, RGB_XYZ, WHITE, with_lab, with_srgb
 from . import lut as L
+from .batches import by_groups, starts
 
 # Skin anchors (8-bit sRGB), hue sectors, tone bounds, fill weight and sweeps.
 SKIN = ((115, 82, 68), (194, 150, 130), (74, 48, 38), (144, 98, 75), (173, 123, 96), (231, 195, 170))
@@ -71,6 +74,7 @@ def _cube(axis: np.ndarray) -> np.ndarray:
     return np.stack(np.meshgrid(axis, axis, axis, indexing="ij"), axis=-1).reshape(-1, 3)
 
 
+@cache
 def _probes() -> dict[str, np.ndarray]:
     """Colours that a table is measured on: a grey ramp, a chart of chromatic colours, skin anchors, typical pixels."""
     ramp = np.repeat(np.linspace(0, 1, 33)[:, None], 3, axis=1)
@@ -83,6 +87,11 @@ def _probes() -> dict[str, np.ndarray]:
     return {"ramp": ramp, "chart": chart, "skin": skin, "typical": np.concatenate([inner, calm, skin])}
 
 
+@cache
+def _before() -> dict[str, np.ndarray]:
+    return {k: lab(v) for k, v in _probes().items()}
+
+
 def _mean(x: np.ndarray, keep: np.ndarray):
     return x[keep].mean(axis=0) if keep.any() else np.zeros(x.shape[1:])
 
@@ -93,8 +102,7 @@ def _direction(v: np.ndarray) -> float:
 
 def measured(table: np.ndarray) -> dict[str, float]:
     """The behaviour vector of one absolute table."""
-    probes = _probes()
-    before = {k: lab(v) for k, v in probes.items()}
+    probes, before = _probes(), _before()
     out = {k: looked_up(table, v) for k, v in probes.items()}
     after = {k: lab(v) for k, v in out.items()}
     n = table.shape[0]
@@ -208,13 +216,18 @@ def _dense(part: pd.DataFrame, n: int) -> np.ndarray:
 
 
 def behavior(nodes: DataFrame, n: int, key: str) -> DataFrame:
-    """(key, FIELDS): nodes (key, r, g, b, x, y, z) measured, a table per group."""
+    """(key, FIELDS): nodes (key, r, g, b, x, y, z) measured; the tables of a batch are one call."""
+    kind = nodes.schema[key].dataType.simpleString()
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{key: part[key].iloc[0], **measured(_dense(part, n))}])
+    def run(part: pa.Table) -> pa.Table:
+        first = starts(part, [key])
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, part.num_rows)))
+        dense = np.zeros((len(first), n, n, n, 3))
+        dense[of, *(part.column(c).to_numpy() for c in "rgb")] = np.stack([part.column(c).to_numpy() for c in "xyz"], axis=1)
+        found = [measured(table) for table in dense]
+        return pa.table([part.column(key).take(pa.array(first)), *(pa.array([v[f] for v in found]) for f in FIELDS)], [key, *FIELDS])
 
-    kind = nodes.schema[key].dataType.simpleString()
-    return nodes.select(key, *"rgbxyz").groupBy(key).applyInPandas(run, f"{key} {kind}, " + ", ".join(f"{f} double" for f in FIELDS))
+    return by_groups(nodes.select(key, *"rgbxyz"), [key], run, f"{key} {kind}, " + ", ".join(f"{f} double" for f in FIELDS))
 
 
 def scattered_fit(pixels: DataFrame, n: int, key: str) -> DataFrame:
