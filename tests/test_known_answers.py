@@ -13,6 +13,7 @@ from gleaner.functions import spec as P
 from gleaner.functions import text as T
 from gleaner.functions.hashing import sha256_mod, split_of
 from gleaner.operators import lut as L
+from gleaner.operators import measure as M
 from gleaner.operators import stats as S
 from gleaner.operators.components import components
 from gleaner.operators.parsing import format_codes, parse_output, valid_sequence
@@ -317,3 +318,48 @@ def test_whole_bootstraps_by_brute_force(spark, tmp_path):
     units = [(k, sum(f == "R" for s, f in lines if s == k), sum(s == k for s, _ in lines)) for k in range(5)]
     r = QUERIES["cluster_bootstrap_whole"](spark, str(tmp_path)).first()
     assert (r["low"], r["high"]) == pytest.approx(plain_bootstrap(units, 2_000, 9), abs=2e-6)
+
+
+def test_poisson_counts_of_digests_are_those_of_their_numbers(spark):
+    """The bounds as text against the quantiles of the number, at every bound and beside it."""
+    bounds, total, term = [], 0.0, math.exp(-1)
+    for k in range(8):
+        total += term
+        bounds.append(total)
+        term /= k + 1
+    edge = [math.ceil(b * 2**32) + d for b in bounds for d in (-1, 0, 1)] + [0, 2**32 - 1]
+    rows = spark.createDataFrame([(n, f"{n:08x}" + t * 24) for n in edge for t in "0f"], "n long, h string")
+    for n, w in rows.select("n", S.poisson_weight(F.col("h"))).collect():
+        assert w == next((k for k, b in enumerate(bounds) if n / 2**32 < b), 8)
+
+
+def test_shards_of_many_packs_in_one_pass(spark):
+    """Packs of a task in one walk, over batches smaller than a pack; files of one name by size, null sizes as 0."""
+    files = [(p, n, 30 + (p * n) % 70) for p in range(5) for n in range(40)] + [(9, 1, 80), (9, 1, 10), (9, 2, None), (9, 3, 20), (None, 1, 5)]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {tuple(r)[:3]: r["shard"] for r in shard_files(spark.createDataFrame(files, "pack long, name long, bytes long"), 100).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    for p in range(5):
+        shard = held = 0
+        for n in range(40):
+            size = 30 + (p * n) % 70
+            shard, held = (shard + 1, size) if held and held + size > 100 else (shard, held + size)
+            assert got[p, n, size] == shard
+    assert [got[9, 1, 10], got[9, 1, 80], got[9, 2, None], got[9, 3, 20], got[None, 1, 5]] == [0, 0, 0, 1, 0]
+
+
+def test_tables_of_a_batch_are_measured_together(spark):
+    """Null and text keys, batches that end inside a table."""
+    rng = np.random.default_rng(5)
+    tables = {k: rng.random((3, 3, 3, 3)) for k in ("a", "b", None)}
+    rows = [(k, r, g, b, *map(float, t[r, g, b])) for k, t in tables.items() for r in range(3) for g in range(3) for b in range(3)]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = {r["k"]: r.asDict() for r in M.behavior(spark.createDataFrame(rows, "k string, r int, g int, b int, x double, y double, z double"), 3, "k").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert {k: {f: got[k][f] for f in M.FIELDS} for k in tables} == {k: M.measured(t) for k, t in tables.items()} and len(got) == 3
