@@ -14,6 +14,7 @@ from gleaner.functions import text as T
 from gleaner.functions.hashing import sha256_mod, split_of
 from gleaner.operators import lut as L
 from gleaner.operators import measure as M
+from gleaner.operators import similarity as SI
 from gleaner.operators import stats as S
 from gleaner.operators.components import components
 from gleaner.operators.parsing import format_codes, parse_output, valid_sequence
@@ -363,3 +364,19 @@ def test_tables_of_a_batch_are_measured_together(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert {k: {f: got[k][f] for f in M.FIELDS} for k in tables} == {k: M.measured(t) for k, t in tables.items()} and len(got) == 3
+
+
+def test_gram_hashes_name_the_grams_of_gram_set(spark):
+    texts = ["a b c a b c d", "A b", "", None, "x " * 50, "eins zwei drei", "a b c", "a_b c\nd"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").cache()
+    sizes = rows.select(F.size(SI.gram_set(F.col("text"), 3)), F.size(SI.gram_hashes(F.col("text"), 3)), "text").collect()
+    assert all(a == b for a, b, text in sizes if text is not None)
+    members, sets = SI.gram_classes(rows, 3)
+    assert sorted(r["id"] for r in members.collect()) == [0, 1, 4, 5, 6, 7]  # neither the empty text nor the missing one
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # grams are made once and kept
+
+
+def test_ranks_of_shared_grams_count_those_of_one_document(spark):
+    sets = spark.createDataFrame([(1, [10, 11, 12, 13]), (2, [12, 13, 20]), (3, [13, 30])], "id long, grams array<long>")
+    assert sorted((r["id"], r["gram"], r["rank"]) for r in SI._ranked(sets).collect()) == [(1, 12, 3), (1, 13, 4), (2, 12, 2), (2, 13, 3), (3, 13, 2)]
