@@ -21,7 +21,8 @@ def parse_cube(files: DataFrame) -> DataFrame:
     size = F.regexp_extract("content", r"(?m)^\s*LUT_3D_SIZE\s+(\d+)", 1).try_cast("int")
     number = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
     rows = F.filter(F.split("content", r"\r?\n"), lambda s: F.regexp_like(s, F.lit(rf"^\s*{number}\s+{number}\s+{number}\s*$")))
-    each = files.select("name", size.alias("n"), F.posexplode(rows).alias("i", "row")).withColumn("p", F.split(F.trim("row"), r"\s+"))
+    # size and rows are made before rows are written out, so that no node carries its file's text along
+    each = files.select("name", size.alias("n"), rows.alias("rows")).select("name", "n", F.posexplode("rows").alias("i", "row")).withColumn("p", F.split(F.trim("row"), r"\s+"))
     return each.select("name", "n", "i", (F.col("i") % F.col("n")).alias("r"), (F.floor(F.col("i") / F.col("n")) % F.col("n")).cast("int").alias("g"), F.floor(F.col("i") / (F.col("n") * F.col("n"))).cast("int").alias("b"), *[F.col("p")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
 
 
