@@ -9,10 +9,11 @@ from ..functions.let import let
 
 BEGIN, END, REFUSE, CODES, LARGEST = "<lut_bos>", "<lut_eos>", "<unsupported>", 64, 255
 _CODE = "^<lut_[0-9]{3}>$"
+_GOOD = "^<lut_(?:[01][0-9]{2}|2[0-4][0-9]|25[0-5])>$"  # a code up to LARGEST
 
 
 def _is_code(t: Column) -> Column:
-    return F.regexp_like(t, F.lit(_CODE)) & (F.substring(t, 6, 3).try_cast("int") <= LARGEST)
+    return F.regexp_like(t, F.lit(_GOOD))
 
 
 def parse_output(text: Column) -> Column:
@@ -54,9 +55,13 @@ def format_codes(codes: Column) -> Column:
 
 
 def project_codes(text: Column) -> Column:
-    t = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")
-    codes = F.transform(F.filter(t, _is_code), lambda x: F.substring(x, 6, 3).cast("int"))
-    return F.when(F.get(t, F.lit(0)) == REFUSE, REFUSE).otherwise(format_codes(F.slice(F.concat(codes, F.array_repeat(F.lit(0), CODES)), 1, CODES)))
+    """The refusal, or the frame around the first CODES codes, padded with code 0; a code's token is written as it was read."""
+
+    def projected(t: Column) -> Column:
+        codes = F.slice(F.concat(F.filter(t, _is_code), F.array_repeat(F.lit("<lut_000>"), CODES)), 1, CODES)
+        return F.when(F.get(t, F.lit(0)) == REFUSE, REFUSE).otherwise(F.concat(F.lit(f"{BEGIN} "), F.array_join(codes, " "), F.lit(f" {END}")))
+
+    return let(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+"), projected)
 
 
 def valid_sequence(text: Column) -> Column:

@@ -17,7 +17,7 @@ from gleaner.operators import measure as M
 from gleaner.operators import similarity as SI
 from gleaner.operators import stats as S
 from gleaner.operators.components import components
-from gleaner.operators.parsing import format_codes, parse_output, valid_sequence
+from gleaner.operators.parsing import format_codes, parse_output, project_codes, valid_sequence
 from gleaner.operators.selection import farthest_points, numbered, quota_select
 from gleaner.operators.sharding import reconcile, shard_files
 from gleaner.operators.similarity import cells_that_meet, cosine_pairs, hamming_pairs, jaccard_pairs, pivot_cells, unit_vectors
@@ -380,3 +380,11 @@ def test_gram_hashes_name_the_grams_of_gram_set(spark):
 def test_ranks_of_shared_grams_count_those_of_one_document(spark):
     sets = spark.createDataFrame([(1, [10, 11, 12, 13]), (2, [12, 13, 20]), (3, [13, 30])], "id long, grams array<long>")
     assert sorted((r["id"], r["gram"], r["rank"]) for r in SI._ranked(sets).collect()) == [(1, 12, 3), (1, 13, 4), (2, 12, 2), (2, 13, 3), (3, 13, 2)]
+
+
+def test_projection_reads_a_text_once_and_bounds_codes(spark):
+    codes = [f"<lut_{n:03d}>" for n in (0, 9, 99, 199, 200, 249, 250, 255, 256, 260, 299, 300, 999)]
+    rows = spark.createDataFrame([(" ".join(["<lut_bos>", *codes, "<lut_25>", "<lut_0255>"]),)], "t string").select(project_codes(F.col("t")).alias("p"))
+    got = rows.first()["p"].split(" ")
+    assert got == ["<lut_bos>", *codes[:8], *["<lut_000>"] * 56, "<lut_eos>"]
+    assert rows._jdf.queryExecution().analyzed().toString().count("split(") == 1
