@@ -23,20 +23,20 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices, tidy
+from .arrow import slices, text_buffers, tidy
 from .carry import pick
 from .pieces import byte_letters, pieces, texts_of
 from .store import saved
 
 PART = 300  #: characters that side B encodes at a time, about: it takes more than in proportion to its text
 BLOCK = 1 << 15  #: characters of a long text that are aligned at a time, or groups that are written
+RUN = 1 << 17  #: characters of texts that one side encodes before the other does
 MEMO = 2_000_000  #: transitions that a worker holds before it starts anew
 GAP = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
@@ -130,19 +130,50 @@ class Sides:
             at = gap.end()
         yield text[at:] if at else text
 
+    def runs(self, texts: list[str | None]):
+        """(row, block) of all texts, in lists of about RUN characters."""
+        run, size = [], 0
+        for row, text in enumerate(texts):
+            for block in self.parts(text, BLOCK) if text else ():
+                run.append((row, block))
+                size += len(block)
+                if size >= RUN:
+                    yield run
+                    run, size = [], 0
+        if run:
+            yield run
+
+    def align_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, ...] | None]:
+        """For each text the ids of both sides and the sizes of each group on both sides; None where a side doesn't reproduce it, or it has none.
+
+        One side encodes all of a run before the other does, then the transducer reads it: each has tables of the size of a
+        processor's cache, which turns by text would fetch anew.
+        """
+        found: list[list | None] = [[] for _ in texts]
+        encode = self.b.EncodeAsIds
+        for run in self.runs(texts):
+            of_a = [self.a.plain_ids(" " + block) for _, block in run]
+            of_b = [[i for part in self.parts(block, PART) for i in encode(part)] for _, block in run]
+            ends = [self.transducer.groups(a, b) if self.a_is_whole or self.whole(block, b) else None for (_, block), a, b in zip(run, of_a, of_b)]
+            for (row, _), a, b, end in zip(run, of_a, of_b, ends):
+                if end is None:
+                    found[row] = None
+                elif found[row] is not None:
+                    found[row].append((*(np.frombuffer(array("i", x), np.int32) for x in (a, b)), *map(_sizes, end)))
+        return [(tuple(np.concatenate(x) for x in zip(*f)) if len(f) > 1 else f[0]) if f else None for f in found]
+
+    def whole(self, block: str, b: list[int]) -> bool:
+        return b"".join([self.of_b[i] for i in b]) == (" " + block).encode()
+
     def align(self, text: str):
-        """Ids of both sides and the sizes of each group on both sides; None where a side doesn't reproduce the text."""
-        found = []
-        for block in self.parts(text, BLOCK):
-            a, b = self.a.plain_ids(" " + block), list(chain.from_iterable(self.b.encode(list(self.parts(block, PART)), num_threads=1)))
-            if not self.a_is_whole and b"".join([self.of_b[i] for i in b]) != (" " + block).encode():
-                return None
-            ends = self.transducer.groups(a, b)
-            if ends is None:
-                return None
-            found.append([np.frombuffer(array("i", x), np.int32) for x in (a, b, *ends)])
-            found[-1][2:] = [np.diff(x, prepend=np.int32(0)) for x in found[-1][2:]]
-        return tuple(np.concatenate(x) for x in zip(*found)) if len(found) > 1 else tuple(found[0])
+        return self.align_all([text])[0]
+
+
+def _sizes(ends: list[int]) -> np.ndarray:
+    """Sizes of groups that end there."""
+    out = np.array(ends, np.int32)
+    out[1:] -= out[:-1].copy()
+    return out
 
 
 _made: dict[tuple[str, str], Sides] = {}
@@ -166,10 +197,10 @@ def _aligned(a: str, b: str):
     nothing = (np.zeros(0, np.int32),) * 4
 
     def run(batches):
-        align = sides(a, b).align
+        align_all = sides(a, b).align_all
         for batch in batches:
             for part, raw, bounds in slices(batch, "text"):
-                found = [(align(text) if text else None) or nothing for text in texts_of(part, raw, bounds)]
+                found = [f or nothing for f in align_all(texts_of(part, raw, bounds))]
                 yield pa.record_batch([part.column("key"), *(_lists([f[k] for f in found]) for k in range(4))], ["key", *ARRAYS])
 
     return run
@@ -233,30 +264,36 @@ def _stream(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarr
     return out
 
 
-def _sha(stream: np.ndarray, words: list[bytes]) -> str:
-    """sha256 of `a1,a2|b1;a3|b2,b3`, the stream without its last semicolon."""
-    if not len(stream):
-        return ""
-    digest = hashlib.sha256()
-    for at in range(0, len(stream), BLOCK):
-        text = b"".join([words[k] for k in stream[at : at + BLOCK].tolist()])
-        digest.update(text if at + BLOCK < len(stream) else text[:-1])
-    return digest.hexdigest()
+def _written(stream: np.ndarray, bounds: np.ndarray, words: pa.Array):
+    """sha256 of `a1,a2|b1;a3|b2,b3` for the rows of a stream, each without its last semicolon; BLOCK tokens are written at a time."""
+    row, digest = 0, hashlib.sha256()
+    for at in range(0, max(len(stream), 1), BLOCK):
+        text, ends = text_buffers(words.take(pa.array(stream[at : at + BLOCK])))
+        here = 0
+        while row < len(bounds) - 1 and bounds[row + 1] < at + len(ends):
+            if bounds[row + 1] == bounds[row]:
+                yield ""
+            else:
+                to = int(ends[bounds[row + 1] - at])
+                digest.update(text[here : to - 1])
+                yield digest.hexdigest()
+                digest, here = hashlib.sha256(), to
+            row += 1
+        digest.update(text[here : int(ends[-1])])
 
 
 def _digested(shared):
     def run(batches):
         links, counts, best = shared.value
-        words: list[bytes] = []
+        words = pa.array([], pa.binary())
         for batch in batches:
             for rows, values, bounds in _part_lists(batch):
                 stream = _stream(*values)
-                while len(words) <= stream.max(initial=0):
-                    words += [b"%d%c" % (i, end) for i in range(len(words) // 3, len(words) // 3 + (1 << 16)) for end in b",|;"]
+                if len(words) <= stream.max(initial=0):
+                    words = pa.array([b"%d%c" % (i, end) for i in range((int(stream.max()) // 3 | 0xFFFF) + 1) for end in b",|;"], pa.binary())
                 at = np.searchsorted(links, _links(values, bounds, WIDTH))
                 sums = [np.diff(np.concatenate([[0], np.cumsum(x[at])])[bounds[2]]) for x in (counts, best.astype(np.int64))]
-                ends = bounds[0] + bounds[1]
-                shas = [_sha(stream[x:y], words) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                shas = list(_written(stream, (bounds[0] + bounds[1]).astype(np.int64), words))
                 size = [pa.array(np.diff(s).astype(np.int64)) for s in (bounds[0], bounds[1], bounds[2], bounds[2])]
                 yield pa.record_batch([batch.column("key")[rows.start : rows.stop], *size, pa.array(sums[1]), pa.array(sums[0]), pa.array(shas, pa.string())], DIGEST)
 

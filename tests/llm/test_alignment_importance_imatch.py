@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -96,6 +97,32 @@ def test_alignment_of_long_text_is_cut_without_a_trace():
     assert all((x == y).all() for x, y in zip(cut, sides.align(text)))
 
 
+def test_sides_take_turns_by_runs_of_texts(monkeypatch):
+    sides = alignment.Sides(queries.tokenizer_path(), queries.tokenizer_path(queries.OTHER_TOKENIZER))
+    texts = [t for _, t, *_ in documents()][:60] + [None, "", "x", " ".join(["long text"] * 9000)]
+    alone = [sides.align(t) for t in texts]
+    turns, plain, encode = [], sides.a.plain_ids, sides.b.EncodeAsIds
+    monkeypatch.setattr(sides.a, "plain_ids", lambda t: turns.append("a") or plain(t))
+    monkeypatch.setattr(sides.b, "EncodeAsIds", lambda t: turns.append("b") or encode(t))
+    for run, most in ((1, None), (5000, None), (1 << 30, 2)):
+        turns.clear()
+        monkeypatch.setattr(alignment, "RUN", run)
+        together = sides.align_all(texts)
+        assert all((x is None and y is None) or all((u == v).all() for u, v in zip(x, y, strict=True)) for x, y in zip(alone, together, strict=True))
+        assert most is None or sum(x != y for x, y in zip(turns, turns[1:])) < most
+
+
+def test_written_groups_over_blocks(monkeypatch):
+    words = [b"%d%c" % (i, end) for i in range(300) for end in b",|;"]
+    rows = [[k * i % 900 for i in range(k % 7 * 3)] for k in range(40)]
+    bounds = np.cumsum([0, *map(len, rows)])
+    expected = [hashlib.sha256(b"".join(words[k] for k in r)[:-1]).hexdigest() if r else "" for r in rows]
+    for block in (1, 5, 1 << 15):
+        monkeypatch.setattr(alignment, "BLOCK", block)
+        assert list(alignment._written(np.array(sum(rows, []), np.int64), bounds, pa.array(words, pa.binary()))) == expected
+    assert list(alignment._written(np.zeros(0, np.int64), np.zeros(3, np.int64), pa.array([], pa.binary()))) == ["", ""]
+
+
 def test_alignment_of_20_mb(spark):
     words = ["alpha", "beta,", "gamma\n", "Überraschung", "42", "delta.", "x"]
     text = " ".join(words[i * i % 7] + words[i % 5] for i in range(1_500_000))[: 20 << 20]
