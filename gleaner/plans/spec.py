@@ -70,7 +70,7 @@ def spec_bucketed(spark, sf_dir):
 def spec_parse_roundtrip(spark, sf_dir):
     """Every written axis must come back with the value it was written with."""
     rows = _measured(spark, sf_dir).withColumn("spec", P.serialize(_fields()))
-    rows = rows.withColumn("axes", P.parsed(F.col("spec"))["axes"])
+    rows = rows.withColumn("axes", P.axes(F.col("spec")))
     ok = F.lit(True)
     for name in FIELDS:
         value = F.bround(name, 0 if name.endswith("deg") else 1)
@@ -116,9 +116,8 @@ def spec_compare_f1(spark, sf_dir):
     """Predicted specs, as text, against gold specs, as text."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(e).cast("double").alias(f"p_{n}") for n, e in _PRED.items()], *[F.expr(e).cast("double").alias(f"g_{n}") for n, e in _GOLD.items()])
     texts = rows.select("l_orderkey", "l_linenumber", P.serialize({n: F.col(f"p_{n}") for n in _PRED}).alias("p"), P.serialize({n: F.col(f"g_{n}") for n in _GOLD}).alias("g"))
-    axes = texts.select("l_orderkey", "l_linenumber", P.directions(P.parsed(F.col("p"))["axes"]).alias("p"), P.directions(P.parsed(F.col("g"))["axes"]).alias("g"))
-    score = lambda how: F.round(P.f1(P.share(F.col("p"), F.col("g"), how), P.share(F.col("g"), F.col("p"), how)), 6)
-    return axes.select("l_orderkey", "l_linenumber", score("sign").alias("direction_f1"), score("bucket").alias("bucket_f1"), score("value").alias("attribute_f1"))
+    scores = texts.select("l_orderkey", "l_linenumber", P.compared(F.col("p"), F.col("g")).alias("s"))
+    return scores.select("l_orderkey", "l_linenumber", *[F.round(f"s.{how}", 6).alias(f"{name}_f1") for name, how in (("direction", "sign"), ("bucket", "bucket"), ("attribute", "value"))])
 
 
 @query(
@@ -128,8 +127,7 @@ def spec_compare_f1(spark, sf_dir):
 def backing_check(spark, sf_dir):
     """Whether every asserted axis is borne out by the measurement in sign and size."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", P.serialize({n: F.expr(e) for n, e in _PRED.items()}).alias("p"), P.serialize({n: F.expr(e) for n, e in _GOLD.items()}).alias("g"))
-    axes = rows.select("l_orderkey", "l_linenumber", P.parsed(F.col("p"))["axes"].alias("p"), P.parsed(F.col("g"))["axes"].alias("g"))
-    return axes.select("l_orderkey", "l_linenumber", (P.share(F.col("p"), F.col("g"), "value") == 1.0).alias("backed"))
+    return rows.select("l_orderkey", "l_linenumber", (P.borne_out(F.col("p"), F.col("g")) == 1.0).alias("backed"))
 
 
 #: an event stands in for a model output: its id picks the kind of text
@@ -189,7 +187,7 @@ def spec_shuffle(spark, sf_dir):
 @query("SELECT count(*) AS n, count(*) AS bounded, count(*) AS same_sign FROM lineitem")
 def spec_jitter(spark, sf_dir):
     """Jittered magnitudes stay within 0.3 (and rounding) of their own, keep their sign and stay written."""
-    axes = spec_serialize(spark, sf_dir).select("l_orderkey", P.parsed(F.col("spec"))["axes"].alias("a")).withColumn("j", P.jittered(F.col("a"), F.col("l_orderkey"), 5))
+    axes = spec_serialize(spark, sf_dir).select("l_orderkey", P.axes(F.col("spec")).alias("a")).withColumn("j", P.jittered(F.col("a"), F.col("l_orderkey"), 5))
     gap = F.forall(F.map_entries("a"), lambda e: F.abs(e["value"] - F.element_at("j", e["key"])) <= 0.3501)
     sign = F.forall(F.map_entries("a"), lambda e: e["value"] * F.element_at("j", e["key"]) >= 0)
     return axes.agg(F.count("*").alias("n"), F.count_if(gap).alias("bounded"), F.count_if(sign).alias("same_sign"))

@@ -96,6 +96,33 @@ def test_spec_round_trip_and_malformed(spark):
     assert one(spark.createDataFrame([(twice,)], "t string").select(p["axes"].alias("a")))["a"] == {"temperature_delta_b": -3.0, "mean_l_delta": 1.5}
 
 
+def awkward_specs():
+    rng = random.Random(3)
+    values = ["+2.4", "-0.5", "1", "2.45", "2.35", "-0.04", "", "x", "1e3", "1d", "0x1p3", " 7", "NaN", "nan", "+NaN", "Infinity", "-inf", "1_0", "1.", ".5", "3=4", "5.95", "1e300", "999999999999999.12", "+", "0"]
+    made = [" ".join(f"{rng.choice([*P.TAGS, 'odd'])}={rng.choice(values)}" for _ in range(rng.randrange(9))) for _ in range(400)]
+    edges = [None, "", "route=", "x", "route=grade", " route=grade | warmer=+1.0\nroute=grade | cooler=1", "route=grade|warmer=1|conf=0.9|\tmuted=2\x0bsat_red=-1\rmatte=3", "route=refuse | refuse=out_of_scope", "route=grade |  | warmer", "route=grade | conf=1 warmer=2 |  darker=2.25 | a | b | c | d | e | f | g | brighter=9"]
+    return edges + ["route=grade | " + m for m in made]
+
+
+def test_arrow_specs_equal_column_forms(spark):
+    texts = awkward_specs()
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(texts * 3, texts[1:] + texts[:1] + texts[7:] + texts[:7] + texts))], "i long, p string, g string")
+    df = df.withColumn("x", P.parsed(F.col("p"))["axes"]).withColumn("y", P.parsed(F.col("g"))["axes"])
+    p, g = P.directions(F.col("x")), P.directions(F.col("y"))
+    plain = [P.f1(P.share(p, g, how), P.share(g, p, how)) for how in ("sign", "bucket", "value")]
+    rows = df.select("i", "x", P.axes(F.col("p")).alias("got_x"), F.struct(*plain, P.share(F.col("x"), F.col("y"), "value")).alias("want"), P.compared(F.col("p"), F.col("g")).alias("s"), P.borne_out(F.col("p"), F.col("g")).alias("b")).collect()
+    assert len(rows) == 3 * len(texts)
+    for r in rows:
+        assert (None if r["x"] is None else sorted((k, repr(v)) for k, v in r["x"].items())) == (None if r["got_x"] is None else sorted((k, repr(v)) for k, v in r["got_x"].items())), r
+        assert repr(tuple(r["want"])) == repr((*(r["s"] or (None,) * 3), r["b"])), r
+
+
+def test_spec_queries_read_texts_without_lambdas(spark):
+    for name in ("spec_compare_f1", "backing_check"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambdafunction" not in plan and "ArrowEvalPython" in plan
+
+
 def test_tags_and_cues(spark):
     df = spark.createDataFrame([(["Desaturated", "warmer", "muted", "odd"], "Please remove the car", "content_removal"), ([], "swarmed by lukewarm tea ok", "underspecified_intent"), ([], "make it warmer please", "underspecified_intent")], "tags array<string>, t string, c string")
     rows = df.select(T.normal_tags(F.col("tags")).alias("tags"), T.prompt_issue(F.col("t"), F.col("c")).alias("issue"), T.route(F.col("c")).alias("route")).collect()
