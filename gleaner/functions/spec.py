@@ -31,9 +31,10 @@ MAGNITUDE, HUE_GATE, SATURATION = 0.5, 1.0, 1.0  # smallest values that are writ
 
 def signed(value: Column) -> Column:
     """+1.2 or -0.5: one decimal, half to even, the sign always written."""
-    tenth = F.bround(value, 1)
-    # a rounded double below 1e7 prints with its one decimal as it is, at a fraction of a formatter's cost
-    return F.concat(F.when(tenth < 0, "-").otherwise("+"), F.when(F.abs(tenth) < 1e7, F.abs(tenth).cast("string")).otherwise(F.format_string("%.1f", F.abs(tenth))))
+    tenth = F.abs(F.bround(value, 1))
+    # A rounded double below 1e7 prints with its one decimal as it is, at a fraction of a formatter's cost.  Rounding is the
+    # costly step, so what decides is asked of the value: -0.05 rounds to 0.0, all below it to less.
+    return F.concat(F.when(value < -0.05, "-").otherwise("+"), F.when(F.abs(value) < 9e6, tenth.cast("string")).otherwise(F.format_string("%.1f", tenth)))
 
 
 def _parts(fields: dict[str, Column], bucketed: bool) -> dict[str, Column]:
@@ -42,8 +43,8 @@ def _parts(fields: dict[str, Column], bucketed: bool) -> dict[str, Column]:
     out = {}
     for name, (up, down) in BIPOLAR.items():
         v = zero(name)
-        out[up] = F.when((F.abs(v) >= MAGNITUDE) & (F.bround(v, 1) >= 0), F.concat(F.lit(f"{up}="), shown(v)))
-        out[down] = F.when((F.abs(v) >= MAGNITUDE) & (F.bround(v, 1) < 0), F.concat(F.lit(f"{down}="), shown(v)))
+        out[up] = F.when(v >= MAGNITUDE, F.concat(F.lit(f"{up}="), shown(v)))
+        out[down] = F.when(v <= -MAGNITUDE, F.concat(F.lit(f"{down}="), shown(v)))
     for key, name in UNIPOLAR.items():
         out[key] = F.when(zero(name) >= MAGNITUDE, F.concat(F.lit(f"{key}="), shown(zero(name))))
     for key, (name, gate) in HUES.items():
@@ -229,9 +230,14 @@ def borne_out(text: Column, other: Column) -> Column:
 
 def shuffled(text: Column, key: Column, seed: int) -> Column:
     """The axis tokens in the order of a digest of (seed, key, token); other segments stay."""
-    parts = F.split(text, r" \| ")
-    ranked = F.array_sort(F.transform(F.split(F.get(parts, F.lit(1)), " "), lambda t: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), t)).alias("h"), t.alias("t"))))
-    return F.when(F.contains(F.get(parts, F.lit(1)), F.lit("=")), F.array_join(F.concat(F.slice(parts, 1, 1), F.array(F.array_join(F.transform(ranked, lambda s: s["t"]), " ")), F.slice(parts, 3, 9)), " | ")).otherwise(text)
+    first = F.substring_index(text, " | ", 1)
+    after = F.substring(text, F.length(first) + 4, F.length(text))
+    tokens = F.substring_index(after, " | ", 1)
+    salt = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(key.cast("string"), F.lit(":")), F.lit("")))
+    # a digest is 32 characters, so that digest and token are one text, ordered as the pair is
+    ranked = F.sort_array(F.transform(F.split(tokens, " "), lambda t: F.concat(F.md5(F.concat(salt, t)), t)))
+    order = F.array_join(F.transform(ranked, lambda s: F.substring(s, 33, 1 << 30)), " ")
+    return F.when(F.contains(tokens, F.lit("=")), F.concat(first, F.lit(" | "), order, F.substring(after, F.length(tokens) + 1, F.length(text)))).otherwise(text)
 
 
 def jittered(axes: Column, key: Column, seed: int, width: float = 0.3) -> Column:

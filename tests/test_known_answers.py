@@ -123,6 +123,29 @@ def test_spec_queries_read_texts_without_lambdas(spark):
         assert "lambdafunction" not in plan and "ArrowEvalPython" in plan
 
 
+def test_signed_rounds_once_and_as_before(spark):
+    values = [0.0, -0.0, -0.04, -0.05, -0.05000000000000001, 0.05, 0.25, 0.35, -0.45, 0.5, -0.5, 8999999.95, 9e6, 9999999.94, 9999999.96, -1e7, 1e20, float("nan"), float("inf"), float("-inf"), None, *[i / 40 for i in range(-200, 200)]]
+    v, tenth = F.col("v"), F.bround("v", 1)
+    plain = F.concat(F.when(tenth < 0, "-").otherwise("+"), F.format_string("%.1f", F.abs(tenth)))
+    up, down = (F.when((F.abs(v) >= 0.5) & sign, "written") for sign in (tenth >= 0, tenth < 0))
+    parts = P._parts({"mean_l_delta": v}, False)
+    rows = spark.createDataFrame([(x,) for x in values], "v double").select("v", plain.alias("a"), P.signed(v).alias("b"), up.alias("u"), down.alias("d"), parts["brighter"].alias("gu"), parts["darker"].alias("gd")).collect()
+    for r in rows:
+        assert r["v"] is None or r["a"] == r["b"], r
+        assert ((r["u"] is None), (r["d"] is None)) == ((r["gu"] is None), (r["gd"] is None)), r
+    assert spark.range(1).select(P.signed(F.col("id").cast("double")).alias("s"))._jdf.queryExecution().optimizedPlan().toString().count("bround") == 2
+
+
+def test_shuffled_tokens(spark):
+    texts = [t for t in awkward_specs() if t is not None and " | " in t] + ["a | b=1 c=2 | d | e", "none", "a | no equals | b=1", "a | | b=1 | c=2", "ä | ü=1 ö=2  é=3 | ß"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", "t", P.shuffled(F.col("t"), F.col("i"), 5).alias("s")).collect()
+    for r in rows:
+        parts = r["t"].split(" | ")
+        if len(parts) > 1 and "=" in parts[1]:
+            parts[1] = " ".join(sorted(parts[1].split(" "), key=lambda x: (hashlib.md5(f"5:{r['i']}:{x}".encode()).hexdigest(), x)))
+        assert r["s"] == " | ".join(parts), r
+
+
 def test_tags_and_cues(spark):
     df = spark.createDataFrame([(["Desaturated", "warmer", "muted", "odd"], "Please remove the car", "content_removal"), ([], "swarmed by lukewarm tea ok", "underspecified_intent"), ([], "make it warmer please", "underspecified_intent")], "tags array<string>, t string, c string")
     rows = df.select(T.normal_tags(F.col("tags")).alias("tags"), T.prompt_issue(F.col("t"), F.col("c")).alias("issue"), T.route(F.col("c")).alias("route")).collect()
