@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import sys
 import zlib
@@ -112,6 +113,40 @@ def test_sides_take_turns_by_runs_of_texts(monkeypatch):
         assert most is None or sum(x != y for x, y in zip(turns, turns[1:])) < most
 
 
+def test_a_word_goes_through_the_encoders_once(monkeypatch):
+    sides = alignment.Sides(queries.tokenizer_path(), queries.tokenizer_path(queries.OTHER_TOKENIZER))
+    read, encode = [], sides.b.EncodeAsIds
+    monkeypatch.setattr(sides.b, "EncodeAsIds", lambda t: read.append(len(t)) or encode(t))
+    sides.align_all([" ".join(["alpha", "beta,", "gamma."] * 9000)] * 5)
+    assert sum(read) < 100 and len(sides.place) == 3
+
+
+def test_words_are_aligned_as_in_their_texts(monkeypatch):
+    sides = alignment.Sides(queries.tokenizer_path(), queries.tokenizer_path(queries.OTHER_TOKENIZER))
+    rng = random.Random(4)
+    signs = list("ab1.,'-_ é ß ½\n\t  ÀяΩ▁<>/s漢\u0301 \u200b\u3000\u00a0\x1c")
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(2000)] + [t for _, t, *_ in awkward()] + ["a ﬁ b", "a é b \u0301 c", "'s 't don't 'll", " ab cd ", "ab \u200b cd"]
+    by_words = []
+    for words in (250_000, 40):  # some are forgotten in between
+        monkeypatch.setattr(alignment, "WORDS", words)
+        sides.forget()
+        by_words.append([sides.align_all(texts[k : k + 50]) for k in range(0, len(texts), 50)])
+    sides.forget()
+    sides.cuts = False
+    whole = [sides.align_all(texts[k : k + 50]) for k in range(0, len(texts), 50)]
+    for found in by_words:
+        assert all((x is None and y is None) or all((u == v).all() for u, v in zip(x, y, strict=True)) for f, w in zip(found, whole) for x, y in zip(f, w, strict=True))
+
+
+def test_alignment_by_bytes_equals_arrays(spark):
+    pair = queries.tokenizer_path(), queries.tokenizer_path(queries.OTHER_TOKENIZER)
+    kept, arrays = (f(frame(spark, awkward()), *pair) for f in (alignment.aligned_bytes, alignment.align))
+    assert dict(kept.dtypes) == {"key": "bigint", "a": "binary", "b": "binary"} and arrays.columns == ["key", *alignment.ARRAYS]
+    assert {t for c, t in arrays.dtypes if c != "key"} == {"array<int>"}
+    got = [alignment.digest(x, alignment.link_counts(x)).collect() for x in (kept, arrays)]
+    assert Counter(got[0]) == Counter(got[1]) == Counter(alignment.digest(kept, alignment.link_counts(arrays)).collect())
+
+
 def test_written_groups_over_blocks(monkeypatch):
     words = [b"%d%c" % (i, end) for i in range(300) for end in b",|;"]
     rows = [[k * i % 900 for i in range(k % 7 * 3)] for k in range(40)]
