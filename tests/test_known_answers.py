@@ -438,3 +438,28 @@ def test_projection_reads_a_text_once_and_bounds_codes(spark):
     got = rows.first()["p"].split(" ")
     assert got == ["<lut_bos>", *codes[:8], *["<lut_000>"] * 56, "<lut_eos>"]
     assert rows._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
+
+def test_second_differences_are_found_in_one_shuffle(spark):
+    nan = float("nan")
+    nodes = [(k, r, g, b, ((k + 2) * r * r + g * b) / 9.0, (g * g * b + r) / 7.0, None if (r, g, b) == (1, 1, 1) and k == 2 else r * g * b / 5.0) for k in (1, 2) for r in range(4) for g in range(4) for b in range(3) if (k, r, g, b) != (1, 2, 0, 0)]
+    nodes += [(3, 0, 0, 0, 0.1, 0.2, 0.3), (4, 0, 0, 0, nan, 0.0, 0.0), (4, 1, 0, 0, 0.0, 0.0, 0.0), (4, 2, 0, 0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(nodes, "lut int, r int, g int, b int, x double, y double, z double")
+    done = L.second_difference(df, 4, ["lut"])
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    expected = {}
+    for k in (1, 2, 4):
+        gaps = []
+        for axis in range(3):
+            lines = {}
+            for _, *p in (t for t in nodes if t[0] == k):
+                lines.setdefault(tuple(v for i, v in enumerate(p[:3]) if i != axis), []).append((p[axis], [None if c is None else c - i / 3 for c, i in zip(p[3:], p[:3])]))
+            for line in lines.values():
+                line = [v for _, v in sorted(line, key=lambda t: t[0])]
+                gaps += [abs(w[c] - 2 * v[c] + u[c]) for u, v, w in zip(line, line[1:], line[2:]) for c in range(3) if None not in (u[c], v[c], w[c])]
+        gaps.sort(key=lambda v: (v != v, v))
+        at = 0.99 * (len(gaps) - 1)
+        low, high = gaps[int(at)], gaps[min(int(at) + 1, len(gaps) - 1)]
+        expected[k] = (low + (at - int(at)) * (high - low)) * (3 / 16) ** 2
+    got = dict(map(tuple, done.collect()))
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k], nan_ok=True) for k in expected)
